@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import lines, packing, pieces, quality, secrets
 
 
 def queries() -> dict:
     return {
         "op4_quality_rules": quality.op4_quality_rules,
+        "op5_line_dedup": lines.op5_line_dedup,
+        "op6_packing": packing.op6_packing,
+        "op7_sentencepiece": pieces.op7_sentencepiece,
+        "op8_secret_scans": secrets.op8_secret_scans,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_line_dedup": lines.OP5_SQL}
