@@ -23,7 +23,7 @@ COMMON_WORDS = {
     "es": ("que", "el", "y", "los", "se", "del", "las", "por", "con", "una", "no", "para"),
 }
 #: Character classes, each by the pattern of its members; a last bin takes the rest.
-CHAR_CLASSES = (r"[a-z]", SPACE_CLASS, r"[A-Z]", r"[^\x00-\x7F]", r"[0-9]", r"[.,;:!?'\"()-]")
+CHAR_CLASSES = (SPACE_CLASS, r"[a-z]", r"[A-Z]", r"[^\x00-\x7F]", r"[0-9]", r"[.,;:!?'\"()-]")
 
 
 @dataclass(frozen=True)
@@ -42,8 +42,14 @@ class QualityRules:
         return sorted({w for ws in self.common_words.values() for w in ws})
 
 
-def char_histogram(text: Column) -> Column:
-    """Counts by CHAR_CLASSES, then all other characters. Each class is taken out of what the ones before it left."""
+def with_char_counts(docs: DataFrame) -> DataFrame:
+    """docs (with _text) and _cc, counts by CHAR_CLASSES and then of all other characters, and _symbols, the characters that are in none of the first two classes.
+
+    Each class is taken out of what the ones before it left, blanks first: the
+    letters then stand in long runs, and what they leave is short.
+    """
+    docs = docs.withColumn("_dense", F.regexp_replace("_text", f"{CHAR_CLASSES[0]}+", ""))
+    docs = docs.withColumn("_symbols", F.regexp_replace("_dense", f"{CHAR_CLASSES[1]}+", ""))
 
     def taken(rest: Column, classes: tuple[str, ...]) -> Column:
         if not classes:
@@ -52,7 +58,8 @@ def char_histogram(text: Column) -> Column:
         left = F.array(F.regexp_replace(rest, f"{classes[0]}+", ""))
         return F.element_at(F.transform(left, lambda r: F.concat(F.array((F.length(rest) - F.length(r)).cast("double")), taken(r, classes[1:]))), 1)
 
-    return taken(text, CHAR_CLASSES)
+    first = F.array((F.length("_text") - F.length("_dense")).cast("double"), (F.length("_dense") - F.length("_symbols")).cast("double"))
+    return docs.withColumn("_cc", F.concat(first, taken(F.col("_symbols"), CHAR_CLASSES[2:]))).drop("_dense")
 
 
 def share(h: Column) -> Column:
@@ -78,7 +85,7 @@ def histograms(docs: DataFrame, rules: QualityRules) -> DataFrame:
     marked = F.concat(F.lit(" "), F.array_join("_common", "  "), F.lit(" "))
     times = lambda m: F.array(*[((F.octet_length(m) - F.octet_length(F.replace(m, F.lit(f" {w} ")))) / len(f" {w} ".encode())).cast("double") for w in rules.vocabulary()])
     docs = docs.withColumn("_wc", F.concat(F.element_at(F.transform(F.array(marked), times), 1), F.array((F.size("_words") - F.size("_common")).cast("double"))))
-    docs = docs.withColumn("_cc", char_histogram(F.col("_text")))
+    docs = with_char_counts(docs)
     return docs.withColumn("_ch", F.when(F.length("_text") >= rules.char_guard, share(F.col("_cc")))).withColumn("_wh", F.when(F.size("_words") >= rules.word_guard, share(F.col("_wc"))))
 
 
@@ -136,8 +143,8 @@ def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules(), referen
     out = out.withColumns(
         {
             "n_words": n.cast("long"),
-            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-            "n_symbols": (F.length("_text") - F.length(F.regexp_replace("_text", r"[#*$%&|<>]", ""))).cast("long"),
+            "word_chars": (F.length("_text") - F.get("_cc", F.lit(0))).cast("long"),
+            "n_symbols": (F.length("_symbols") - F.length(F.regexp_replace("_symbols", r"[#*$%&|<>]+", ""))).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_repeat_words": F.when(F.size(F.array_distinct("_windows")) == F.size("_windows"), 0).otherwise(repeated_words(F.col("_windows"))).cast("long"),
         }
@@ -146,7 +153,9 @@ def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules(), referen
     out = out.withColumns({"char_distance": F.when(F.col("_ch").isNotNull(), nearest("_ch", 0)), "word_distance": F.when(F.col("_wh").isNotNull(), nearest("_wh", 1))})
     out = out.withColumn("base_failed", (F.col("n_words") < rules.min_words) | (F.col("n_repeat_words") > rules.most_repeated * F.col("n_words")))
     strange = (F.coalesce("char_distance", F.lit(0.0)) > rules.char_distance) | (F.coalesce("word_distance", F.lit(0.0)) > rules.word_distance)
-    return out.withColumn("kept", ~F.col("base_failed") & ~strange).drop("_text", "_words", "_common", "_wc", "_cc", "_ch", "_wh", "_windows", "_lines")
+    # No filter on the verdict passes below a row number. It would take the word arrays with it, to be worked out anew for each word.
+    stop = F.monotonically_increasing_id() >= 0
+    return out.withColumn("kept", ~F.col("base_failed") & ~strange & stop).drop("_text", "_words", "_common", "_wc", "_cc", "_ch", "_wh", "_windows", "_lines", "_symbols")
 
 
 WORD_IN = r"[^\x20\x09-\x0D]"
