@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import lines, packing, pieces, quality, secrets
+from . import lines, media, packing, pieces, quality, secrets, toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_media": media.op2_media,
         "op4_quality_rules": quality.op4_quality_rules,
         "op5_line_dedup": lines.op5_line_dedup,
         "op6_packing": packing.op6_packing,
         "op7_sentencepiece": pieces.op7_sentencepiece,
         "op8_secret_scans": secrets.op8_secret_scans,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
