@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lines, media, packing, pieces, quality, secrets, toxicity
+from . import jaccard, lines, media, packing, pieces, quality, secrets, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op6_packing": packing.op6_packing,
         "op7_sentencepiece": pieces.op7_sentencepiece,
         "op8_secret_scans": secrets.op8_secret_scans,
+        "op9_jaccard_join": jaccard.op9_jaccard_join,
         "op10_toxicity": toxicity.op10_toxicity,
     }
 
