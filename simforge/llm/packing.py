@@ -12,6 +12,7 @@ import heapq
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,30 +22,69 @@ from .common import documents, partitions, small_batches, texts, written
 Pattern = tuple[tuple[int, int], ...]
 
 
+def letters_alone(word: str) -> bool:
+    """Whether it stays one unit of letters when lowered: some letters become a letter and a mark."""
+    return word.isalpha() and (word.isascii() or word.lower().isalpha())
+
+
 class WordIds:
-    """Ids of texts by a tokenizers file whose pre-tokenizer splits at white space: each stretch between is encoded once and kept in a bounded cache."""
+    """Ids of texts by a tokenizers file that lowers case and whose pre-tokenizer parts white space, letters and marks.
+
+    Each stretch between white space is encoded once and kept in a bounded cache.
+    Letters with a comma or full stop behind them are put together from the ids of
+    both. Texts of Latin-1 alone, where lowering is the same everywhere, are
+    lowered first, which lets more of them share what is kept.
+    """
 
     #: Python splits at these, Unicode doesn't call them white space: texts with them are encoded whole.
     ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 
-    def __init__(self, path: str, cached: int = 250_000):
+    def __init__(self, path: str, cached: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tok, self.cache, self.cached = Tokenizer.from_file(path), {}, cached
+        vocabulary = self.tok.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+
+    def _encoded(self, words: list[str]) -> Iterator[bytes]:
+        """The ids of each word, all of them letters alone or none. Words of letters alone are one unit of the pre-tokenizer, so many of them are encoded as one text and parted at the ids that end a word."""
+        step = 256 if words and letters_alone(words[0]) else 1
+        texts = [" ".join(words[i : i + step]) for i in range(0, len(words), step)]
+        for k, e in enumerate(self.tok.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            raw = ids.tobytes()
+            some = words[k * step : (k + 1) * step]
+            cuts = [0, *((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()] if step > 1 else [0, len(raw)]
+            if len(cuts) == len(some) + 1:
+                yield from (raw[a:b] for a, b in zip(cuts, cuts[1:]))
+            else:
+                yield from (np.array(x.ids, "<u4").tobytes() for x in self.tok.encode_batch_fast(some, add_special_tokens=False))
+
+    def _parts(self, text: str) -> list[str]:
+        if any(c in text for c in self.ODD):
+            return [text]
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.split()
+        return text.lower().split()
 
     def ids(self, batch: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        import numpy as np
-
-        if len(self.cache) > self.cached:
-            self.cache.clear()
-        parts = [[t] if any(c in t for c in self.ODD) else t.split() for t in batch]
-        new = list(set().union(*parts) - self.cache.keys())
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for w, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False)):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.cache.__getitem__
+        cache = self.cache
+        if len(cache) > self.cached:
+            cache.clear()
+        parts = [self._parts(t) for t in batch]
+        new = set().union(*parts) - cache.keys()
+        ended = [w for w in new if w[-1:] in (",", ".") and letters_alone(w[:-1])]
+        plain = list((new.difference(ended) | {w[:-1] for w in ended} | {",", "."}) - cache.keys())
+        for joined in (True, False):
+            some = [w for w in plain if letters_alone(w) is joined]
+            cache.update(zip(some, self._encoded(some)))
+        for w in ended:
+            cache[w] = cache[w[:-1]] + cache[w[-1]]
+        get = cache.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
 
@@ -146,7 +186,7 @@ def pack(pieces: DataFrame, length: int = 2048) -> DataFrame:
     if len(slots) <= 100_000:  # 5 MB; the number of lengths bounds it in practice
         table = F.broadcast(table)
     ranked = salted.withColumn("_row", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "start")) - 1)
-    ranked = ranked.join(counts.select("length", "_salt", "_before"), ["length", "_salt"]).withColumn("_rank", F.col("_row") + F.col("_before"))
+    ranked = ranked.join(counts.select("length", "_salt", "_before").hint("merge"), ["length", "_salt"]).withColumn("_rank", F.col("_row") + F.col("_before"))
     placed = ranked.join(table, ["length"]).where((F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")))
     k = F.col("_rank") - F.col("_lo")
     return placed.withColumn("sequence_id", F.col("_seq") + F.floor(k / F.col("_each"))).withColumn("offset", F.col("_off") + F.col("length") * (k % F.col("_each"))).select(*pieces.columns, "sequence_id", "offset")

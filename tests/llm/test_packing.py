@@ -69,3 +69,13 @@ def test_frame(spark):
     full = check(rows, packed(frame(spark, rows, extra=True), PATH).collect())
     assert full > 0.97
     assert packed(frame(spark, []), PATH).collect() == []
+
+
+def test_words_encoded_together_equal_words_alone():
+    words = sorted({w.strip(".,").lower() for w in "The quick brown foxes, ñandú straße ΣΊΣΥΦΟΣ naïve éclair ⅷ ª ǅ 漢字 한국어 हिन्दी".split()} | {"a" * 3000})
+    got = WORDS.ids([" ".join(words)])[0]
+    assert np.frombuffer(got, "<u4").tolist() == TOK.encode(" ".join(words), add_special_tokens=False).ids
+    fresh = WordIds(PATH)
+    for w in words:
+        assert np.frombuffer(fresh.ids([w])[0], "<u4").tolist() == TOK.encode(w, add_special_tokens=False).ids
+        assert fresh.ids([w]) == WORDS.ids([w])
