@@ -39,7 +39,7 @@ class WordIds:
     #: Python splits at these, Unicode doesn't call them white space: texts with them are encoded whole.
     ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 
-    def __init__(self, path: str, cached: int = 600_000):
+    def __init__(self, path: str, cached: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tok, self.cache, self.cached = Tokenizer.from_file(path), {}, cached

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import jaccard, lines, media, packing, pieces, quality, secrets, toxicity
+from . import jaccard, lines, media, packing, pieces, quality, secrets, substrings, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_substring_dedup": substrings.op1_substring_dedup,
         "op2_media": media.op2_media,
         "op4_quality_rules": quality.op4_quality_rules,
         "op5_line_dedup": lines.op5_line_dedup,
