@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import jaccard, lines, media, packing, pieces, quality, secrets, substrings, toxicity
+from . import jaccard, lines, media, packing, pieces, quality, secrets, substrings, suffixes, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_substring_dedup": substrings.op1_substring_dedup,
         "op2_media": media.op2_media,
+        "op3_suffix_dedup": suffixes.op3_suffix_dedup,
         "op4_quality_rules": quality.op4_quality_rules,
         "op5_line_dedup": lines.op5_line_dedup,
         "op6_packing": packing.op6_packing,
