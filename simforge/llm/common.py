@@ -65,3 +65,26 @@ def words(text: Column) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def whole_groups(batches, least: int = 20_000):
+    """Arrow tables of rows that come sorted by their first column, each group of it in one table; a table has `least` rows or one group, unless it is the last."""
+    import numpy as np
+    import pyarrow as pa
+
+    held = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        if sum(x.num_rows for x in held) < least:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        k = t.column(0).to_numpy()
+        other = np.flatnonzero(k != k[-1])
+        if len(other):
+            cut = int(other[-1]) + 1
+            yield t.slice(0, cut)
+            held = t.slice(cut).to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()

@@ -18,8 +18,8 @@ token sets themselves.
 
 A large bucket isn't searched for all of its pairs at once: each member is first
 held against the bucket's smallest one, links so found make components, and
-only members outside the hub's component query the bucket, which is split into
-blocks with a tree each.
+only members outside the bucket's largest component query it, in blocks with a
+tree each, where a link found joins components on the spot.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, partitions, small_batches, written
+from .common import documents, partitions, small_batches, whole_groups, written
 from .components import components
 
 U = np.uint64
@@ -293,73 +293,121 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "bucket long, node long")
 
 
+def points_of(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(len(column), -1).astype(np.int64)
+
+
 def search_small(members: DataFrame, j: Join) -> DataFrame:
-    """a, b: surviving pairs within buckets (bucket, node, n_shingles, point) of j.small members at most."""
+    """a, b: surviving pairs within buckets (bucket, node, n_shingles, point) of j.small members at most. Buckets under a leaf need no tree: those of one size are bounded together."""
+    spark = members.sparkSession
+    small_batches(spark, 2000)
+    ordered = members.select("bucket", "node", "n_shingles", "point").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "node")
 
-    def run(key, pdf):
-        import pandas as pd
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches):
+            keys, nodes, sizes, points = t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2).to_numpy(), points_of(t.column(3))
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            count = np.diff(np.append(first, len(keys)))
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for n in np.unique(count).tolist():
+                groups = first[count == n]
+                if n > j.leaf:
+                    for at in groups.tolist():
+                        tree = RTree(points[at : at + n], sizes[at : at + n], j.leaf)
+                        for i in range(n):
+                            hits = tree.search(points[at + i], sizes[at + i], j.percent)
+                            hits = hits[hits > i]
+                            left.append(np.full(len(hits), at + i))
+                            right.append(at + hits)
+                    continue
+                x, y = np.triu_indices(n, 1)
+                for some in np.array_split(groups, max(1, len(groups) * len(x) // 50_000)):
+                    a, b = (some[:, None] + x).ravel(), (some[:, None] + y).ravel()
+                    ok = (100 + j.percent) * np.minimum(points[a], points[b]).sum(1) >= j.percent * (sizes[a] + sizes[b])
+                    ok &= 100 * np.minimum(sizes[a], sizes[b]) >= j.percent * np.maximum(sizes[a], sizes[b])
+                    left.append(a[ok])
+                    right.append(b[ok])
+            a, b = nodes[np.concatenate(left)], nodes[np.concatenate(right)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return ordered.mapInArrow(run, "a long, b long").distinct()
 
-        points = np.stack([np.frombuffer(p, "<u4") for p in pdf["point"]]).astype(np.int64)
-        sizes, nodes = pdf["n_shingles"].to_numpy(), pdf["node"].to_numpy()
-        tree, out = RTree(points, sizes, j.leaf), []
-        for i in range(len(nodes)):
-            hits = tree.search(points[i], sizes[i], j.percent)
-            out += [(nodes[i], nodes[h]) for h in hits if nodes[h] > nodes[i]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return members.groupBy("bucket").applyInPandas(run, "a long, b long").distinct()
+def linked(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    same = len(np.intersect1d(s, t, assume_unique=True))
+    return 100 * same >= percent * (len(s) + len(t) - same) > 0
 
 
 def search_blocks(strays: DataFrame, members: DataFrame, j: Join) -> DataFrame:
-    """a, b: surviving pairs of strays with members of other components of their bucket, block by block (bucket, block, node, n_shingles, point, component)."""
+    """a, b: links of strays with members of other components of their bucket, block by block (bucket, block, node, n_shingles, point, component, z).
+
+    Survivors of the bound are verified on the spot, and a link joins two
+    components, whose members needn't be held against each other any more. So a
+    block gives fewer links than it has components.
+    """
 
     def run(key, left, right):
+        import zlib
+
         import pandas as pd
 
         out = []
         if len(left) and len(right):
-            points = np.stack([np.frombuffer(p, "<u4") for p in right["point"]]).astype(np.int64)
             nodes, comp = right["node"].to_numpy(), right["component"].to_numpy()
-            tree = RTree(points, right["n_shingles"].to_numpy(), j.leaf)
-            for node, n, p, c in zip(left["node"], left["n_shingles"], left["point"], left["component"]):
-                hits = tree.search(np.frombuffer(p, "<u4").astype(np.int64), n, j.percent)
-                # one member of a component is enough only if it links; all survivors are verified
-                out += [(min(node, nodes[h]), max(node, nodes[h])) for h in hits if comp[h] != c]
+            tree, sets, parent = RTree(np.stack([np.frombuffer(p, "<u4") for p in right["point"]]).astype(np.int64), right["n_shingles"].to_numpy(), j.leaf), {}, {}
+
+            def root(c):
+                while parent.get(c, c) != c:
+                    c = parent[c]
+                return c
+
+            for node, n, p, c, z in zip(left["node"], left["n_shingles"], left["point"], left["component"], left["z"]):
+                own = None
+                for h in tree.search(np.frombuffer(p, "<u4").astype(np.int64), n, j.percent):
+                    if root(comp[h]) == root(c):
+                        continue
+                    if own is None:
+                        own = token_sets([zlib.decompress(z).decode()], j.n)[0]
+                    if h not in sets:
+                        sets[h] = token_sets([zlib.decompress(right["z"].iat[h]).decode()], j.n)[0]
+                    if linked(own, sets[h], j.percent):
+                        parent[root(comp[h])] = root(c)
+                        out.append((min(node, nodes[h]), max(node, nodes[h])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return strays.groupBy("bucket", "block").cogroup(members.groupBy("bucket", "block")).applyInPandas(run, "a long, b long").distinct()
 
 
-def verify(pairs: DataFrame, docs: DataFrame, j: Join, few: int = 1_000_000) -> DataFrame:
-    """The pairs (a, b) that link. Texts travel compressed to their pairs; which documents need to, is broadcast if they are few."""
+def small_texts(docs: DataFrame, ids: DataFrame, few: int = 1_000_000) -> DataFrame:
+    """node, z: written, the compressed texts of the documents whose ids (node, written) are wanted. They are broadcast if they are few."""
     import zlib
 
-    pairs = written(pairs, "jaccard-pairs")
-    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "jaccard-needed")
-    n = needed.count()
-    wanted = docs.join(F.broadcast(needed) if n <= few else needed, "doc_id", "left_semi")
+    ids = ids.withColumnRenamed("node", "doc_id")
+    wanted = docs.join(F.broadcast(ids) if ids.count() <= few else ids, "doc_id", "left_semi")
+    small_batches(docs.sparkSession)
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([zlib.compress(t.encode(), 1) for t in b.column(1).to_pylist()], pa.binary())], ["node", "z"])
 
-    z = written(wanted.mapInArrow(squeeze, "node long, z binary"), "jaccard-texts", "none")
+    return written(wanted.mapInArrow(squeeze, "node long, z binary"), "jaccard-texts", "none")
+
+
+def verify(pairs: DataFrame, z: DataFrame, j: Join) -> DataFrame:
+    """The pairs (a, b) that link, written. z: node, z, the compressed texts."""
+    import zlib
+
     both = pairs.join(z.withColumnRenamed("node", "a").withColumnRenamed("z", "za"), "a").join(z.withColumnRenamed("node", "b").withColumnRenamed("z", "zb"), "b").select("a", "b", "za", "zb")
+    small_batches(pairs.sparkSession, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             left, right = b.column(2).to_pylist(), b.column(3).to_pylist()
             texts = list(dict.fromkeys([*left, *right]))
             sets = dict(zip(texts, token_sets([zlib.decompress(t).decode() for t in texts], j.n)))
-            ok = []
-            for x, y in zip(left, right):
-                s, t = sets[x], sets[y]
-                same = len(np.intersect1d(s, t, assume_unique=True))
-                ok.append(100 * same >= j.percent * (len(s) + len(t) - same) > 0)
-            keep = pa.array(ok, pa.bool_())
+            keep = pa.array([linked(sets[x], sets[y], j.percent) for x, y in zip(left, right)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
-    small_batches(docs.sparkSession, 500)
     return written(both.mapInArrow(run, "a long, b long"), "jaccard-links")
 
 
@@ -387,21 +435,24 @@ def jaccard_components(docs: DataFrame, j: Join = Join()) -> DataFrame:
     sized = members.join(sizes, "bucket")
     small = search_small(sized.where(F.col("n") <= j.small).join(points, "node").select("bucket", "node", "n_shingles", "point"), j)
     star = sized.where((F.col("n") > j.small) & (F.col("node") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = verify(small.unionByName(star).distinct(), docs, j)
+    pairs = written(small.unionByName(star).distinct(), "jaccard-pairs")
+    z = small_texts(docs, written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "jaccard-needed"))
+    links = verify(pairs, z, j)
     same = ids.where("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     comps = components(links.unionByName(same))
 
-    # Members of large buckets that the hub's component doesn't hold query their buckets.
-    large = sized.where(F.col("n") > j.small).join(comps, "node", "left").select("bucket", "node", "n", "hub", F.coalesce("component_id", "node").alias("component"))
+    # Members of large buckets outside the bucket's largest component query it. All of them were in a star, so their texts are at hand.
+    large = sized.where(F.col("n") > j.small).join(comps, "node", "left").select("bucket", "node", "n", F.coalesce("component_id", "node").alias("component"))
     large = written(large, "jaccard-large")
-    hubs = large.where("node = hub").select("bucket", F.col("component").alias("hub_component"))
-    strays = large.join(hubs, "bucket").where("component != hub_component")
+    most = large.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("base"))
+    strays = large.join(most, "bucket").where("component != base")
     if strays.limit(1).count():
         number = F.ceil(F.col("n") / j.block).cast("int")
-        withp = large.join(points, "node")
-        blocks = withp.withColumn("block", F.pmod(F.xxhash64("node"), number).cast("int")).select("bucket", "block", "node", "n_shingles", "point", "component")
-        queries = strays.join(points, "node").withColumn("block", F.explode(F.sequence(F.lit(0), number - 1))).select("bucket", "block", "node", "n_shingles", "point", "component")
-        more = verify(search_blocks(written(queries, "jaccard-queries"), written(blocks, "jaccard-blocks"), j), docs, j)
+        known = points.join(z, "node")
+        columns = ("bucket", "block", "node", "n_shingles", "point", "component", "z")
+        blocks = large.join(strays.select("bucket").distinct(), "bucket").withColumn("block", F.pmod(F.xxhash64("node"), number).cast("int")).join(known, "node").select(*columns)
+        queries = strays.withColumn("block", F.explode(F.sequence(F.lit(0), number - 1))).join(known, "node").select(*columns)
+        more = written(search_blocks(written(queries, "jaccard-queries"), written(blocks, "jaccard-blocks"), j), "jaccard-links")
         comps = components(links.unionByName(same).unionByName(more))
     out = rows.join(comps, rows["doc_id"] == comps["node"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
