@@ -10,6 +10,7 @@ before anything is computed from it.
 
 from __future__ import annotations
 
+import bz2
 import hashlib
 import struct
 import zlib
@@ -30,9 +31,9 @@ GEAR = np.random.default_rng(2024).integers(0, 2**32, 256, dtype=np.uint32)
 
 @dataclass(frozen=True)
 class Cuts:
-    least: int = 8 << 10
+    least: int = 16 << 10
     mask: int = (1 << 13) - 1
-    most: int = 64 << 10
+    most: int = 128 << 10
 
 
 def payload(text: str) -> bytes:
@@ -84,14 +85,12 @@ def feature(raw: bytes) -> str:
 STORED = "doc_id long, n_bytes long, media binary, seq int, n_chunks int, digest binary, blob binary, kind string"
 
 
-def ingest(docs: DataFrame, c: Cuts = Cuts(), level: int = 12) -> DataFrame:
+def ingest(docs: DataFrame, c: Cuts = Cuts(), level: int = 9) -> DataFrame:
     """The written table of a row for each document (kind doc) and for each chunk that its task hadn't met (kind chunk)."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        pack, seen = zstandard.ZstdCompressor(level=level, write_checksum=False, write_content_size=True), set()
+        seen: set[bytes] = set()
         for b in batches:
             rows: list[tuple] = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -106,7 +105,7 @@ def ingest(docs: DataFrame, c: Cuts = Cuts(), level: int = 12) -> DataFrame:
                 parts = chunks(raw, c)
                 for k, part in enumerate(parts):
                     digest = hashlib.sha256(part).digest()
-                    rows.append((None, None, media, k, len(parts), digest, None if digest in seen else pack.compress(part), "chunk"))
+                    rows.append((None, None, media, k, len(parts), digest, None if digest in seen else bz2.compress(part, level), "chunk"))
                     seen.add(digest)
             columns = zip(*rows) if rows else [()] * 8
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.string())
@@ -138,24 +137,21 @@ def verified(media: DataFrame) -> DataFrame:
     """What is computed of each medium that was read back; a chunk missing or a digest that differs ends the job."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        unpack = zstandard.ZstdDecompressor()
         for b in batches:
             rows = []
             for m, n, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 blobs = [p["blob"] for p in parts.as_py()]
-                raw = b"".join(map(unpack.decompress, blobs))
+                raw = b"".join(map(bz2.decompress, blobs))
                 whole = header(len(raw)) + raw
                 if len(blobs) != n or hashlib.sha256(whole).digest() != m:
                     raise ValueError(f"medium {m.hex()} doesn't come back from the store as it was")
                 samples = whole[44:]
-                rows.append((m, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(whole), m.hex(), feature(samples)))
-            columns = zip(*rows) if rows else [()] * 7
-            kinds = (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds)], ["media", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                rows.append((m, len(samples), hashlib.sha256(samples).digest(), zlib.crc32(samples[-64:]), len(whole), feature(samples)))
+            columns = zip(*rows) if rows else [()] * 6
+            kinds = (pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds)], ["media", "payload_bytes", "payload", "tail_crc32", "media_bytes", "feature"])
 
-    return media.mapInArrow(run, "media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(run, "media binary, payload_bytes long, payload binary, tail_crc32 long, media_bytes long, feature string")
 
 
 def media_columns(docs: DataFrame, c: Cuts = Cuts()) -> DataFrame:
@@ -168,7 +164,8 @@ def media_columns(docs: DataFrame, c: Cuts = Cuts()) -> DataFrame:
     ingested = ingest(docs, c)
     computed = verified(read_back(*store(ingested)))
     rows = ingested.where("kind = 'doc'").select("doc_id", "n_bytes", "media")
-    return rows.join(computed, "media").drop("media")
+    digest = lambda c: F.lower(F.hex(c))  # noqa: E731  digests travel as 32 bytes
+    return rows.join(computed, "media").select("doc_id", "n_bytes", "payload_bytes", digest("payload").alias("payload_sha256"), "tail_crc32", "media_bytes", digest("media").alias("media_sha256"), "feature")
 
 
 def op2_media(spark, sf_dir):
