@@ -9,6 +9,7 @@ its words. Embeddings and the softmax above them are learned together by Adam.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +31,7 @@ class Options:
     dim: int = 8
     shortest: int = 3
     longest: int = 6
-    sample: int = 12_000
+    sample: int = 8_000
     epochs: int = 8
     least_steps: int = 300
     batch: int = 128
@@ -78,21 +79,15 @@ class Bags:
     """Documents as sparse counts of embedding rows."""
 
     def __init__(self, docs: list[str], o: Options):
-        ids, counts, ends, index = [], [], [], {}
-        words = [split(t) for t in docs]
-        for ws in words:
-            for w in ws:
-                index.setdefault(w, len(index))
-        rows, first = features(list(index), o)
-        last = np.append(first[1:], len(rows))
-        for ws in words:
-            own, n = np.unique(np.fromiter((index[w] for w in ws), np.int64, len(ws)), return_counts=True)
-            spans = [rows[first[i] : last[i]] for i in own]
-            r, inverse = np.unique(np.concatenate(spans) if spans else np.zeros(0, np.int64), return_inverse=True)
-            weight = np.bincount(inverse, np.repeat(n, last[own] - first[own]) if len(own) else None, minlength=len(r))
-            ids.append(r.astype(np.int32))
-            counts.append((weight / max(1.0, weight.sum())).astype(np.float32))
-        self.ids, self.shares = ids, counts
+        self.ids, self.shares = [], []
+        for text in docs:
+            n = Counter(split(text))
+            rows, first = features(list(n), o)
+            times = np.repeat(np.fromiter(n.values(), np.float32, len(n)), np.diff(np.append(first, len(rows))))
+            r, inverse = np.unique(rows, return_inverse=True)
+            weight = np.bincount(inverse, times, minlength=len(r))
+            self.ids.append(r.astype(np.int32))
+            self.shares.append((weight / max(1.0, weight.sum())).astype(np.float32))
 
 
 def train(docs: list[str], toxic: list[int], o: Options = Options()) -> tuple[np.ndarray, float]:
