@@ -7,21 +7,28 @@ from pyspark.sql import functions as F
 
 from .tables import fixpoint
 
-BY = Window.partitionBy("func").orderBy("pos")
-UPTO = BY.rowsBetween(Window.unboundedPreceding, 0)
-BEFORE = BY.rowsBetween(Window.unboundedPreceding, -1)
-AFTER = BY.rowsBetween(1, Window.unboundedFollowing)
+
+def upto():
+    return Window.partitionBy("func").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+
+
+def before():
+    return Window.partitionBy("func").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def after():
+    return Window.partitionBy("func").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
 
 
 def load_ordinals(stmt: DataFrame) -> DataFrame:
     """Each load's number in its function, from 0."""
-    return stmt.withColumn("ordinal", F.sum(F.when(F.col("op") == "load", 1).otherwise(0)).over(UPTO) - 1).where("op = 'load'")
+    return stmt.withColumn("ordinal", F.sum(F.when(F.col("op") == "load", 1).otherwise(0)).over(upto()) - 1).where("op = 'load'")
 
 
 def running_height(stmt: DataFrame, step: Column, unknown: Column) -> DataFrame:
     """The sum of steps so far, null from the first unknown one on."""
-    lost = F.max(F.when(unknown, 1).otherwise(0)).over(UPTO)
-    return stmt.withColumn("height", F.when(lost == 0, F.sum(step).over(UPTO)))
+    lost = F.max(F.when(unknown, 1).otherwise(0)).over(upto())
+    return stmt.withColumn("height", F.when(lost == 0, F.sum(step).over(upto())))
 
 
 def last_definitions(stmt: DataFrame) -> DataFrame:
@@ -56,12 +63,12 @@ def killed(stmt: DataFrame) -> DataFrame:
 
 def remaining(stmt: DataFrame) -> DataFrame:
     """How many loads are left after each statement."""
-    return stmt.withColumn("loads_left", F.coalesce(F.count_if(F.col("op") == "load").over(AFTER), F.lit(0)))
+    return stmt.withColumn("loads_left", F.coalesce(F.count_if(F.col("op") == "load").over(after()), F.lit(0)))
 
 
 def pieces(stmt: DataFrame, ends: Column) -> DataFrame:
     """A block number for each statement: a block ends with a statement where `ends` holds."""
-    return stmt.withColumn("block", F.coalesce(F.sum(F.when(ends, 1).otherwise(0)).over(BEFORE), F.lit(0)))
+    return stmt.withColumn("block", F.coalesce(F.sum(F.when(ends, 1).otherwise(0)).over(before()), F.lit(0)))
 
 
 def def_ref(stmt: DataFrame) -> DataFrame:

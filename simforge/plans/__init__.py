@@ -1,13 +1,16 @@
 """Registered queries over the driver's tables, with their SQL."""
 
+from .registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    """The evaluation funnel by group."""
+    return QUERIES["a4_funnel_by_group"](spark, sf_dir)
