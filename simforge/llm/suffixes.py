@@ -1,9 +1,9 @@
 """Removal of repeated byte strings by a distributed merge sort of suffixes.
 
-Suffixes are taken where a 50-byte window has its least 16-byte hash: equal
+Suffixes are taken where a 50-byte window has its least hash of 12 bytes: equal
 windows have it at the same place, so of two equal windows the suffixes from
 there on agree up to the windows' end, and the bytes in front of them agree
-back to the windows' start. About one suffix in eighteen is enough for all
+back to the windows' start. About one suffix in twenty is enough for all
 windows, and each of them carries the bytes that its windows have in front.
 
 A task sorts the suffixes of some texts, parts them at splitters, and sends
@@ -12,7 +12,7 @@ with the one before it, and the rest. A loser tree merges the runs of a range.
 It keeps for each run the length of the prefix that its head shares with the
 last winner: of two heads the one that shares more is the smaller, and only
 heads that share equally much are compared, from there on. The lengths tell
-where neighbours stop agreeing in 16 bytes, so the groups in which equal
+where neighbours stop agreeing in 12 bytes, so the groups in which equal
 windows meet come out of the merge itself.
 """
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import documents, partitions, small_batches, written
 from .substrings import BASE, BYTE, U, keyed, mix, sliding_min, squeezed
 
-GRAM = 16
+GRAM = 12
 LOW = U((1 << 24) - 1)
 
 
@@ -54,9 +54,13 @@ def anchors(raw: np.ndarray, ends: np.ndarray, size: int, most: int = 8 << 20) -
         return tuple(np.concatenate([p[k] + s for s, p in parts]) for k in range(3))
     with np.errstate(over="ignore"):
         h, power, span = BYTE[raw], BASE, 1
-        while span < GRAM:
+        while span < 4:
             h = h[:-span] * power + h[span:]
             power, span = power * power, span * 2
+        four, more = h, power
+        while span < GRAM:
+            h = h[: len(four) - span] * more + four[span:]
+            span += 4
         h = (mix(h) & ~LOW) | np.arange(len(h), dtype=U)
     least = sliding_min(h, size - GRAM + 1)
     stop = np.repeat(ends, np.diff(ends, prepend=0))[: len(least)]
@@ -69,7 +73,7 @@ def anchors(raw: np.ndarray, ends: np.ndarray, size: int, most: int = 8 << 20) -
 
 
 def heads(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The 16 bytes from each place on, as rows."""
+    """The first bytes from each place on, as rows."""
     return raw[at[:, None] + np.arange(GRAM)]
 
 
@@ -83,28 +87,27 @@ def common(a: bytes, b: bytes, h: int = 0) -> int:
     return h
 
 
+def planes(x: np.ndarray) -> bytes:
+    """32-bit numbers, all lowest bytes first and so on, which leaves long runs of zeros."""
+    return np.ascontiguousarray(x.astype("<u4").view("u1").reshape(-1, 4).T).tobytes()
+
+
 class Run:
     """The suffixes of some texts, to be sorted and front-coded."""
 
     def __init__(self):
-        self.raws, self.docs, self.parts, self.base, self.copies = [], [], [], 0, {}
+        self.raws, self.docs, self.parts, self.base = [], [], [], 0
 
     def add(self, docs: list[tuple[int, int, bytes]], size: int) -> None:
-        """docs: id, text hash, text. Of equal texts the smallest id stands for all."""
-        fresh = []
+        """docs: id, text hash, text."""
+        at = self.base
         for i, th, raw in docs:
-            d = hashlib.blake2b(raw, digest_size=16).digest()
-            if d in self.copies:
-                k = self.copies[d]
-                self.docs[k] = min(self.docs[k], (i, th, self.docs[k][2]))
-            else:
-                self.copies[d] = len(self.docs)
-                self.docs.append((i, th, self.base + sum(map(len, fresh))))
-                fresh.append(raw)
-        whole = b"".join(fresh)
-        first, end, at = anchors(np.frombuffer(whole, np.uint8), np.cumsum([len(r) for r in fresh]) if fresh else np.zeros(0, np.int64), size)
+            self.docs.append((i, th, at))
+            at += len(raw)
+        whole = b"".join([raw for *_, raw in docs])
+        first, end, place = anchors(np.frombuffer(whole, np.uint8), np.cumsum([len(raw) for *_, raw in docs]) if docs else np.zeros(0, np.int64), size)
         self.raws.append(whole)
-        self.parts.append((first + self.base, end + self.base, at + self.base))
+        self.parts.append((first + self.base, end + self.base, place + self.base))
         self.base += len(whole)
 
     def blobs(self, splitters: np.ndarray) -> tuple[list[int], list[bytes]]:
@@ -116,9 +119,9 @@ class Run:
         if not len(at):
             return [], []
         rows = heads(np.frombuffer(buf, np.uint8), at)
-        keys = np.ascontiguousarray(rows).view(">u8").astype(U)
-        order = np.lexsort((keys[:, 1], keys[:, 0]))
-        rows, keys = rows[order], keys[order]
+        high = np.ascontiguousarray(rows[:, :8]).view(">u8")[:, 0].astype(U)
+        order = np.lexsort((np.ascontiguousarray(rows[:, 8:]).view(">u4")[:, 0], high))
+        rows, high = rows[order], high[order]
         unlike = rows[1:] != rows[:-1]
         lcp = np.concatenate([[0], np.where(unlike.any(1), unlike.argmax(1), GRAM)])
         tie = np.flatnonzero(np.diff(np.concatenate([[0], (lcp == GRAM).astype(np.int8), [0]])))
@@ -130,7 +133,7 @@ class Run:
         starts = np.array([d[2] for d in self.docs], np.int64)
         doc = np.searchsorted(starts, first, "right") - 1
         ids, ths = np.array([d[0] for d in self.docs], "<i8"), np.array([d[1] for d in self.docs], "<u4")
-        where = np.searchsorted(splitters, keys[:, 0], "right")
+        where = np.searchsorted(splitters, high, "right")
         cut = np.flatnonzero(np.diff(where, prepend=-1))
         z, ranges, out = zstandard.ZstdCompressor(level=3), where[cut].tolist(), []
         for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(where)]):
@@ -140,7 +143,7 @@ class Run:
             tails = b"".join([buf[a:b] + buf[c:d] for a, b, c, d in zip((at[s:e] + shared).tolist(), end[s:e].tolist(), first[s:e].tolist(), at[s:e].tolist())])
             head = np.array([e - s, len(own)], "<u4").tobytes() + ids[own].tobytes() + ths[own].tobytes()
             body = shared.astype("u1").tobytes() + (end[s:e] - at[s:e]).astype("u1").tobytes() + (at[s:e] - first[s:e]).astype("u1").tobytes()
-            out.append(z.compress(head + body + local.astype("<u4").tobytes() + (first[s:e] - starts[doc[s:e]]).astype("<u4").tobytes() + tails))
+            out.append(z.compress(head + body + planes(local) + planes(first[s:e] - starts[doc[s:e]]) + tails))
         return ranges, out
 
 
@@ -160,7 +163,7 @@ def decoded(blob: bytes) -> tuple[list[bytes], list[int], list[bytes], list[int]
 
     ids, ths = take("<i8", m), take("<u4", m)
     shared, right, left = (take("u1", n).astype(np.int64) for _ in range(3))
-    doc, first = take("<u4", n), take("<u4", n)
+    doc, first = (np.ascontiguousarray(take("u1", 4 * n).reshape(4, n).T).view("<u4")[:, 0] for _ in range(2))
     ends = at + np.cumsum(right - shared + left)
     mids = ends - left
     suffixes, before, last = [], [], b""
@@ -366,26 +369,33 @@ def choose_splitters(docs: DataFrame, o: Strings) -> np.ndarray:
     """First 8 bytes of suffixes that part those of o.sample documents, chosen by a hash, evenly."""
     n = o.ranges * partitions(docs.sparkSession)
     r = Run()
-    for x in docs.orderBy(F.xxhash64("id", "th")).limit(o.sample).collect():
+    chosen = docs.select("id", "th").orderBy(F.xxhash64("id", "th")).limit(o.sample)
+    for x in docs.join(F.broadcast(chosen), ["id", "th"], "left_semi").collect():
         r.add([(x.id, x.th, x.text.encode())], o.size)
     at = np.concatenate([p[2] for p in r.parts]) if r.parts else np.zeros(0, np.int64)
     if not len(at):
         return np.zeros(0, U)
-    first = np.sort(np.ascontiguousarray(heads(np.frombuffer(b"".join(r.raws), np.uint8), at)).view(">u8")[:, 0].astype(U))
+    first = np.sort(np.ascontiguousarray(heads(np.frombuffer(b"".join(r.raws), np.uint8), at)[:, :8]).view(">u8")[:, 0].astype(U))
     return np.unique(first[np.linspace(0, len(first) - 1, n + 1)[1:-1].astype(int)])
 
 
-def remove_later_copies(docs: DataFrame, o: Strings = Strings(), with_text: bool = True) -> DataFrame:
+def remove_later_copies(docs: DataFrame, o: Strings = Strings(), with_text: bool = True, few: int = 1_000_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with_text, kept (binary, else null): one row for each row of docs.
 
     A byte goes if it lies in o.size bytes that also start in a document of smaller
     doc_id. A null or empty text has no bytes; texts under o.size bytes stay, as do
     rows without a doc_id, which no other row is held against. Rows of one doc_id
     aren't held against each other. A text that a smaller doc_id has too goes
-    whole, found by its digest; of such copies a task sorts the smallest alone.
+    whole, found by its digest, and isn't sorted; which ones, is broadcast if they
+    are `few`, and joined by a shuffle beyond that.
     """
     k = keyed(docs)
     slim = k.where("doc_id is not null").select("id", "th", "text")
+    digests = written(slim.where(F.octet_length("text") >= o.size).select("id", "th", F.unhex(F.md5("text")).alias("digest")), "suffix-texts")
+    lowest = digests.groupBy("digest").agg(F.min("id").alias("lowest"))
+    copies = written(digests.join(lowest, "digest").where("id > lowest").select("id", "th").distinct(), "suffix-copies")
+    known = F.broadcast(copies) if copies.count() <= few else copies
+    slim = slim.join(known, ["id", "th"], "left_anti")
     found = written(matches(runs_of(slim, choose_splitters(slim, o), o), o), "suffix-matches")
     plain = found.where("key is null").select("id", "th", "lo", "hi")
     lows = found.where("lows is not null").select("key", "lows")
@@ -393,12 +403,10 @@ def remove_later_copies(docs: DataFrame, o: Strings = Strings(), with_text: bool
     windows = many.select("id", "th", "first", F.posexplode("lows").alias("i", "low")).where("low < id")
     settled = windows.select("id", "th", (F.col("first") + F.col("i")).alias("lo"), (F.col("first") + F.col("i") + o.size).alias("hi"))
     hits = plain.unionByName(settled).groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("hits"))
-    digests = slim.where(F.octet_length("text") >= o.size).select("id", "th", F.unhex(F.md5("text")).alias("digest"))
-    digests = written(digests, "suffix-texts")
-    lowest = digests.groupBy("digest").agg(F.min("id").alias("lowest"))
-    copies = digests.join(lowest, "digest").where("id > lowest").select("id", "th").distinct().withColumn("copy", F.lit(True))
-    marks = hits.join(copies, ["id", "th"], "full").select("id", "th", "hits", "copy")
-    both = squeezed(k).join(marks, ["id", "th"], "left").select("doc_id", "z", "hits", "copy")
+    marked = k.join(known.withColumn("copy", F.lit(True)), ["id", "th"], "left").withColumn("n", F.octet_length("text").cast("long"))
+    marked = marked.withColumn("copy", F.coalesce("copy", F.lit(False)) & F.col("doc_id").isNotNull())
+    whole = marked.where("copy").select("doc_id", F.col("n").alias("n_bytes"), F.col("n").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"), F.lit(b"" if with_text else None).cast("binary").alias("kept"))
+    both = squeezed(marked.where("not copy").select("id", "th", "text", "doc_id")).join(hits, ["id", "th"], "left").select("doc_id", "z", "hits")
     small_batches(docs.sparkSession, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,11 +415,9 @@ def remove_later_copies(docs: DataFrame, o: Strings = Strings(), with_text: bool
         un = zstandard.ZstdDecompressor()
         for b in batches:
             rows = []
-            for doc, z, hits, copy in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
+            for doc, z, hits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 raw, spans = un.decompress(z), []
-                if doc is not None and copy:
-                    spans = [[0, len(raw)]]
-                elif doc is not None:
+                if doc is not None:
                     for lo, hi in sorted((h["lo"], h["hi"]) for h in hits.as_py() or ()):
                         if spans and lo <= spans[-1][1]:
                             spans[-1][1] = max(spans[-1][1], hi)
@@ -423,7 +429,7 @@ def remove_later_copies(docs: DataFrame, o: Strings = Strings(), with_text: bool
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, kinds)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").unionByName(whole)
 
 
 def op3_suffix_dedup(spark, sf_dir):
