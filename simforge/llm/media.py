@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import documents, small_batches, texts, written
 
 RATE = 8000
+#: Bytes of a SHA-256 that media and chunks are known by.
+KEY = 16
 #: A random number for each byte value, by a fixed seed.
 GEAR = np.random.default_rng(2024).integers(0, 2**32, 256, dtype=np.uint32)
 
@@ -95,7 +97,7 @@ def ingest(docs: DataFrame, c: Cuts = Cuts(), level: int = 9) -> DataFrame:
             rows: list[tuple] = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 raw = payload(text)
-                media = hashlib.sha256(header(len(raw)) + raw).digest()
+                media = hashlib.sha256(header(len(raw)) + raw).digest()[:KEY]
                 rows.append((doc, len(text.encode()), media, None, None, None, None, "doc"))
                 if media in seen:
                     continue
@@ -104,7 +106,7 @@ def ingest(docs: DataFrame, c: Cuts = Cuts(), level: int = 9) -> DataFrame:
                 seen.add(media)
                 parts = chunks(raw, c)
                 for k, part in enumerate(parts):
-                    digest = hashlib.sha256(part).digest()
+                    digest = hashlib.sha256(part).digest()[:KEY]
                     rows.append((None, None, media, k, len(parts), digest, None if digest in seen else bz2.compress(part, level), "chunk"))
                     seen.add(digest)
             columns = zip(*rows) if rows else [()] * 8
@@ -143,15 +145,16 @@ def verified(media: DataFrame) -> DataFrame:
                 blobs = [p["blob"] for p in parts.as_py()]
                 raw = b"".join(map(bz2.decompress, blobs))
                 whole = header(len(raw)) + raw
-                if len(blobs) != n or hashlib.sha256(whole).digest() != m:
+                sha = hashlib.sha256(whole).digest()
+                if len(blobs) != n or sha[:KEY] != m:
                     raise ValueError(f"medium {m.hex()} doesn't come back from the store as it was")
                 samples = whole[44:]
-                rows.append((m, len(samples), hashlib.sha256(samples).digest(), zlib.crc32(samples[-64:]), len(whole), feature(samples)))
-            columns = zip(*rows) if rows else [()] * 6
-            kinds = (pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds)], ["media", "payload_bytes", "payload", "tail_crc32", "media_bytes", "feature"])
+                rows.append((m, len(samples), hashlib.sha256(samples).digest(), zlib.crc32(samples[-64:]), len(whole), sha[KEY:], feature(samples)))
+            columns = zip(*rows) if rows else [()] * 7
+            kinds = (pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds)], ["media", "payload_bytes", "payload", "tail_crc32", "media_bytes", "rest", "feature"])
 
-    return media.mapInArrow(run, "media binary, payload_bytes long, payload binary, tail_crc32 long, media_bytes long, feature string")
+    return media.mapInArrow(run, "media binary, payload_bytes long, payload binary, tail_crc32 long, media_bytes long, rest binary, feature string")
 
 
 def media_columns(docs: DataFrame, c: Cuts = Cuts()) -> DataFrame:
@@ -165,7 +168,7 @@ def media_columns(docs: DataFrame, c: Cuts = Cuts()) -> DataFrame:
     computed = verified(read_back(*store(ingested)))
     rows = ingested.where("kind = 'doc'").select("doc_id", "n_bytes", "media")
     digest = lambda c: F.lower(F.hex(c))  # noqa: E731  digests travel as 32 bytes
-    return rows.join(computed, "media").select("doc_id", "n_bytes", "payload_bytes", digest("payload").alias("payload_sha256"), "tail_crc32", "media_bytes", digest("media").alias("media_sha256"), "feature")
+    return rows.join(computed, "media").select("doc_id", "n_bytes", "payload_bytes", digest("payload").alias("payload_sha256"), "tail_crc32", "media_bytes", digest(F.concat("media", "rest")).alias("media_sha256"), "feature")
 
 
 def op2_media(spark, sf_dir):
