@@ -120,3 +120,38 @@ def reduce_buckets(items: list, same, least: int = 8) -> list[list]:
         else:
             left.append(b)
     return left
+
+
+def shared_names(df: DataFrame, item: str, name: str) -> DataFrame:
+    """item, same: the smallest item that is linked to it by names they share, directly or by way of others."""
+    from .tables import settled
+
+    state = settled(df.select(item, name).distinct().withColumn("same", F.col(item)))
+    while True:
+        low = state.groupBy(name).agg(F.min("same").alias("_n"))
+        new = state.join(low, name).groupBy(item).agg(F.min("_n").alias("_s"))
+        after = settled(state.join(new, item).select(item, name, F.col("_s").alias("same"), (F.col("_s") != F.col("same")).alias("_moved")))
+        state = after.select(item, name, "same")
+        if not after.where("_moved").limit(1).count():
+            return state.select(item, "same").distinct()
+
+
+def resolved_calls(sites: DataFrame, functions: DataFrame, plt: DataFrame) -> DataFrame:
+    """site, target of each call (site, addr): the function that starts there, else the linkage entry, else unknown at that address."""
+    f = functions.select(F.col("start").alias("addr"), F.col("symbol").alias("_f"))
+    p = plt.select("addr", F.col("symbol").alias("_p"))
+    unknown = F.concat(F.lit("unknown@"), F.col("addr").cast("string"))
+    return sites.join(f, "addr", "left").join(p, "addr", "left").select("site", F.coalesce("_f", "_p", unknown).alias("target"))
+
+
+def in_ground_truth(pairs: DataFrame, truth: DataFrame) -> DataFrame:
+    """pairs (caller, callee) with hit: whether an instance has a caller range and a callee range that start there (caller_ranges, callee_ranges)."""
+    t = truth.select(F.explode("caller_ranges").alias("a"), "callee_ranges").select(F.col("a.lo").alias("caller"), F.explode("callee_ranges").alias("b")).select("caller", F.col("b.lo").alias("callee")).distinct()
+    return pairs.join(t.withColumn("_h", F.lit(True)), ["caller", "callee"], "left").withColumn("hit", F.coalesce("_h", F.lit(False))).drop("_h")
+
+
+def bucket_match(left: DataFrame, right: DataFrame, by: str, bounds: list[str]) -> DataFrame:
+    """by, matched: whether both sides have the same number of arrays of every bounds."""
+    a = left.groupBy(by, *bounds).agg(F.count("*").alias("_a"))
+    b = right.groupBy(by, *bounds).agg(F.count("*").alias("_b"))
+    return a.join(b, [by, *bounds], "full").groupBy(by).agg(F.bool_and(F.coalesce(F.col("_a") == F.col("_b"), F.lit(False))).alias("matched"))

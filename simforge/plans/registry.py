@@ -110,11 +110,13 @@ def _(s, d):
     return C.last(res(s, d), "cust", "id").select("cust", "id", "fuzz", "overlap")
 
 
-@query("j7_a13_compare_runs", f"""WITH {E.RESULT}, a AS (SELECT cluster, {KEY} AS k FROM result WHERE run = 0 AND symbol <> 3), b AS (SELECT cluster, {KEY} AS k FROM result WHERE run = 1 AND symbol <> 4)
-SELECT status, count(*) AS n FROM (SELECT CASE WHEN a.k IS NULL THEN 'new' WHEN b.k IS NULL THEN 'gone' WHEN a.k < b.k THEN 'better' WHEN a.k > b.k THEN 'worse' ELSE 'same' END AS status FROM a FULL JOIN b USING (cluster)) GROUP BY status""")
+@query("j7_a13_compare_runs", f"""WITH {E.RESULT}, best AS (SELECT * FROM (SELECT cust, status, {KEY} AS k, row_number() OVER (PARTITION BY cust, status ORDER BY {KEY} DESC, id) AS r FROM result) WHERE r = 1),
+a AS (SELECT cust, k FROM best WHERE status = 'F'), b AS (SELECT cust, k FROM best WHERE status = 'O')
+SELECT status, count(*) AS n FROM (SELECT CASE WHEN a.k IS NULL THEN 'new' WHEN b.k IS NULL THEN 'gone' WHEN a.k < b.k THEN 'better' WHEN a.k > b.k THEN 'worse' ELSE 'same' END AS status FROM a FULL JOIN b USING (cust)) GROUP BY status""")
 def _(s, d):
     r = res(s, d)
-    return C.compare_runs(r.where("run = 0 and symbol != 3"), r.where("run = 1 and symbol != 4"), "cluster").groupBy("status").agg(F.count("*").alias("n"))
+    old, new = (C.best(r.where(F.col("status") == x), "cust", "id") for x in "FO")
+    return C.compare_runs(old, new, "cust").groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query("a12_confusion", f"""SELECT *, {pct("tp", "sites")} AS tp_pct, {pct("fn", "sites")} AS fn_pct FROM (SELECT *, sites - tp AS fn, total - fp - sites AS tn FROM (
@@ -264,9 +266,9 @@ def _(s, d):
     return E.intervals(s, d).select("base", "lo", "hi", lo.alias("both_lo"), hi.alias("both_hi"))
 
 
-@query("n5_high_bound", f"WITH {E.INTERVAL} SELECT base, lo, width, CASE WHEN lo + 9223372036854775000 > 9223372036854775807 - (width - 1) THEN 9223372036854775807 ELSE lo + 9223372036854775000 + width - 1 END AS hi FROM (SELECT base, lo, width FROM access WHERE lo < 800)")
+@query("n5_high_bound", f"WITH {E.INTERVAL} SELECT base, lo, width, CASE WHEN lo + 9223372036854775000 > 9223372036854775807 - (width - 1) THEN 9223372036854775807 ELSE lo + 9223372036854775000 + width - 1 END AS hi FROM access")
 def _(s, d):
-    return E.intervals(s, d).where("lo < 800").select("base", "lo", "width", I.high_bound(F.col("lo") + 9223372036854775000, F.col("width")).alias("hi"))
+    return E.intervals(s, d).select("base", "lo", "width", I.high_bound(F.col("lo") + 9223372036854775000, F.col("width")).alias("hi"))
 
 
 @query("b1_batches", f"""WITH {E.SUBJECT}, v AS (SELECT DISTINCT compiler, major, version FROM subject), p AS (SELECT a.compiler, a.major, a.version AS lv, b.version AS rv FROM v a JOIN v b ON a.compiler = b.compiler AND a.major = b.major AND a.version < b.version)
@@ -540,3 +542,86 @@ def _(s, d):
 def _(s, d):
     g = E.table(s, d, "orders").where("o_orderstatus in ('F', 'O')").groupBy("o_custkey").agg(F.bool_or(F.col("o_orderstatus") == "F").alias("f"), F.bool_or(F.col("o_orderstatus") == "O").alias("o"))
     return g.agg(F.count_if(F.col("f") & F.col("o")).alias("n_both"), F.count_if(F.col("f") & ~F.col("o")).alias("n_first"), F.count("*").alias("n_any"))
+
+
+@query("a20_shared_names", """WITH RECURSIVE m AS (SELECT DISTINCT l_orderkey AS item, l_partkey * 10000000 + l_suppkey * 100 + l_linenumber AS name FROM lineitem),
+l AS (SELECT item, item AS same FROM m UNION SELECT b.item, l.same FROM l JOIN m a ON a.item = l.item JOIN m b ON a.name = b.name) SELECT item, min(same) AS same FROM l GROUP BY item""")
+def _(s, d):
+    t = E.table(s, d, "lineitem").select(F.col("l_orderkey").alias("item"), (F.col("l_partkey") * 10000000 + F.col("l_suppkey") * 100 + F.col("l_linenumber")).alias("name"))
+    return P.shared_names(t, "item", "name")
+
+
+@query("j14_call_targets", """SELECT o_orderkey AS site, coalesce(c_name, s_name, 'unknown@' || o_custkey) AS target FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment = 'MACHINERY') ON c_custkey = o_custkey LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 0) ON s_suppkey = o_custkey""")
+def _(s, d):
+    sites = E.table(s, d, "orders").select(F.col("o_orderkey").alias("site"), F.col("o_custkey").alias("addr"))
+    funcs = E.table(s, d, "customer").where("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("start"), F.col("c_name").alias("symbol"))
+    return P.resolved_calls(sites, funcs, E.table(s, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("addr"), F.col("s_name").alias("symbol")))
+
+
+@query("j16_ground_truth", """SELECT caller, callee, EXISTS (SELECT 1 FROM lineitem l JOIN part ON p_partkey = l_partkey WHERE l.l_suppkey = caller AND p_size = callee) AS hit FROM (SELECT DISTINCT o_custkey % 100 AS caller, o_orderkey % 50 AS callee FROM orders)""")
+def _(s, d):
+    span = lambda c: F.struct(F.col(c).cast("long").alias("lo"), (F.col(c) + 1).cast("long").alias("hi"))
+    truth = E.table(s, d, "lineitem").join(E.table(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size"), "l_partkey").groupBy("l_suppkey").agg(F.collect_set(span("p_size")).alias("callee_ranges")).select(F.array(span("l_suppkey")).alias("caller_ranges"), "callee_ranges")
+    pairs = E.table(s, d, "orders").select((F.col("o_custkey") % 100).alias("caller"), (F.col("o_orderkey") % 50).alias("callee")).distinct()
+    return P.in_ground_truth(pairs, truth)
+
+
+@query("j23_bucket_match", f"""WITH {E.INTERVAL}, a AS (SELECT base, lo, hi, count(*) AS k FROM access WHERE width > 4 GROUP BY ALL), b AS (SELECT base, lo, hi, count(*) AS k FROM access WHERE width > 8 GROUP BY ALL)
+SELECT base, bool_and(coalesce(a.k = b.k, false)) AS matched FROM a FULL JOIN b USING (base, lo, hi) GROUP BY base""")
+def _(s, d):
+    x = E.intervals(s, d)
+    return P.bucket_match(x.where("width > 4"), x.where("width > 8"), "base", ["lo", "hi"])
+
+
+@query("a23_a26_reasons", "SELECT event_type, CASE WHEN value < 10 THEN 'bare' WHEN value < 50 THEN 'summarized' ELSE 'completed' END AS state, count(*) AS n FROM events GROUP BY ALL")
+def _(s, d):
+    state = F.when(F.col("value") < 10, "bare").when(F.col("value") < 50, "summarized").otherwise("completed")
+    return E.table(s, d, "events").groupBy("event_type", state.alias("state")).agg(F.count("*").alias("n"))
+
+
+@query("a28_a29_instructions", f"WITH {E.STMT} SELECT func, count(*) AS n_instructions, count(DISTINCT op || ':' || a) AS n_expressions, count(DISTINCT a) AS n_inputs FROM stmt GROUP BY func")
+def _(s, d):
+    return E.statements(s, d).groupBy("func").agg(F.count("*").alias("n_instructions"), F.count_distinct(F.concat_ws(":", "op", F.col("a").cast("string"))).alias("n_expressions"), F.count_distinct("a").alias("n_inputs"))
+
+
+def tree():
+    """A statement's right side as a tree in JSON."""
+    a, b = F.concat(F.lit('["var","v'), F.col("a").cast("string"), F.lit('",32]')), F.concat(F.lit('["int",'), F.col("b").cast("string"), F.lit(",32]"))
+    load = F.concat(F.lit('["load",["var","mem",0],'), a, F.lit(",32]"))
+    add = F.concat(F.lit('["bin","+",'), a, F.lit(","), b, F.lit("]"))
+    sub = F.concat(F.lit('["bin","-",["bin","-",'), a, F.lit(","), b, F.lit('],["int",0,32]]'))
+    return F.when(F.col("op") == "load", load).when(F.col("op") == "add", add).otherwise(sub)
+
+
+@query("x1_transfer_functions", f"WITH {E.STMT} SELECT func, count(DISTINCT avar) AS n_outputs FROM stmt GROUP BY func")
+def _(s, d):
+    from ..operators.expressions import transfer_table
+
+    return transfer_table(E.statements(s, d), tree()).groupBy("func").agg(F.count("*").alias("n_outputs"))
+
+
+@query("m8_match_functions")
+def _(s, d):
+    from ..operators.expressions import transfer_table
+    from ..operators.matching import match_pairs
+
+    stmt = L.pieces(E.statements(s, d), F.col("op") == "store")
+    flat = stmt.withColumn("func", F.col("func") * 64 + F.col("block"))
+    entry = lambda b: F.when(b == 0, -4).otherwise(b).cast("int")
+    side = lambda f: F.when(f % 2 == 0, "left").otherwise("right")
+    func, block = F.floor(F.col("func") / 64), (F.col("func") % 64).cast("int")
+    blocks = transfer_table(flat, tree()).select((func - func % 2).alias("cluster"), side(func).alias("side"), entry(block).alias("block"), "output", "tree")
+    n = stmt.select("func", "block").distinct().withColumn("next", F.lead("block").over(Window.partitionBy("func").orderBy("block"))).where("next is not null")
+    edges = n.select((F.col("func") - F.col("func") % 2).alias("cluster"), side(F.col("func")).alias("side"), entry(F.col("block")).alias("src"), entry(F.col("next")).alias("dst"), F.lit(None).cast("boolean").alias("label"))
+    return match_pairs(blocks, edges).groupBy("fuzz", "overlap").agg(F.count("*").alias("n"), F.sum("n").alias("n_blocks"))
+
+
+@query("passes_pipeline")
+def _(s, d):
+    from ..operators.passes import normalized
+
+    t = E.statements(s, d)
+    rows = t.select("func", "pos", F.lit("move").alias("kind"), F.concat(F.lit("v"), F.col("avar").cast("string")).alias("avar"), tree().alias("tree"), F.lit(None).cast("string").alias("target"), F.lit(None).cast("string").alias("other"))
+    last = t.groupBy("func").agg((F.max("pos") + 1).alias("pos"), F.max_by("avar", "pos").alias("v"))
+    ret = last.select("func", "pos", F.lit("move").alias("kind"), F.lit("eax").alias("avar"), F.concat(F.lit('["var","v'), F.col("v").cast("string"), F.lit('",32]')).alias("tree"), F.lit(None).cast("string").alias("target"), F.lit(None).cast("string").alias("other"))
+    return normalized(rows.unionByName(ret)).groupBy("func").agg(F.count("block").alias("n_left"), F.max("reason").alias("reason"))
