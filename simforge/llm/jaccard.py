@@ -16,10 +16,11 @@ and the sum of the smaller of a point's coordinates and a node's greatest ones
 bounds it for all points below the node. Pairs that survive are verified on the
 token sets themselves.
 
-A large bucket isn't searched for all of its pairs at once: each member is first
-held against the bucket's smallest one, links so found make components, and
-only members outside the bucket's largest component query it, in blocks with a
-tree each, where a link found joins components on the spot.
+A bucket isn't searched for all of its pairs at once: each member is first held
+against the bucket's smallest one, and links so found make components. In small
+buckets, pairs across components follow. In large ones, members outside the
+bucket's largest component query it, in blocks with a tree each, where a link
+found joins components on the spot.
 """
 
 from __future__ import annotations
@@ -297,15 +298,20 @@ def points_of(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(len(column), -1).astype(np.int64)
 
 
-def search_small(members: DataFrame, j: Join) -> DataFrame:
-    """a, b: surviving pairs within buckets (bucket, node, n_shingles, point) of j.small members at most. Buckets under a leaf need no tree: those of one size are bounded together."""
+def search_small(members: DataFrame, j: Join, hubs: bool) -> DataFrame:
+    """a, b: surviving pairs within buckets (bucket, node, n_shingles, point, component) of j.small members at most.
+
+    With hubs, pairs of a bucket's smallest member with the others; without, those
+    of the others with each other that are in different components. Buckets under a
+    leaf need no tree: those of one size are bounded together.
+    """
     spark = members.sparkSession
     small_batches(spark, 2000)
-    ordered = members.select("bucket", "node", "n_shingles", "point").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "node")
+    ordered = members.select("bucket", "node", "n_shingles", "point", "component").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches):
-            keys, nodes, sizes, points = t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2).to_numpy(), points_of(t.column(3))
+            keys, nodes, sizes, points, comp = t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2).to_numpy(), points_of(t.column(3)), t.column(4).to_numpy()
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             count = np.diff(np.append(first, len(keys)))
             left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -314,21 +320,30 @@ def search_small(members: DataFrame, j: Join) -> DataFrame:
                 if n > j.leaf:
                     for at in groups.tolist():
                         tree = RTree(points[at : at + n], sizes[at : at + n], j.leaf)
-                        for i in range(n):
+                        for i in range(1 if hubs else n):
+                            if not hubs and i == 0:
+                                continue
                             hits = tree.search(points[at + i], sizes[at + i], j.percent)
-                            hits = hits[hits > i]
+                            hits = at + hits[hits > i]
+                            hits = hits if hubs else hits[comp[hits] != comp[at + i]]
                             left.append(np.full(len(hits), at + i))
-                            right.append(at + hits)
+                            right.append(hits)
                     continue
                 x, y = np.triu_indices(n, 1)
+                x, y = (x[x == 0], y[x == 0]) if hubs else (x[x > 0], y[x > 0])
+                if not len(x):
+                    continue
                 for some in np.array_split(groups, max(1, len(groups) * len(x) // 50_000)):
                     a, b = (some[:, None] + x).ravel(), (some[:, None] + y).ravel()
+                    if not hubs:
+                        apart = comp[a] != comp[b]
+                        a, b = a[apart], b[apart]
                     ok = (100 + j.percent) * np.minimum(points[a], points[b]).sum(1) >= j.percent * (sizes[a] + sizes[b])
                     ok &= 100 * np.minimum(sizes[a], sizes[b]) >= j.percent * np.maximum(sizes[a], sizes[b])
                     left.append(a[ok])
                     right.append(b[ok])
             a, b = nodes[np.concatenate(left)], nodes[np.concatenate(right)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
@@ -433,17 +448,26 @@ def jaccard_components(docs: DataFrame, j: Join = Join()) -> DataFrame:
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1")
     points = reps.select(F.col("rep").alias("node"), "n_shingles", "point")
     sized = members.join(sizes, "bucket")
-    small = search_small(sized.where(F.col("n") <= j.small).join(points, "node").select("bucket", "node", "n_shingles", "point"), j)
+    few = sized.where(F.col("n") <= j.small).select("bucket", "node")
+    first = search_small(few.join(points, "node").withColumn("component", F.col("node")), j, hubs=True)
     star = sized.where((F.col("n") > j.small) & (F.col("node") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = written(small.unionByName(star).distinct(), "jaccard-pairs")
-    z = small_texts(docs, written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "jaccard-needed"))
-    links = verify(pairs, z, j)
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    pairs = written(first.unionByName(star).distinct(), "jaccard-pairs")
+    z = small_texts(docs, written(ends(pairs), "jaccard-needed"))
     same = ids.where("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    comps = components(links.unionByName(same))
+    links = verify(pairs, z, j).unionByName(same)
+    comps = components(links)
+
+    # The others of a small bucket, where they are not in one component yet.
+    of = lambda rows: rows.join(comps, "node", "left").withColumn("component", F.coalesce("component_id", "node")).drop("component_id")
+    mixed = written(of(few), "jaccard-small")
+    mixed = mixed.join(mixed.groupBy("bucket").agg(F.count_distinct("component").alias("k")).where("k > 1").select("bucket"), "bucket")
+    rest = written(search_small(mixed.join(points, "node"), j, hubs=False), "jaccard-pairs")
+    late = written(ends(rest).join(z.select("node"), "node", "left_anti"), "jaccard-needed")
+    more = verify(rest, z.unionByName(small_texts(docs, late)), j)
 
     # Members of large buckets outside the bucket's largest component query it. All of them were in a star, so their texts are at hand.
-    large = sized.where(F.col("n") > j.small).join(comps, "node", "left").select("bucket", "node", "n", F.coalesce("component_id", "node").alias("component"))
-    large = written(large, "jaccard-large")
+    large = written(of(sized.where(F.col("n") > j.small).select("bucket", "node", "n")), "jaccard-large")
     most = large.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("base"))
     strays = large.join(most, "bucket").where("component != base")
     if strays.limit(1).count():
@@ -452,8 +476,9 @@ def jaccard_components(docs: DataFrame, j: Join = Join()) -> DataFrame:
         columns = ("bucket", "block", "node", "n_shingles", "point", "component", "z")
         blocks = large.join(strays.select("bucket").distinct(), "bucket").withColumn("block", F.pmod(F.xxhash64("node"), number).cast("int")).join(known, "node").select(*columns)
         queries = strays.withColumn("block", F.explode(F.sequence(F.lit(0), number - 1))).join(known, "node").select(*columns)
-        more = written(search_blocks(written(queries, "jaccard-queries"), written(blocks, "jaccard-blocks"), j), "jaccard-links")
-        comps = components(links.unionByName(same).unionByName(more))
+        more = more.unionByName(written(search_blocks(written(queries, "jaccard-queries"), written(blocks, "jaccard-blocks"), j), "jaccard-links"))
+    if more.limit(1).count():
+        comps = components(links.unionByName(more))
     out = rows.join(comps, rows["doc_id"] == comps["node"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
