@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import fixpoint
+from .tables import by_key, fixpoint
 
 
 def vertices(edges: DataFrame) -> DataFrame:
@@ -124,16 +124,17 @@ def chains(edges: DataFrame, rounds: int = 20) -> DataFrame:
 def per_graph(edges: DataFrame, f, schema: str) -> DataFrame:
     """f(successors, vertices in order) for each graph; successors: vertex to [(label, vertex)] in order of labels, null before false before true."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    kinds = {"string": pa.string(), "long": pa.int64()}
+
+    def run(graph, rows: list[tuple]) -> list[tuple]:
         succ = defaultdict(list)
-        for s, d, label in zip(pdf["src"], pdf["dst"], pdf["label"]):
-            succ[s].append((-1 if label is None or label != label else int(label), d))
+        for _, s, d, label in rows:
+            succ[s].append((-1 if label is None else int(label), d))
         for s in succ:
             succ[s].sort()
-        rows = f(succ, sorted(set(pdf["src"]) | set(pdf["dst"])))
-        return pd.DataFrame([(key[0], *r) for r in rows], columns=[c.split()[0] for c in schema.split(", ")])
+        return [(graph, *r) for r in f(succ, sorted({v for r in rows for v in r[1:3]}))]
 
-    return edges.groupBy("graph").applyInPandas(run, schema)
+    return by_key(edges.select("graph", "src", "dst", "label"), ["src", "dst"], run, schema, {c.split()[0]: kinds[c.split()[1]] for c in schema.split(", ")})
 
 
 def preorder(succ, root) -> list:

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
 from .expressions import COMMUTATIVE, Tree, children, decode
@@ -233,22 +232,28 @@ def match_functions(left: dict, right: dict, policy: str = "whole-function", ent
 
 def match_pairs(blocks: DataFrame, edges: DataFrame, policy: str = "whole-function") -> DataFrame:
     """cluster, fuzz, overlap, n, d, mean for each cluster with a left and a right function. blocks: cluster, side, block, output, tree; edges: cluster, side, src, dst, label."""
-    schema = "cluster long, fuzz string, overlap string, n long, d long, mean double"
-
-    def run(key, b: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        sides = []
-        for side in ("left", "right"):
-            own = {}
-            for block, output, tree in b.loc[b["side"] == side, ["block", "output", "tree"]].itertuples(index=False):
-                outs = own.setdefault(int(block), {})
-                if output is not None:
-                    outs[output] = decode(tree)
-            links = [(int(s), int(d), None if label is None or label != label else bool(label)) for s, d, label in e.loc[e["side"] == side, ["src", "dst", "label"]].itertuples(index=False)]
-            sides.append({"blocks": own, "edges": links})
-        columns = [c.split()[0] for c in schema.split(", ")]
-        if not sides[0]["blocks"] or not sides[1]["blocks"]:
-            return pd.DataFrame([], columns=columns)
-        m = match_functions(*sides, policy)
-        return pd.DataFrame([(key[0], m["fuzz"], m["overlap"], m["n"], m["d"], m["mean"])], columns=columns)
-
-    return blocks.groupBy("cluster").cogroup(edges.groupBy("cluster")).applyInPandas(run, schema)
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from .tables import by_key
+
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = blocks.select("cluster", "side", "block", "output", "tree", none("int").alias("src"), none("int").alias("dst"), none("boolean").alias("label"))
+    rows = rows.unionByName(edges.select("cluster", "side", none("int").alias("block"), none("string").alias("output"), none("string").alias("tree"), "src", "dst", "label"))
+
+    def run(cluster, rows: list[tuple]) -> list[tuple]:
+        sides = {s: {"blocks": {}, "edges": []} for s in ("left", "right")}
+        for _, side, block, output, tree, src, dst, label in rows:
+            if block is None:
+                sides[side]["edges"].append((src, dst, label))
+                continue
+            outs = sides[side]["blocks"].setdefault(block, {})
+            if output is not None:
+                outs[output] = decode(tree)
+        if not all(x["blocks"] for x in sides.values()):
+            return []
+        m = match_functions(sides["left"], sides["right"], policy)
+        return [(cluster, m["fuzz"], m["overlap"], m["n"], m["d"], m["mean"])]
+
+    types = {"cluster": pa.int64(), "fuzz": pa.string(), "overlap": pa.string(), "n": pa.int64(), "d": pa.int64(), "mean": pa.float64()}
+    return by_key(rows, ["side", "block", "output", "src", "dst"], run, "cluster long, fuzz string, overlap string, n long, d long, mean double", types)

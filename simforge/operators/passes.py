@@ -13,7 +13,6 @@ import json
 from collections import defaultdict
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
 from .expressions import Tree, decode, encode, mapped, normal, substitute, variables
@@ -443,15 +442,20 @@ def normalized(stmts: DataFrame, passes=PIPELINE) -> DataFrame:
     stmts: func, pos, kind, avar (the variable, label or call), tree, target, other (jump targets). A function's statements are one group.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos").astype(object).where(pdf.notna(), None)
+    import pyarrow as pa
+
+    from .tables import by_key
+
+    def run(func, rows: list[tuple]) -> list[tuple]:
         raw = []
-        for kind, avar, tree, target, other in pdf[["kind", "avar", "tree", "target", "other"]].itertuples(index=False):
+        for _, _, kind, avar, tree, target, other in rows:
             e = None if tree is None else decode(tree)
             raw.append({"move": ("move", avar, e), "jmp": ("jmp", target), "cjmp": ("cjmp", e, target, other), "halt": ("halt",)}.get(kind, (kind, avar)))
-        func = pdf["func"].iloc[0]
         f, why = run_passes(from_statements(raw), passes)
-        rows = [(func, None, None, None, None, None, why)] if why else [(func, v, i, s[0], s[1] if s[0] in ("move", "label", "call", "comment") else None, encode(s[-1]) if s[0] in ("move", "cjmp") else None, None) for v, i, s in f.statements()]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"block": "Int32", "pos": "Int32"})
+        if why:
+            return [(func, None, None, None, None, None, why)]
+        return [(func, v, i, s[0], s[1] if s[0] in ("move", "label", "call", "comment") else None, encode(s[-1]) if s[0] in ("move", "cjmp") else None, None) for v, i, s in f.statements()]
 
-    return stmts.groupBy("func").applyInPandas(run, SCHEMA)
+    rows = stmts.select("func", "pos", "kind", "avar", "tree", "target", "other")
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string())
+    return by_key(rows, ["pos"], run, SCHEMA, dict(zip((c.split()[0] for c in SCHEMA.split(", ")), kinds)))

@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
@@ -33,3 +35,34 @@ def fixpoint(state: DataFrame, step, rounds: int = 200) -> DataFrame:
             return state
         state = state.unionByName(new)
     raise RuntimeError(f"no fixpoint after {rounds} rounds")
+
+
+def by_key(df: DataFrame, order: list[str], f: Callable, schema: str, types: dict[str, pa.DataType]) -> DataFrame:
+    """f(key, rows) gives the result rows of each key: the value of the first column of df, and all of its rows as tuples in the given order.
+
+    Keys come sorted in Arrow batches, so a Python call serves many small keys and
+    holds one key's rows. types: the Arrow types of the result's columns.
+    """
+    key = df.columns[0]
+    ordered = df.repartition(key).sortWithinPartitions(key, *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(types), types.values())], list(types))
+
+        now, held, rows = None, [], []
+        for b in batches:
+            for r in zip(*[c.to_pylist() for c in b.columns]):
+                if held and r[0] != now:
+                    rows.extend(f(now, held))
+                    held = []
+                now = r[0]
+                held.append(r)
+            if len(rows) > 5_000:
+                yield out(rows)
+                rows = []
+        if held:
+            rows.extend(f(now, held))
+        yield out(rows)
+
+    return ordered.mapInArrow(run, schema)
