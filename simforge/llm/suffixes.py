@@ -1,9 +1,9 @@
 """Removal of repeated byte strings by a distributed merge sort of suffixes.
 
-Suffixes are taken where a 50-byte window has its least hash of 12 bytes: equal
+Suffixes are taken where a 50-byte window has its least hash of 16 bytes: equal
 windows have it at the same place, so of two equal windows the suffixes from
 there on agree up to the windows' end, and the bytes in front of them agree
-back to the windows' start. About one suffix in twenty is enough for all
+back to the windows' start. About one suffix in eighteen is enough for all
 windows, and each of them carries the bytes that its windows have in front.
 
 A task sorts the suffixes of some texts, parts them at splitters, and sends
@@ -12,7 +12,7 @@ with the one before it, and the rest. A loser tree merges the runs of a range.
 It keeps for each run the length of the prefix that its head shares with the
 last winner: of two heads the one that shares more is the smaller, and only
 heads that share equally much are compared, from there on. The lengths tell
-where neighbours stop agreeing in 12 bytes, so the groups in which equal
+where neighbours stop agreeing in 16 bytes, so the groups in which equal
 windows meet come out of the merge itself.
 """
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import documents, partitions, small_batches, written
 from .substrings import BASE, BYTE, U, keyed, mix, sliding_min, squeezed
 
-GRAM = 12
+GRAM = 16
 LOW = U((1 << 24) - 1)
 
 
@@ -120,7 +120,7 @@ class Run:
             return [], []
         rows = heads(np.frombuffer(buf, np.uint8), at)
         high = np.ascontiguousarray(rows[:, :8]).view(">u8")[:, 0].astype(U)
-        order = np.lexsort((np.ascontiguousarray(rows[:, 8:]).view(">u4")[:, 0], high))
+        order = np.lexsort((np.ascontiguousarray(rows[:, 8:]).view(">u8")[:, 0], high))
         rows, high = rows[order], high[order]
         unlike = rows[1:] != rows[:-1]
         lcp = np.concatenate([[0], np.where(unlike.any(1), unlike.argmax(1), GRAM)])
