@@ -60,7 +60,7 @@ def row_key() -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE_CLASS + "+"), lambda w: w != "")
+    return F.regexp_extract_all(text, F.lit(WORD_CLASS), F.lit(0))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -43,12 +43,12 @@ class QualityRules:
 
 
 def with_char_counts(docs: DataFrame) -> DataFrame:
-    """docs (with _text) and _cc, counts by CHAR_CLASSES and then of all other characters, and _symbols, the characters that are in none of the first two classes.
+    """docs (with _text, _words) and _cc, counts by CHAR_CLASSES and then of all other characters, and _symbols, the characters that are in none of the first two classes.
 
     Each class is taken out of what the ones before it left, blanks first: the
     letters then stand in long runs, and what they leave is short.
     """
-    docs = docs.withColumn("_dense", F.regexp_replace("_text", f"{CHAR_CLASSES[0]}+", ""))
+    docs = docs.withColumn("_dense", F.array_join("_words", ""))
     docs = docs.withColumn("_symbols", F.regexp_replace("_dense", f"{CHAR_CLASSES[1]}+", ""))
 
     def taken(rest: Column, classes: tuple[str, ...]) -> Column:
