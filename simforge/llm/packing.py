@@ -76,11 +76,18 @@ class WordIds:
         if len(cache) > self.cached:
             cache.clear()
         parts = [self._parts(t) for t in batch]
-        new = set().union(*parts) - cache.keys()
-        ended = [w for w in new if w[-1:] in (",", ".") and letters_alone(w[:-1])]
-        plain = list((new.difference(ended) | {w[:-1] for w in ended} | {",", "."}) - cache.keys())
-        for joined in (True, False):
-            some = [w for w in plain if letters_alone(w) is joined]
+        ended: list[str] = []
+        joined, alone = set(), [w for w in (",", ".") if w not in cache]
+        for w in set().union(*parts).difference(cache):
+            if w[-1:] in (",", ".") and letters_alone(w[:-1]):
+                ended.append(w)
+                if w[:-1] not in cache:
+                    joined.add(w[:-1])
+            elif letters_alone(w):
+                joined.add(w)
+            else:
+                alone.append(w)
+        for some in (list(joined), alone):
             cache.update(zip(some, self._encoded(some)))
         for w in ended:
             cache[w] = cache[w[:-1]] + cache[w[-1]]
