@@ -42,7 +42,17 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = spark_of(df)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for t in tables:
+        jvm, conf = t.sparkSession._jvm, t.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(t.written_at)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, partitions, small_batches, whole_groups, written
+from .common import discard, documents, partitions, small_batches, whole_groups, written
 from .components import components
 
 U = np.uint64
@@ -348,6 +348,24 @@ def search_small(members: DataFrame, j: Join, hubs: bool) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
+def bounded(pairs: DataFrame, points: DataFrame, j: Join) -> DataFrame:
+    """The pairs (a, b) that the bound lets through. points: node, n_shingles, point."""
+    p = lambda k: points.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("point").alias(f"p{k}"))
+    both = pairs.join(p("a"), "a").join(p("b"), "b").select("a", "b", "na", "nb", "pa", "pb")
+    small_batches(pairs.sparkSession, 2000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            m, n = b.column(2).to_numpy(), b.column(3).to_numpy()
+            ok = (100 + j.percent) * np.minimum(points_of(b.column(4)), points_of(b.column(5))).sum(1) >= j.percent * (m + n)
+            keep = pa.array(ok & (100 * np.minimum(m, n) >= j.percent * np.maximum(m, n)))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
+
+
 def linked(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
     same = len(np.intersect1d(s, t, assume_unique=True))
     return 100 * same >= percent * (len(s) + len(t) - same) > 0
@@ -445,6 +463,7 @@ def jaccard_components(docs: DataFrame, j: Join = Join()) -> DataFrame:
     # Which of several equal documents a task sent doesn't matter: their representative takes their place.
     members = found.join(ids, "node").select("bucket", F.col("rep").alias("node")).distinct()
     members = written(members, "jaccard-members")
+    discard(found)
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1")
     points = reps.select(F.col("rep").alias("node"), "n_shingles", "point")
     sized = members.join(sizes, "bucket")
@@ -452,7 +471,7 @@ def jaccard_components(docs: DataFrame, j: Join = Join()) -> DataFrame:
     first = search_small(few.join(points, "node").withColumn("component", F.col("node")), j, hubs=True)
     star = sized.where((F.col("n") > j.small) & (F.col("node") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    pairs = written(first.unionByName(star).distinct(), "jaccard-pairs")
+    pairs = written(first.unionByName(bounded(star, points, j)).distinct(), "jaccard-pairs")
     z = small_texts(docs, written(ends(pairs), "jaccard-needed"))
     same = ids.where("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     links = verify(pairs, z, j).unionByName(same)
@@ -460,25 +479,27 @@ def jaccard_components(docs: DataFrame, j: Join = Join()) -> DataFrame:
 
     # The others of a small bucket, where they are not in one component yet.
     of = lambda rows: rows.join(comps, "node", "left").withColumn("component", F.coalesce("component_id", "node")).drop("component_id")
-    mixed = written(of(few), "jaccard-small")
-    mixed = mixed.join(mixed.groupBy("bucket").agg(F.count_distinct("component").alias("k")).where("k > 1").select("bucket"), "bucket")
+    mixed_rows = written(of(few), "jaccard-small")
+    mixed = mixed_rows.join(mixed_rows.groupBy("bucket").agg(F.count_distinct("component").alias("k")).where("k > 1").select("bucket"), "bucket")
     rest = written(search_small(mixed.join(points, "node"), j, hubs=False), "jaccard-pairs")
     late = written(ends(rest).join(z.select("node"), "node", "left_anti"), "jaccard-needed")
     more = verify(rest, z.unionByName(small_texts(docs, late)), j)
 
-    # Members of large buckets outside the bucket's largest component query it. All of them were in a star, so their texts are at hand.
+    # Members of large buckets outside the bucket's largest component query it.
     large = written(of(sized.where(F.col("n") > j.small).select("bucket", "node", "n")), "jaccard-large")
     most = large.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("base"))
     strays = large.join(most, "bucket").where("component != base")
     if strays.limit(1).count():
         number = F.ceil(F.col("n") / j.block).cast("int")
-        known = points.join(z, "node")
+        asked = written(large.join(strays.select("bucket").distinct(), "bucket", "left_semi").select("node").distinct().join(z.select("node"), "node", "left_anti"), "jaccard-needed")
+        known = points.join(z.unionByName(small_texts(docs, asked)), "node")
         columns = ("bucket", "block", "node", "n_shingles", "point", "component", "z")
         blocks = large.join(strays.select("bucket").distinct(), "bucket").withColumn("block", F.pmod(F.xxhash64("node"), number).cast("int")).join(known, "node").select(*columns)
         queries = strays.withColumn("block", F.explode(F.sequence(F.lit(0), number - 1))).join(known, "node").select(*columns)
         more = more.unionByName(written(search_blocks(written(queries, "jaccard-queries"), written(blocks, "jaccard-blocks"), j), "jaccard-links"))
     if more.limit(1).count():
         comps = components(links.unionByName(more))
+    discard(members, pairs, z, rest, mixed_rows, large)
     out = rows.join(comps, rows["doc_id"] == comps["node"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, row_key, texts, written
+from .common import discard, documents, row_key, texts, written
 
 BLANK = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -65,6 +65,7 @@ class LineRuns:
         else:
             new = self._sorted(keys)
             self.levels[0].append(new)
+        discard(keys)
         self._compact()
         return new
 
