@@ -625,3 +625,59 @@ def _(s, d):
     last = t.groupBy("func").agg((F.max("pos") + 1).alias("pos"), F.max_by("avar", "pos").alias("v"))
     ret = last.select("func", "pos", F.lit("move").alias("kind"), F.lit("eax").alias("avar"), F.concat(F.lit('["var","v'), F.col("v").cast("string"), F.lit('",32]')).alias("tree"), F.lit(None).cast("string").alias("target"), F.lit(None).cast("string").alias("other"))
     return normalized(rows.unionByName(ret)).groupBy("func").agg(F.count("block").alias("n_left"), F.max("reason").alias("reason"))
+
+
+@query("j2_seed_pairs", f"WITH {E.STMT}, e AS (SELECT func, min(pos) AS pos FROM stmt GROUP BY func) SELECT a.func AS l, b.func AS r FROM e a JOIN stmt x ON x.func = a.func AND x.pos = a.pos JOIN e b ON b.func = a.func + 1 AND a.func % 2 = 0 JOIN stmt y ON y.func = b.func AND y.pos = b.pos WHERE x.op = y.op")
+def _(s, d):
+    first = E.statements(s, d).where("pos = 1")
+    left = first.where("func % 2 = 0").select((F.col("func") + 1).alias("r"), F.col("func").alias("l"), "op")
+    return left.join(first.select(F.col("func").alias("r"), "op"), ["r", "op"]).select("l", "r")
+
+
+@query("p15_p17_addresses", f"""WITH {E.STMT}, x AS (SELECT *, CASE WHEN op = 'load' THEN a * 16 + b END AS addr FROM stmt)
+SELECT func, pos, (SELECT arg_max(y.addr, y.pos) FROM x y WHERE y.func = x.func AND y.pos <= x.pos AND y.addr IS NOT NULL) AS running, (SELECT arg_min(y.addr, y.pos) FROM x y WHERE y.func = x.func AND y.addr IS NOT NULL) AS first_addr FROM x""")
+def _(s, d):
+    x = E.statements(s, d).withColumn("addr", F.when(F.col("op") == "load", F.col("a") * 16 + F.col("b")))
+    whole = Window.partitionBy("func").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return x.select("func", "pos", F.last("addr", ignorenulls=True).over(L.upto()).alias("running"), F.first("addr", ignorenulls=True).over(whole).alias("first_addr"))
+
+
+@query("j15_calls_at_block_ends", f"""WITH {E.STMT}, x AS (SELECT *, lead(op) OVER (PARTITION BY func ORDER BY pos) AS next_op FROM stmt) SELECT func, pos, a AS target FROM x WHERE op = 'store' AND (next_op IS NULL OR next_op = 'load')""")
+def _(s, d):
+    w = Window.partitionBy("func").orderBy("pos")
+    x = E.statements(s, d).withColumn("next_op", F.lead("op").over(w))
+    return x.where((F.col("op") == "store") & (F.col("next_op").isNull() | (F.col("next_op") == "load"))).select("func", "pos", F.col("a").alias("target"))
+
+
+@query("f4_outside_range", "SELECT p_partkey FROM part WHERE p_retailprice IS NOT NULL AND NOT EXISTS (SELECT 1 FROM (SELECT n_nationkey * 40 + 900 AS s, n_nationkey * 40 + 920 AS e FROM nation) WHERE p_retailprice >= s AND p_retailprice < e)")
+def _(s, d):
+    plt = E.table(s, d, "nation").select((F.col("n_nationkey") * 40 + 900).alias("s"), (F.col("n_nationkey") * 40 + 920).alias("e"))
+    p = E.table(s, d, "part").select("p_partkey", "p_retailprice").where("p_retailprice is not null")
+    return p.join(I.in_range(p, plt, "p_retailprice", "s", "e", 100).select("p_partkey"), "p_partkey", "left_anti").select("p_partkey")
+
+
+@query("f5_blacklist", "SELECT doc_id, source FROM documents WHERE source NOT IN ('src1', 'src7', 'src11', 'src13')")
+def _(s, d):
+    black = s.createDataFrame([("src1",), ("src7",), ("src11",), ("src13",)], "source string")
+    return E.table(s, d, "documents").select("doc_id", "source").join(F.broadcast(black), "source", "left_anti").select("doc_id", "source")
+
+
+@query("k9_snapshots", f"""WITH {E.STMT} SELECT func, pos AS no, op AS name, coalesce(lag(a) OVER w <> a, false) AS changed, coalesce(lag(avar) OVER w <> avar, false) AS cfg_changed FROM stmt WINDOW w AS (PARTITION BY func ORDER BY pos)""")
+def _(s, d):
+    from ..sources.sinks import snapshots
+
+    return snapshots(E.statements(s, d).select("func", F.col("pos").alias("no"), F.col("op").alias("name"), F.col("a").alias("stmts_hash"), F.col("avar").alias("edges_hash")))
+
+
+@query("g10_common_ends", f"""WITH {E.STMT}, r AS (SELECT func % 50 AS g, func, op, row_number() OVER (PARTITION BY func ORDER BY pos DESC) AS k FROM stmt), n AS (SELECT g, count(DISTINCT func) AS m FROM r GROUP BY g),
+p AS (SELECT g, k, count(*) AS c, count(DISTINCT op) AS v FROM r GROUP BY g, k), bad AS (SELECT p.g, min(k) AS k FROM p JOIN n ON n.g = p.g WHERE c <> m OR v > 1 GROUP BY p.g)
+SELECT n.g, coalesce((SELECT k - 1 FROM bad WHERE bad.g = n.g), (SELECT max(k) FROM p WHERE p.g = n.g)) AS length FROM n""")
+def _(s, d):
+    ops = E.statements(s, d).groupBy("func").agg(F.reverse(F.transform(F.array_sort(F.collect_list(F.struct("pos", "op"))), lambda x: x["op"])).alias("ops"))
+    return longs(L.common_prefix(ops.withColumn("g", F.col("func") % 50), "g", "ops"), "length")
+
+
+@query("g15_call_graph", """SELECT n_name AS caller, r_name AS callee, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY ALL""")
+def _(s, d):
+    t = E.table(s, d, "customer").join(F.broadcast(E.table(s, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(E.table(s, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    return t.groupBy(F.col("n_name").alias("caller"), F.col("r_name").alias("callee")).agg(F.count("*").alias("n"))
