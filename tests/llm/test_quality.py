@@ -83,3 +83,13 @@ def test_clean_documents_stay_and_columns_too(spark):
     lost = {i for i in clean} - {r.doc_id for r in good.select("doc_id").collect()}
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert all(base(texts[i])[5] for i in lost)
+
+
+def test_text_without_common_words_goes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    near = docs.where("lang = 'en'").select("text").orderBy("doc_id").first().text
+    made = lambda k, mark: " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{near[i % 20].strip() or 'e'}ation{mark}" for i in range(k)).lower()
+    rows = [(10**6 + 1, made(300, "")), (10**6 + 2, made(300, " |")), (10**6 + 3, made(300, "."))]
+    judged = quality_rules(frame(spark, rows), references=language_references(docs)).collect()
+    assert all(not r.base_failed and r.char_distance <= RULES.char_distance for r in judged)
+    assert [r.kept for r in judged] == [False] * 3
