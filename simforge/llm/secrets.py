@@ -1,8 +1,8 @@
 """Secret scans: base patterns, and an assignment-aware lexer over source and configuration syntax.
 
 The lexer walks statements such as ``name = "literal"``, ``name: literal``,
-``name => literal``, ``<name>literal</name>``, ``--name literal`` and
-``export NAME=literal``. It keeps the constants of a text by name, so that
+``name => literal`` and ``export NAME=literal``, line by line, and
+``<name>literal</name>`` and ``--name literal``, which may go over lines. It keeps the constants of a text by name, so that
 ``a = "..."`` followed by ``password = a`` and ``"..." + a`` leads to the
 literal that the sensitive name gets. A literal is reported if the score of its
 target's name and of its own shape reaches the threshold.
@@ -41,6 +41,16 @@ TOKEN = re.compile(
 )
 #: What follows a target in configuration, unquoted, up to white space or a delimiter.
 BARE = re.compile(r"[A-Za-z0-9+/_.=~!@#$%^&*-]{6,}")
+#: An element with text alone. No try goes beyond the next "<" (of CDATA, the next CDATA), so that all tries together are linear.
+ELEMENT = re.compile(r"(?a)<([A-Za-z_][\w.:-]*)(?:\s[^<>]*)?>\s*(?:<!\[CDATA\[((?:[^\]<]|\](?!\]>)|<(?!!\[CDATA\[))*+)\]\]>|([^<]*+))\s*</\1\s*>")
+#: A flag and the argument after it, on the command line or as items of a list.
+FLAG = re.compile(
+    r"""(?ax)
+    (?<![A-Za-z0-9_-])--(?P<name>[A-Za-z][\w.-]*+)
+    (?: (?:[\x20\t]|\\\r?\n)+ (?: (?P<quoted>"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+') | (?P<bare>(?!-)[A-Za-z0-9+/_.=~!@#$%^&*{}-]{2,}) )
+      | ["']\s*+,\s*+ (?: (?P<item>"(?!-)(?:[^"\\\n]|\\.)*+"|'(?!-)(?:[^'\\\n]|\\.)*+') | (?P<ref>[A-Za-z_$][A-Za-z0-9_$]*+)(?=\s*+[],)]) ) )
+    """
+)
 PLACEHOLDER = re.compile(r"(?ai)^(?:x+|\*+|\.+|changeme|example|placeholder|none|null|true|false|your[_-].*|<.*>|\$\{?.*|%\(?.*)$")
 PLAIN = re.compile(r"^[a-z]+$|^[A-Z][a-z]+$|^[0-9.]{1,8}$")
 
@@ -85,8 +95,6 @@ def pairs(line: str) -> Iterator[tuple[str, list[tuple[str, str, int]], int]]:
             if k > j:
                 yield target, tokens[j:k], tokens[j][2]
             i = max(k, i + 1)
-        elif target and kind == "name" and text.startswith(("-", "--")):
-            i += 1
         else:
             i += 1
 
@@ -97,6 +105,21 @@ def named_spans(text: str, threshold: int = 5) -> list[tuple[int, int]]:
         return []
     constants: dict[str, list[tuple[str, int, int]]] = {}
     found: set[tuple[int, int]] = set()
+
+    def given(target: str, literals: list[tuple[str, int, int]]) -> None:
+        score = name_score(target)
+        whole = "".join(x[0] for x in literals)
+        if score >= 2 and score + value_score(whole) >= threshold:
+            found.update((a, b) for _, a, b in literals if b > a)
+
+    for m in ELEMENT.finditer(text) if "</" in text else ():
+        k = 2 if m.group(2) is not None else 3
+        value = m.group(k).strip()
+        at = m.start(k) + m.group(k).find(value)
+        # an author's name is no secret
+        if name_score(m.group(1)) > 2 or not re.search(r"\s", value):
+            given(m.group(1), [(value, at, at + len(value))])
+    flags = list(FLAG.finditer(text))[::-1] if "--" in text else []
     start = 0
     for line in text.split("\n"):
         if ("=" in line or ":" in line) and line.strip():
@@ -113,12 +136,17 @@ def named_spans(text: str, threshold: int = 5) -> list[tuple[int, int]]:
                         literals = [(m.group(), start + m.start(), start + m.end())]
                 if not literals:
                     continue
-                score = name_score(target)
-                whole = "".join(x[0] for x in literals)
-                if score >= 2 and score + value_score(whole) >= threshold:
-                    found.update((a, b) for _, a, b in literals if b > a)
+                given(target, literals)
                 constants[target] = literals[:16]
         start += len(line) + 1
+        while flags and flags[-1].start() < start:
+            m = flags.pop()
+            k = m.lastgroup
+            cut = k in ("quoted", "item")
+            value, at = m.group(k)[cut : len(m.group(k)) - cut], m.start(k) + cut
+            known = constants.get(value.strip("${}"))
+            if known or k != "ref" and (cut or BARE.fullmatch(value)):
+                given(m.group("name"), known or [(value, at, at + len(value))])
     return sorted(found)
 
 

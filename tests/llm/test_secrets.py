@@ -2,7 +2,7 @@ import re
 
 from helpers import ODD, frame, sample, sha
 
-from simforge.llm.secrets import redact_secrets, redacted, scan_secrets, secret_spans
+from simforge.llm.secrets import named_spans, redact_secrets, redacted, scan_secrets, secret_spans
 
 
 def base(text):
@@ -50,3 +50,25 @@ def test_redaction(spark):
 
 def test_empty(spark):
     assert scan_secrets(frame(spark, [])).collect() == []
+
+
+def spans_of(text):
+    return [text[a:b] for a, b in named_spans(text)]
+
+
+def test_elements():
+    key = "aB3dE5fG7hI9"
+    for text in (f"<password>{key}</password>", f'<db:password type="plain">\n  {key}\n</db:password>', f"<passphrase><![CDATA[{key}]]></passphrase>", f"<user>me</user><api-key>{key}</api-key >"):
+        assert spans_of(text) == [key], text
+        assert redacted(text) == text.replace(key, "[SECRET]")
+    for text in ("<author>Jane Example-Smith</author>", "<password>changeme</password>", f"<password>{key}</other>", f"<colour>{key}</colour> token", "<password></password>", "<a>" * 3000 + "<secret"):
+        assert spans_of(text) == [], text
+
+
+def test_flags():
+    key = "aB3dE5fG7hI9"
+    for text in (f"run --password {key} --force", f'run --client-secret "{key}"', f"run --api-key \\\n  '{key}'", f'["run", "--token", "{key}"]', f'seed = "{key}"\ncall(["--password", seed])', f"SEED={key}\nrun --password $SEED"):
+        assert spans_of(text) == [key], text
+        assert redacted(text) == text.replace(key, "[SECRET]")
+    for text in ("--password --force-it-now", "--password $OTHER_VALUE", "run --token authentication", 'add("--password", default="aa11BB22cc")', f"a--password {key}", f"--colour {key} token"):
+        assert key not in spans_of(text) and not spans_of(text.split("default")[0]), text
