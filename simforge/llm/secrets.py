@@ -27,8 +27,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 HINT = re.compile(r"(?i)passw|secret|token|api_?key")
 #: What a sensitive name scores, by a part of it.
 NAME_PARTS = {"password": 4, "passwd": 4, "passphrase": 4, "pwd": 3, "secret": 4, "token": 3, "apikey": 4, "privatekey": 4, "accesskey": 4, "credential": 3, "auth": 2, "clientkey": 3, "signingkey": 4, "encryptionkey": 4, "bearer": 3, "dsn": 1, "key": 1}
-#: A quick look for any such name: texts without one need no lexer.
-NAMED = re.compile(r"(?ai)pass(?:word|wd|phrase)|pwd|secret|token|(?:api|private|access|client|signing|encryption)[_.-]?key|credential|bearer|auth")
+#: A quick look for any name that scores 2 or more, with what names may hold between its characters: texts without one need no lexer.
+NAMED = re.compile("(?ai)" + "|".join(r"[_$.:-]*+".join(part) for part, score in NAME_PARTS.items() if score >= 2))
 TOKEN = re.compile(
     r"""(?ax)
     (?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)

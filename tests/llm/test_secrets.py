@@ -2,7 +2,10 @@ import re
 
 from helpers import ODD, frame, sample, sha
 
-from simforge.llm.secrets import named_spans, redact_secrets, redacted, scan_secrets, secret_spans
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from simforge.llm.secrets import NAME_PARTS, NAMED, name_score, named_spans, redact_secrets, redacted, scan_secrets, secret_spans
 
 
 def base(text):
@@ -72,3 +75,16 @@ def test_flags():
         assert redacted(text) == text.replace(key, "[SECRET]")
     for text in ("--password --force-it-now", "--password $OTHER_VALUE", "run --token authentication", 'add("--password", default="aa11BB22cc")', f"a--password {key}", f"--colour {key} token"):
         assert key not in spans_of(text) and not spans_of(text.split("default")[0]), text
+
+
+def test_names_with_punctuation():
+    key = "aB3dE5fG7hI9"
+    for name in ("pass_phrase", "pass_word", "PASS-PHRASE", "api__key", "pass$word", "Signing.Key", "p_w_d"):
+        assert spans_of(f'{name} = "{key}"') == [key], name
+
+
+@given(st.sampled_from(sorted(k for k, v in NAME_PARTS.items() if v >= 2)), st.lists(st.text("_$.:-", max_size=3), min_size=16, max_size=16), st.booleans())
+@settings(max_examples=200, deadline=None)
+def test_the_quick_look_misses_no_name(part, between, upper):
+    name = "x" + "".join(c + s for c, s in zip(part.upper() if upper else part, between)) + "y"
+    assert name_score(name) >= 2 and NAMED.search(name)
