@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -99,17 +100,35 @@ def pairs(line: str) -> Iterator[tuple[str, list[tuple[str, str, int]], int]]:
             i += 1
 
 
+def spread(parts: list) -> list[tuple[str, int, int]]:
+    """The literals of parts, which are literals and lists of parts, in order; each of them, 16 times at most, as a = a + a doubles them. So many give any length and kinds that value_score asks for."""
+    out, met, todo = [], Counter(), parts[::-1]
+    while todo:
+        x = todo.pop()
+        k = id(x) if isinstance(x, list) else x
+        if met[k] < 16:
+            met[k] += 1
+            if isinstance(x, list):
+                todo += x[::-1]
+            else:
+                out.append(x)
+    return out
+
+
 def named_spans(text: str, threshold: int = 5) -> list[tuple[int, int]]:
     """Spans of literals that sensitive names are given, directly or by way of constants."""
     if not NAMED.search(text):
         return []
-    constants: dict[str, list[tuple[str, int, int]]] = {}
+    # Of each constant its literals and the lists of the constants it is built of: chains share them.
+    constants: dict[str, list] = {}
     found: set[tuple[int, int]] = set()
 
-    def given(target: str, literals: list[tuple[str, int, int]]) -> None:
+    def given(target: str, parts: list) -> None:
         score = name_score(target)
-        whole = "".join(x[0] for x in literals)
-        if score >= 2 and score + value_score(whole) >= threshold:
+        if score < 2:
+            return
+        literals = spread(parts)
+        if score + value_score("".join(x[0] for x in literals)) >= threshold:
             found.update((a, b) for _, a, b in literals if b > a)
 
     for m in ELEMENT.finditer(text) if "</" in text else ():
@@ -124,12 +143,12 @@ def named_spans(text: str, threshold: int = 5) -> list[tuple[int, int]]:
     for line in text.split("\n"):
         if ("=" in line or ":" in line) and line.strip():
             for target, value, at in pairs(line):
-                literals: list[tuple[str, int, int]] = []
+                literals: list = []
                 for kind, tok, pos in value:
                     if kind == "string":
                         literals.append((tok[1:-1], start + pos + 1, start + pos + len(tok) - 1))
                     elif kind == "name" and tok in constants:
-                        literals += constants[tok]
+                        literals.append(constants[tok])
                 if not literals and value[0][0] in ("name", "number", "other"):
                     m = BARE.match(line, at)
                     if m:
@@ -137,7 +156,7 @@ def named_spans(text: str, threshold: int = 5) -> list[tuple[int, int]]:
                 if not literals:
                     continue
                 given(target, literals)
-                constants[target] = literals[:16]
+                constants[target] = literals
         start += len(line) + 1
         while flags and flags[-1].start() < start:
             m = flags.pop()

@@ -88,3 +88,16 @@ def test_names_with_punctuation():
 def test_the_quick_look_misses_no_name(part, between, upper):
     name = "x" + "".join(c + s for c, s in zip(part.upper() if upper else part, between)) + "y"
     assert name_score(name) >= 2 and NAMED.search(name)
+
+
+def test_constants_of_many_pieces():
+    pieces = [f"aB{i}z" for i in range(40)]
+    at_once = "seed = " + " + ".join(f'"{p}"' for p in pieces) + "\npassword = seed\n"
+    by_steps = 'seed = ""\n' + "".join(f'seed = seed + "{p}"\n' for p in pieces) + "password = seed\n"
+    chain = 's0 = ""\n' + "".join(f's{i + 1} = s{i} + "{p}"\n' for i, p in enumerate(pieces)) + "password = s40\n"
+    for text in (at_once, by_steps, chain):
+        assert spans_of(text) == pieces
+    doubled = 'a = "aB3"\nb = "dE5"\na = a + b\n' + "a = a + a\n" * 60 + "password = a\n"
+    assert spans_of(doubled) == ["aB3", "dE5"]
+    assert spans_of('a = "aB3"\npassword = a + a + a\n') == ["aB3"]
+    assert len(spans_of('s = ""\n' + "".join(f's = s + "{i:06}"\n' for i in range(5000)) + "password = s\n")) == 5000
