@@ -33,9 +33,11 @@ GEAR = np.random.default_rng(2024).integers(0, 2**32, 256, dtype=np.uint32)
 
 @dataclass(frozen=True)
 class Cuts:
-    least: int = 16 << 10
-    mask: int = (1 << 13) - 1
-    most: int = 128 << 10
+    """Chunks of some 700 bytes, under half of a usual text: so near copies and passages are shared, and not only whole copies."""
+
+    least: int = 256
+    mask: int = (1 << 9) - 1
+    most: int = 4 << 10
 
 
 def payload(text: str) -> bytes:
