@@ -27,6 +27,32 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         pass
 
 
+def freed(run):
+    """run, an iterator over Arrow batches, which gives free memory back to the system when a task ends: workers wait for further tasks beside the executor's heap."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
+def give_back() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: spark.checkpoint.dir, or a local one where it is unset, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)

@@ -1,14 +1,14 @@
 """N-gram Jaccard join by a count-vector R-tree.
 
 The tokens of a document, its distinct word n-grams, are hashed into groups.
-Two uses of the groups find every pair above the threshold:
+Every pair above the threshold is found in two steps:
 
-Partition. Documents of neighbouring size classes split their tokens into G
-groups, more than the most tokens in which two documents above the threshold
-can differ. So some groups of such a pair hold exactly the same tokens, and the
-pair meets in the bucket of one of them, keyed by the group and its content. (A
-document with so many empty groups that only those could agree also goes to the
-buckets of its empty groups.) Buckets with the same members are one bucket.
+Partition. All tokens are put into one order, rare ones first, by a sketch of
+counts over all documents. Two documents above the threshold share a token among
+the first few of both, so the pair meets in the bucket of that token. A passage
+that many documents hold comes last in the order, and makes no bucket of
+documents that have nothing else in common. Buckets with the same members are
+one bucket.
 
 Search. In a bucket, the counts of tokens by group are points of an R-tree. The
 sum of the smaller coordinates of two points bounds their overlap from above,
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, documents, partitions, small_batches, whole_groups, written
+from .common import discard, documents, freed, partitions, small_batches, whole_groups, written
 from .components import components
 
 U = np.uint64
@@ -45,18 +45,21 @@ BYTE = _rng.integers(1, 2**64, 256, dtype=U)
 BYTE[65:91] = BYTE[97:123]
 BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
+#: Rows that a sketch is sent in. Digests that a task remembers.
+CHUNKS, SEEN = 64, 200_000
 
 
 @dataclass(frozen=True)
 class Join:
-    """n: words to a shingle. percent: the least Jaccard similarity of a link. dims: coordinates of a point. small: the most members of a bucket searched whole; block: of one tree."""
+    """n: words to a shingle. percent: the least Jaccard similarity of a link. dims: coordinates of a point. small: the most members of a bucket searched whole; block: of one tree. cells: of the sketch that orders tokens."""
 
     n: int = 4
     percent: int = 85
     dims: int = 48
     small: int = 64
     block: int = 2048
-    leaf: int = 16
+    leaf: int = 8
+    cells: int = 1 << 19
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -110,61 +113,27 @@ def token_sets(texts: list[str], n: int = 4) -> list[np.ndarray]:
     return out
 
 
-def size_class(n: int, percent: int) -> int:
-    """Classes of sizes low, ..., high with percent * high <= 100 * low or low = high: documents further apart than a class never link."""
-    k, low = 0, 1
-    while n > (high := max(low, 100 * low // percent)):
-        k, low = k + 1, high + 1
-    return k
+def cells(tokens: np.ndarray, n: int) -> np.ndarray:
+    """The cell of the sketch that counts each token."""
+    return (mix(tokens + BASE) % U(n)).astype(np.int64)
 
 
-def class_top(k: int, percent: int) -> int:
-    low = 1
-    for _ in range(k):
-        low = max(low, 100 * low // percent) + 1
-    return max(low, 100 * low // percent)
+def prefix(tokens: np.ndarray, ranks: np.ndarray, percent: int) -> np.ndarray:
+    """The tokens that come first, rare ones before frequent ones, as many as two linked documents can't both have without one in common.
 
-
-class Scheme:
-    """How the documents of class k and the next one are split. They differ in `most` tokens at most if they link."""
-
-    cache: dict = {}
-
-    def __init__(self, k: int, percent: int):
-        top = class_top(k + 1, percent)
-        # |A ^ B| <= (1 - t) / (1 + t) * (|A| + |B|), and neither exceeds the top
-        self.most = (100 - percent) * 2 * top // (100 + percent)
-        self.slack = 1 + self.most // 16
-        self.groups = self.most + self.slack
-        self.key = U((k + 1) * 0xA24BAED4963EE407 % 2**64)
-
-    @classmethod
-    def of(cls, k: int, percent: int) -> Scheme:
-        if (k, percent) not in cls.cache:
-            cls.cache[k, percent] = cls(k, percent)
-        return cls.cache[k, percent]
-
-    def keys(self, tokens: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            group = ((mix(tokens + self.key) >> U(32)) * U(self.groups)) >> U(32)
-            group = group.astype(np.int64)
-            order = np.argsort(group, kind="stable")
-            g = group[order]
-            first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-            content = mix(np.add.reduceat(mix(tokens[order] * BASE), first))
-            found = g[first]
-            if self.groups - len(found) >= self.slack:  # groups that agree might all be empty ones
-                empty = np.setdiff1d(np.arange(self.groups), found)
-                found, content = np.concatenate([found, empty]), np.concatenate([content, np.zeros(len(empty), U)])
-            return mix(content + mix(found.astype(U) + self.key))
-
-
-def bucket_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
-    k = size_class(len(tokens), percent)
-    own = [Scheme.of(k, percent).keys(tokens)]
-    if k:
-        own.append(Scheme.of(k - 1, percent).keys(tokens))
-    return np.concatenate(own)
+    A document of n tokens shares at least o = percent / 100 * n of them with any
+    that it links with, as their union has n or more. The first common token of two
+    linked documents is therefore among the first n - o + 1 of both. That holds for
+    any order that is the same for all; ranks, of the tokens' cells, only decide
+    which tokens it puts first.
+    """
+    n = len(tokens)
+    m = n - -(-percent * n // 100) + 1
+    if m >= n:
+        return tokens
+    # Stable, and tokens come sorted: equal ranks go by the token.
+    order = np.argsort((ranks[cells(tokens, len(ranks))].astype(U) << U(56)) | (mix(tokens) >> U(8)), kind="stable")
+    return tokens[order[:m]]
 
 
 def point(tokens: np.ndarray, dims: int) -> np.ndarray:
@@ -208,40 +177,72 @@ class RTree:
         return below[below < n]
 
 
-def profile(docs: DataFrame, j: Join) -> DataFrame:
-    """doc_id, n_shingles, digest (of the set), point: written, one row for each row of docs."""
+def profile(docs: DataFrame, j: Join) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, digest (of the set), point: one row for each row of docs; chunk, counts: each task's sketch, how often tokens of each cell occur): one written table, to be discarded as the first's."""
     small_batches(docs.sparkSession)
+    names = ["doc_id", "n_shingles", "digest", "point", "chunk", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = np.zeros(j.cells, "<u4")
         for b in batches:
             sets = token_sets(b.column(1).to_pylist(), j.n)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) for s in sets], pa.binary()), pa.array([point(s, j.dims).tobytes() for s in sets], pa.binary())], ["doc_id", "n_shingles", "digest", "point"])
+            some = np.concatenate([*sets, np.zeros(0, U)])
+            for at in range(0, len(some), 1 << 20):
+                sketch += np.bincount(cells(some[at : at + (1 << 20)], j.cells), minlength=j.cells).astype("<u4")
+            none = pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) for s in sets], pa.binary()), pa.array([point(s, j.dims).tobytes() for s in sets], pa.binary()), *none], names)
+        if sketch.any():
+            parts = [x.tobytes() for x in np.split(sketch, CHUNKS)]
+            none = [pa.nulls(CHUNKS, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], names)
+
+    out = written(docs.mapInArrow(freed(run), "doc_id long, n_shingles long, digest binary, point binary, chunk int, counts binary"), "jaccard-profile")
+    rows = out.where("chunk is null").select(*names[:4])
+    rows.written_at = out.written_at
+    return rows, out.where("chunk is not null").select("chunk", "counts")
+
+
+def token_ranks(sketches: DataFrame, j: Join) -> np.ndarray:
+    """A byte for each cell, the higher the more tokens fell there. The sum of all tasks' sketches has j.cells numbers, however many documents there are."""
+    small_batches(sketches.sparkSession, 64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                sums[k] = sums.get(k, 0) + np.frombuffer(raw, "<u4").astype("<u8")
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["chunk", "counts"])
 
-    return written(docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, point binary"), "jaccard-profile")
+    counts = np.zeros((CHUNKS, j.cells // CHUNKS))
+    for r in sketches.repartition(min(partitions(sketches.sparkSession), CHUNKS), "chunk").mapInArrow(freed(run), "chunk int, counts binary").collect():
+        counts[r["chunk"]] = np.frombuffer(r["counts"], "<u8")
+    return np.minimum(4 * np.log2(1 + counts.ravel()), 255).astype(np.uint8)
 
 
-def buckets(docs: DataFrame, j: Join) -> DataFrame:
+def buckets(docs: DataFrame, ranks: np.ndarray, j: Join) -> DataFrame:
     """key, node: a row for each bucket of each document; a set that its task has met before isn't sent again."""
     small_batches(docs.sparkSession)
+    raw = ranks.tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        ranks = np.frombuffer(raw, np.uint8)
         for b in batches:
             keys, nodes = [np.zeros(0, U)], [np.zeros(0, np.int64)]
             for doc, s in zip(b.column(0).to_pylist(), token_sets(b.column(1).to_pylist(), j.n)):
                 if not len(s) or doc is None or (d := set_digest(s)) in seen:
                     continue
-                if len(seen) > 500_000:
+                if len(seen) > SEEN:
                     seen.clear()
                 seen.add(d)
-                k = bucket_keys(s, j.percent)
+                k = prefix(s, ranks, j.percent)
                 keys.append(k)
                 nodes.append(np.full(len(k), doc))
             keys, nodes = np.concatenate(keys).view(np.int64), np.concatenate(nodes)
             for at in range(0, len(keys), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 200_000]), pa.array(nodes[at : at + 200_000])], ["key", "node"])
 
-    return docs.mapInArrow(run, "key long, node long")
+    return docs.mapInArrow(freed(run), "key long, node long")
 
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
@@ -268,7 +269,7 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
                 name = int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
                 if name in seen:
                     continue
-                if len(seen) > 500_000:
+                if len(seen) > SEEN:
                     seen.clear()
                 seen.add(name)
                 names.append(np.full(len(own), name))
@@ -291,7 +292,7 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
         if held_k:
             yield from groups(np.concatenate(held_k), np.concatenate(held_n))
 
-    return ordered.mapInArrow(run, "bucket long, node long")
+    return ordered.mapInArrow(freed(run), "bucket long, node long")
 
 
 def points_of(column) -> np.ndarray:
@@ -345,7 +346,7 @@ def search_small(members: DataFrame, j: Join, hubs: bool) -> DataFrame:
             a, b = nodes[np.concatenate(left)], nodes[np.concatenate(right)]
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    return ordered.mapInArrow(freed(run), "a long, b long").distinct()
 
 
 def bounded(pairs: DataFrame, points: DataFrame, j: Join) -> DataFrame:
@@ -363,7 +364,7 @@ def bounded(pairs: DataFrame, points: DataFrame, j: Join) -> DataFrame:
             keep = pa.array(ok & (100 * np.minimum(m, n) >= j.percent * np.maximum(m, n)))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(freed(run), "a long, b long")
 
 
 def linked(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
@@ -423,7 +424,7 @@ def small_texts(docs: DataFrame, ids: DataFrame, few: int = 1_000_000) -> DataFr
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([zlib.compress(t.encode(), 1) for t in b.column(1).to_pylist()], pa.binary())], ["node", "z"])
 
-    return written(wanted.mapInArrow(squeeze, "node long, z binary"), "jaccard-texts", "none")
+    return written(wanted.mapInArrow(freed(squeeze), "node long, z binary"), "jaccard-texts", "none")
 
 
 def verify(pairs: DataFrame, z: DataFrame, j: Join) -> DataFrame:
@@ -441,7 +442,7 @@ def verify(pairs: DataFrame, z: DataFrame, j: Join) -> DataFrame:
             keep = pa.array([linked(sets[x], sets[y], j.percent) for x, y in zip(left, right)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
-    return written(both.mapInArrow(run, "a long, b long"), "jaccard-links")
+    return written(both.mapInArrow(freed(run), "a long, b long"), "jaccard-links")
 
 
 def jaccard_components(docs: DataFrame, j: Join = Join()) -> DataFrame:
@@ -453,13 +454,13 @@ def jaccard_components(docs: DataFrame, j: Join = Join()) -> DataFrame:
     sets link; one of them, the smallest id, stands for all in the search.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = profile(docs, j)
+    rows, sketches = profile(docs, j)
     some = rows.where("n_shingles > 0 and doc_id is not null")
     low = some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("point").alias("point"))
     reps = written(low, "jaccard-sets")
     ids = some.join(reps.select("digest", "rep"), "digest").select(F.col("doc_id").alias("node"), "rep").distinct()
 
-    found = written(shared_buckets(buckets(docs, j)), "jaccard-buckets")
+    found = written(shared_buckets(buckets(docs, token_ranks(sketches, j), j)), "jaccard-buckets")
     # Which of several equal documents a task sent doesn't matter: their representative takes their place.
     members = found.join(ids, "node").select("bucket", F.col("rep").alias("node")).distinct()
     members = written(members, "jaccard-members")
@@ -510,5 +511,6 @@ def op9_jaccard_join(spark, sf_dir):
 
 def one_of_each(docs: DataFrame, j: Join = Join(n=5, percent=80)) -> DataFrame:
     """The document with the smallest id of each component of near duplicates, with its own columns. Rows without an id stay."""
-    lowest = jaccard_components(docs, j).where("doc_id = component_id").select(F.col("doc_id").alias("_lowest")).distinct()
-    return docs.join(lowest, docs["doc_id"] == lowest["_lowest"], "left").where(F.col("_lowest").isNotNull() | docs["doc_id"].isNull()).select(*[docs[c] for c in docs.columns])
+    lowest = jaccard_components(docs, j).where("doc_id = component_id").select(F.col("doc_id").alias("lowest")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
+    return rows.join(lowest, F.col("id") == F.col("lowest"), "left").where("lowest is not null or id is null").select("row.*")

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from simforge.llm.components import components
-from simforge.llm.jaccard import Join, RTree, bucket_keys, class_top, jaccard_components, one_of_each, op9_jaccard_join, size_class, token_sets
+from simforge.llm.jaccard import Join, RTree, cells, jaccard_components, one_of_each, op9_jaccard_join, prefix, profile, token_ranks, token_sets
 
 
 def shingles(text, n=4):
@@ -89,14 +89,6 @@ def test_one_of_each_keeps_the_smallest(spark):
     assert {r.doc_id for r in kept.collect()} == want
 
 
-@given(st.integers(1, 400), st.integers(1, 400))
-def test_classes(a, b):
-    a, b = min(a, b), max(a, b)
-    if 100 * a >= 85 * b:
-        assert size_class(b, 85) - size_class(a, 85) <= 1
-    assert class_top(size_class(a, 85), 85) >= a
-
-
 @given(st.integers(1, 120), st.integers(0, 1000))
 @settings(max_examples=300, deadline=None)
 def test_linked_sets_share_a_bucket(n, seed):
@@ -106,7 +98,26 @@ def test_linked_sets_share_a_bucket(n, seed):
     b = np.unique(np.concatenate([rng.permutation(a)[drop:], rng.integers(0, 2**63, add).astype(np.uint64)]))
     same = len(np.intersect1d(a, b))
     if len(b) and 100 * same >= 85 * (len(a) + len(b) - same):
-        assert np.intersect1d(bucket_keys(a, 85), bucket_keys(b, 85)).size
+        for ranks in (np.zeros(1, np.uint8), rng.integers(0, 5, 16).astype(np.uint8)):
+            assert np.intersect1d(prefix(a, ranks, 85), prefix(b, ranks, 85)).size
+
+
+def test_rare_tokens_come_first():
+    tokens = np.unique(np.random.default_rng(5).integers(0, 2**63, 200).astype(np.uint64))
+    ranks = np.zeros(1 << 16, np.uint8)
+    often = tokens[:150]
+    ranks[cells(often, len(ranks))] = 9
+    assert not np.isin(prefix(tokens, ranks, 85), often).any()
+
+
+def test_sketch_counts_all_documents(spark):
+    rows = sample(spark)
+    got, sketches = profile(frame(spark, rows).select("doc_id", "text").fillna(""), Join(cells=1 << 10))
+    want = np.zeros(1 << 10, np.int64)
+    for s in token_sets([t or "" for _, t in rows]):
+        want += np.bincount(cells(s, 1 << 10), minlength=1 << 10)
+    assert (token_ranks(sketches, Join(cells=1 << 10)) == np.minimum(4 * np.log2(1 + want), 255).astype(np.uint8)).all()
+    assert got.count() == len(rows)
 
 
 @given(st.integers(1, 90), st.integers(0, 500))
