@@ -1,19 +1,25 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a Parquet table sorted by line hash, with a row for each key of some
-batches: how many documents hold it and the largest of their ids. Each new
-batch is merged against the runs: keys that no run has yet form its own run at
-level 0, keys that a run has form a run of updates beside it. When a level has
-as many batches as the fanout, they are compacted to one run of the next level,
-so each row is rewritten a logarithmic number of times.
+A run is a table bucketed and sorted by line hash. It has a row for each key
+that some batches brought first, with how many documents hold it and the
+largest of their ids, and a row (known) for each key that an older run has, by
+which its counts are to be raised. A new batch is merged against the runs: the
+join that finds no row for a key makes the batch own it, and one that finds a
+row makes it an update. As all runs lie in the same buckets, sorted, these
+merges shuffle and sort nothing but the batch. When a level has as many runs as
+the fanout, they are merged to one run of the next level, which adds up the
+updates whose rows are in it; so each row is rewritten a logarithmic number of
+times, and no key has two rows.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, documents, row_key, texts, written
+from .common import delete, discard, documents, partitions, row_key, setting, shared_dir, texts, written
 
 BLANK = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -29,58 +35,90 @@ def line_hash(line: Column, min_chars: int) -> Column:
     return F.when(F.length(key) >= min_chars, F.substring(F.unhex(F.sha2(key, 256)), 1, 16))
 
 
-class LineRuns:
-    """The levelled runs. levels[i] holds runs (DataFrames of h, n_docs, max_doc), oldest first."""
+class Run:
+    """One run: h, n_docs, max_doc, known, in buckets by h and sorted in each. fill writes it."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 2):
-        self.spark, self.fanout, self.levels = spark, fanout, [[]]
+    def __init__(self, rows: DataFrame, buckets: int):
+        self.spark = rows.sparkSession
+        name = f"line-run-{uuid.uuid4().hex}"
+        self.name, self.path = name.replace("-", "_"), f"{shared_dir(self.spark)}/{name}"
+        with setting(self.spark, ORDERED, "true"):
+            rows.write.format("parquet").option("compression", "zstd").option("path", self.path).bucketBy(buckets, "h").sortBy("h").saveAsTable(self.name)
 
-    def totals(self) -> DataFrame | None:
-        """h, n_docs, max_doc over all runs, a row for each key."""
-        runs = [r for level in self.levels for r in level]
-        return self._merged(runs) if runs else None
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.name)
 
-    @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        out = runs[0]
-        for r in runs[1:]:
-            out = out.unionByName(r)
-        return out.groupBy("h").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        delete(self.spark, self.path)
 
-    @staticmethod
-    def _sorted(run: DataFrame) -> DataFrame:
-        return written(run.select("h", "n_docs", "max_doc").sortWithinPartitions("h"), "line-run")
-
-    def add(self, lines: DataFrame) -> DataFrame:
-        """Takes the lines (h, doc_id) of a batch whose documents no earlier batch had. Returns its keys that were new."""
-        keys = written(lines.groupBy("h").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("doc_id").alias("max_doc")), "line-batch")
-        known = [r.select("h") for level in self.levels for r in level]
-        if known:
-            every = known[0]
-            for r in known[1:]:
-                every = every.union(r)
-            new = self._sorted(keys.join(every.hint("merge"), "h", "left_anti"))
-            updates = self._sorted(keys.join(every.hint("merge"), "h", "left_semi"))
-            self.levels[0].append(new.unionByName(updates))
-        else:
-            new = self._sorted(keys)
-            self.levels[0].append(new)
-        discard(keys)
+
+#: Scans of tables with one file to a bucket are known to be sorted.
+ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
+class LineRuns:
+    """The levelled runs, oldest first in each level. No batch may bring a document that an earlier one had."""
+
+    def __init__(self, spark: SparkSession, fanout: int = 2):
+        self.spark, self.fanout, self.levels, self.buckets = spark, fanout, [[]], partitions(spark)
+
+    def _runs(self) -> list[Run]:
+        return [r for level in self.levels for r in level]
+
+    def add(self, lines: DataFrame) -> None:
+        """Takes the lines (h, doc_id) of a batch: its keys are held against all runs in one merge."""
+        keys = lines.groupBy("h").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("doc_id").alias("max_doc"))
+        known = F.lit(False)
+        for i, run in enumerate(self._runs()):
+            keys = keys.join(run.rows().where("not known").select("h", F.lit(True).alias(f"in_{i}")).hint("merge"), "h", "left")
+            known = known | F.col(f"in_{i}").isNotNull()
+        self.levels[0].append(Run(keys.select("h", "n_docs", "max_doc", known.alias("known")), self.buckets))
         self._compact()
-        return new
 
     def _compact(self) -> None:
         for i, level in enumerate(self.levels):
-            if len(level) >= self.fanout:
-                if i + 1 == len(self.levels):
-                    self.levels.append([])
-                self.levels[i + 1].append(self._sorted(self._merged(level)))
-                self.levels[i] = []
-                break
+            if len(level) < self.fanout:
+                return
+            if i + 1 == len(self.levels):
+                self.levels.append([])
+            self.levels[i + 1].append(Run(self._merged(level), self.buckets))
+            self.levels[i] = []
+            for run in level:
+                run.drop()
+
+    @staticmethod
+    def _merged(runs: list[Run]) -> DataFrame:
+        """The rows of all runs, where a key has its row and updates of it added up, or updates alone."""
+        out = runs[0].rows()
+        for run in runs[1:]:
+            other = run.rows().select("h", *[F.col(c).alias(f"{c}_2") for c in ("n_docs", "max_doc", "known")])
+            out = out.join(other.hint("merge"), "h", "full").select(
+                "h",
+                (F.coalesce("n_docs", F.lit(0)) + F.coalesce("n_docs_2", F.lit(0))).alias("n_docs"),
+                F.greatest("max_doc", "max_doc_2").alias("max_doc"),
+                (F.coalesce("known", F.lit(True)) & F.coalesce("known_2", F.lit(True))).alias("known"),
+            )
+        return out
+
+    def totals(self) -> DataFrame | None:
+        """h, n_docs, max_doc over all runs, a row for each key; None before the first batch."""
+        runs = self._runs()
+        return self._merged(runs).drop("known") if runs else None
+
+    def frequent(self, min_docs: int) -> DataFrame:
+        """h, max_doc of the keys that min_docs documents hold: a written table."""
+        with setting(self.spark, ORDERED, "true"):
+            return written(self.totals().where(F.col("n_docs") >= min_docs).select("h", "max_doc"), "line-frequent")
+
+    def drop(self) -> None:
+        for run in self._runs():
+            run.drop()
+        self.levels = [[]]
 
 
-def frequent_lines(docs: DataFrame, min_chars: int = 20, batches: int = 4, fanout: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(lines, totals): hashed lines _rk, pos, h, doc_id of all documents, and the runs' totals after adding them in batches."""
+def frequent_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batches: int = 4, fanout: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(lines, frequent), both written: hashed lines _rk, pos, h, doc_id of all documents, and the keys that min_docs hold after all batches."""
     spark = docs.sparkSession
     t = texts(docs).withColumn("_rk", row_key())
     lines = t.select("_rk", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).select("_rk", "doc_id", "pos", line_hash(F.col("line"), min_chars).alias("h")).where("h is not null")
@@ -89,7 +127,9 @@ def frequent_lines(docs: DataFrame, min_chars: int = 20, batches: int = 4, fanou
     runs = LineRuns(spark, fanout)
     for b in range(batches):
         runs.add(lines.where(F.col("batch") == b).select("h", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id")))
-    return lines, runs.totals()
+    frequent = runs.frequent(min_docs)
+    runs.drop()
+    return lines, frequent
 
 
 def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batches: int = 4, fanout: int = 2) -> DataFrame:
@@ -102,9 +142,10 @@ def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batches:
     rows get equal results. A line on very many documents is pre-aggregated
     before its shuffle, and joined back as a skewed key.
     """
-    lines, totals = frequent_lines(docs, min_chars, batches, fanout)
-    frequent = totals.where(F.col("n_docs") >= min_docs).select("h", "max_doc")
+    lines, frequent = frequent_lines(docs, min_docs, min_chars, batches, fanout)
     dropped = lines.join(frequent, "h").where(F.coalesce("doc_id", F.lit(-(2**63))) < F.col("max_doc")).groupBy("_rk").agg(F.sort_array(F.collect_set("pos")).alias("_dropped"))
+    dropped = written(dropped, "line-dropped")
+    discard(lines, frequent)
     rows = docs.select(F.struct("*").alias("_row")).select("_row", F.col("_row.doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("_row.text").cast("string"), F.lit("")).alias("text"))
     out = rows.withColumn("_rk", row_key()).join(dropped, "_rk", "left")
     split = F.split("text", "\n", -1)

@@ -2,7 +2,8 @@ from collections import defaultdict
 
 from helpers import ODD, frame, sample, sha
 
-from simforge.llm.lines import LineRuns, line_dedup, op5_line_dedup, without_repeated_lines
+from simforge.llm.common import setting
+from simforge.llm.lines import ORDERED, LineRuns, line_dedup, op5_line_dedup, without_repeated_lines
 
 
 def key(line):
@@ -52,12 +53,31 @@ def test_pipeline_form_keeps_columns_and_documents(spark):
 def test_runs_are_levelled(spark):
     runs = LineRuns(spark, fanout=2)
     batch = lambda *x: spark.createDataFrame([(bytes([h]) * 16, d) for h, d in x], "h binary, doc_id long")
-    assert runs.add(batch((1, 1), (1, 1), (2, 1))).count() == 2
-    assert runs.add(batch((1, 2), (3, 2))).count() == 1
+    rows = lambda run: {r.h[0]: (r.n_docs, r.max_doc, r.known) for r in run.rows().collect()}
+    runs.add(batch((1, 1), (1, 1), (2, 1)))
+    assert rows(runs.levels[0][0]) == {1: (1, 1, False), 2: (1, 1, False)}
+    runs.add(batch((1, 2), (3, 2)))
     assert [len(x) for x in runs.levels] == [0, 1]
-    assert runs.add(batch((1, 3))).count() == 0
-    got = {r.h[0]: (r.n_docs, r.max_doc) for r in runs.totals().collect()}
-    assert got == {1: (3, 3), 2: (1, 1), 3: (1, 2)}
+    assert rows(runs.levels[1][0]) == {1: (2, 2, False), 2: (1, 1, False), 3: (1, 2, False)}
+    runs.add(batch((1, 3), (4, 3)))
+    assert rows(runs.levels[0][0]) == {1: (1, 3, True), 4: (1, 3, False)}
+    want = {1: (3, 3), 2: (1, 1), 3: (1, 2), 4: (1, 3)}
+    assert {r.h[0]: (r.n_docs, r.max_doc) for r in runs.totals().collect()} == want
+    runs.add(batch((4, 5)))
+    assert [len(x) for x in runs.levels] == [0, 0, 1]
+    assert {r.h[0]: (r.n_docs, r.max_doc) for r in runs.totals().collect()} == want | {4: (2, 5)}
+    runs.drop()
+    assert runs.totals() is None
+
+
+def test_merges_shuffle_and_sort_nothing_but_the_batch(spark):
+    runs = LineRuns(spark, fanout=9)
+    for d in range(3):
+        runs.add(spark.createDataFrame([(bytes([h]) * 16, d) for h in range(20)], "h binary, doc_id long"))
+    with setting(spark, ORDERED, "true"):
+        plan = LineRuns._merged(runs.levels[0][:2])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    runs.drop()
 
 
 def test_query(spark):
