@@ -21,13 +21,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, partitions, small_batches, written
+from .common import discard, documents, freed, partitions, small_batches, written
 from .substrings import BASE, BYTE, U, keyed, mix, sliding_min, squeezed
 
 GRAM = 16
@@ -40,7 +41,7 @@ class Strings:
 
     size: int = 50
     ranges: int = 16
-    flush: int = 24 << 20
+    flush: int = 8 << 20
     sample: int = 2000
     many: int = 100_000
 
@@ -244,22 +245,37 @@ def spans_of(start: int, hits: list[bool], size: int) -> Iterator[tuple[int, int
         i += 1
 
 
-def settle(strings: dict[tuple[bytes, bytes], list], o: Strings) -> Iterator[tuple]:
-    """Rows of a group. strings: (bytes in front, suffix) to [smallest id, places, whether places were given out]; a place is (id, text hash, first window)."""
-    if len(strings) == 1:
-        least = None
-    else:
-        least = {}
-        for (a, b), (low, *_) in strings.items():
-            s = a + b
-            for i in range(len(s) - o.size + 1):
-                x = s[i : i + o.size]
+class Depths:
+    """Which of some sorted suffixes agree in their first bytes, by the lengths of the prefixes that neighbours share."""
+
+    def __init__(self, shared: list[int]):
+        self.shared, self.known = shared, {}
+
+    def at(self, depth: int) -> list[int]:
+        """Equal numbers for suffixes that agree in depth bytes."""
+        if depth not in self.known:
+            self.known[depth] = list(accumulate(h < depth for h in self.shared))
+        return self.known[depth]
+
+
+def settle(strings: dict[tuple[bytes, bytes], list], shared: list[int], o: Strings) -> Iterator[tuple]:
+    """Rows of a group. strings: (bytes in front, suffix) to [smallest id, places, name where places were given out, number of the suffix]; a place is (id, text hash, first window).
+
+    Windows are equal if they have the same bytes in front and their suffixes share a prefix up to the window's end.
+    """
+    numbers, least = Depths(shared), {}
+
+    def windows(a: bytes, b: bytes, k: int) -> list[tuple[bytes, int]]:
+        return [(front := a[i:], numbers.at(o.size - len(front))[k]) for i in range(len(a) + len(b) - o.size + 1)]
+
+    if len(strings) > 1:
+        for (a, b), (low, _, _, k) in strings.items():
+            for x in windows(a, b, k):
                 m = least.get(x)
                 if m is None or low < m:
                     least[x] = low
-    for (a, b), (low, places, given) in strings.items():
-        s = a + b
-        lows = [low] * (len(s) - o.size + 1) if least is None else [least[s[i : i + o.size]] for i in range(len(s) - o.size + 1)]
+    for (a, b), (low, places, given, k) in strings.items():
+        lows = [least[x] for x in windows(a, b, k)] if least else [low] * (len(a) + len(b) - o.size + 1)
         for doc, th, first in places:
             for lo, hi in spans_of(first, [m < doc for m in lows], o.size):
                 yield doc, th, lo, hi, None, None
@@ -293,7 +309,7 @@ def runs_of(docs: DataFrame, splitters: np.ndarray, o: Strings) -> DataFrame:
         if held.parts:
             yield out(held)
 
-    return docs.mapInArrow(run, "range long, blob binary")
+    return docs.mapInArrow(freed(run), "range long, blob binary")
 
 
 def matches(runs: DataFrame, o: Strings) -> DataFrame:
@@ -310,23 +326,26 @@ def matches(runs: DataFrame, o: Strings) -> DataFrame:
         def merge(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
             runs = [decoded(b) for b in blobs]
             rows: list[tuple] = []
-            group: list[tuple[int, int]] = []
+            group: list[tuple[int, int, int]] = []
 
             def close() -> None:
-                ids = {runs[r][3][i] for r, i in group}
-                if len(ids) < 2:
+                if len({runs[r][3][i] for r, i, _ in group}) < 2:
                     return
                 if len(group) == 2:  # windows agree only if prefix and front together are as long
-                    (r, i), (q, j) = group
-                    if common(runs[r][0][i], runs[q][0][j], GRAM) + common(runs[r][2][i][::-1], runs[q][2][j][::-1]) < o.size:
+                    (r, i, _), (q, j, h) = group
+                    if h + common(runs[r][2][i][::-1], runs[q][2][j][::-1]) < o.size:
                         return
                 strings: dict[tuple[bytes, bytes], list] = {}
-                for r, i in group:
+                shared, last = [], None
+                for r, i, h in group:
                     x = runs[r]
-                    s = (x[2][i], x[0][i])
+                    if x[0][i] != last:
+                        last = x[0][i]
+                        shared.append(h)
+                    s = (x[2][i], last)
                     e = strings.get(s)
                     if e is None:
-                        e = strings[s] = [x[3][i], [], None]
+                        e = strings[s] = [x[3][i], [], None, len(shared) - 1]
                     elif x[3][i] < e[0]:
                         e[0] = x[3][i]
                     e[1].append((x[3][i], x[4][i], x[5][i]))
@@ -335,7 +354,7 @@ def matches(runs: DataFrame, o: Strings) -> DataFrame:
                         e[2] = hashlib.blake2b(len(s[0]).to_bytes(4) + s[0] + s[1], digest_size=16).digest()
                         rows.extend((d, th, f, f + len(s[0]) + len(s[1]), e[2], None) for d, th, f in e[1])
                         e[1] = []
-                rows.extend(settle(strings, o))
+                rows.extend(settle(strings, shared, o))
 
             for r, i, h in merged([x[0] for x in runs], [x[1] for x in runs]):
                 if h < GRAM:
@@ -344,9 +363,9 @@ def matches(runs: DataFrame, o: Strings) -> DataFrame:
                         if len(rows) > 20_000:
                             yield batch(rows)
                             rows.clear()
-                    group = [(r, i)]
+                    group = [(r, i, h)]
                 else:
-                    group.append((r, i))
+                    group.append((r, i, h))
             if len(group) > 1:
                 close()
             yield batch(rows)
@@ -362,20 +381,28 @@ def matches(runs: DataFrame, o: Strings) -> DataFrame:
         if blobs:
             yield from merge(blobs)
 
-    return ordered.mapInArrow(run, "id long, th long, lo long, hi long, key binary, lows array<long>")
+    return ordered.mapInArrow(freed(run), "id long, th long, lo long, hi long, key binary, lows array<long>")
 
 
 def choose_splitters(docs: DataFrame, o: Strings) -> np.ndarray:
-    """First 8 bytes of suffixes that part those of o.sample documents, chosen by a hash, evenly."""
+    """First 8 bytes of suffixes that part those of o.sample documents, chosen by a hash, evenly. Of those documents, 1024 heads each reach the driver at most."""
     n = o.ranges * partitions(docs.sparkSession)
-    r = Run()
     chosen = docs.select("id", "th").orderBy(F.xxhash64("id", "th")).limit(o.sample)
-    for x in docs.join(F.broadcast(chosen), ["id", "th"], "left_semi").collect():
-        r.add([(x.id, x.th, x.text.encode())], o.size)
-    at = np.concatenate([p[2] for p in r.parts]) if r.parts else np.zeros(0, np.int64)
-    if not len(at):
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.zeros(0, np.int64)]
+            for t in b.column(0).to_pylist():
+                raw = np.frombuffer(t.encode(), np.uint8)
+                at = anchors(raw, np.array([len(raw)]), o.size)[2]
+                at = at[:: 1 + len(at) // 1024]
+                found.append(np.ascontiguousarray(heads(raw, at)[:, :8]).view(">u8")[:, 0].astype(U).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], ["head"])
+
+    some = docs.join(F.broadcast(chosen), ["id", "th"], "left_semi").select("text").mapInArrow(freed(run), "head long").toPandas()["head"].to_numpy()
+    if not len(some):
         return np.zeros(0, U)
-    first = np.sort(np.ascontiguousarray(heads(np.frombuffer(b"".join(r.raws), np.uint8), at)[:, :8]).view(">u8")[:, 0].astype(U))
+    first = np.sort(some.view(U))
     return np.unique(first[np.linspace(0, len(first) - 1, n + 1)[1:-1].astype(int)])
 
 
@@ -391,9 +418,10 @@ def remove_later_copies(docs: DataFrame, o: Strings = Strings(), with_text: bool
     """
     k = keyed(docs)
     slim = k.where("doc_id is not null").select("id", "th", "text")
-    digests = written(slim.where(F.octet_length("text") >= o.size).select("id", "th", F.unhex(F.md5("text")).alias("digest")), "suffix-texts")
-    lowest = digests.groupBy("digest").agg(F.min("id").alias("lowest"))
+    digests = written(slim.where(F.octet_length("text") >= o.size).select("id", "th", F.unhex(F.sha2("text", 256)).alias("digest")), "suffix-texts")
+    lowest = digests.groupBy("digest").agg(F.min("id").alias("lowest"), F.max("id").alias("highest")).where("lowest < highest")
     copies = written(digests.join(lowest, "digest").where("id > lowest").select("id", "th").distinct(), "suffix-copies")
+    discard(digests)
     known = F.broadcast(copies) if copies.count() <= few else copies
     slim = slim.join(known, ["id", "th"], "left_anti")
     found = written(matches(runs_of(slim, choose_splitters(slim, o), o), o), "suffix-matches")
@@ -429,7 +457,7 @@ def remove_later_copies(docs: DataFrame, o: Strings = Strings(), with_text: bool
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, kinds)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").unionByName(whole)
+    return both.mapInArrow(freed(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").unionByName(whole)
 
 
 def op3_suffix_dedup(spark, sf_dir):
