@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches, texts, written
+from .common import documents, freed, small_batches, texts, written
 
 RATE = 8000
 #: Bytes of a SHA-256 that media and chunks are known by.
@@ -115,7 +115,7 @@ def ingest(docs: DataFrame, c: Cuts = Cuts(), level: int = 9) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds)], ["doc_id", "n_bytes", "media", "seq", "n_chunks", "digest", "blob", "kind"])
 
-    return written(texts(docs).mapInArrow(run, STORED), "media", "none")
+    return written(texts(docs).mapInArrow(freed(run), STORED), "media", "none")
 
 
 def store(ingested: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -156,7 +156,7 @@ def verified(media: DataFrame) -> DataFrame:
             kinds = (pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds)], ["media", "payload_bytes", "payload", "tail_crc32", "media_bytes", "rest", "feature"])
 
-    return media.mapInArrow(run, "media binary, payload_bytes long, payload binary, tail_crc32 long, media_bytes long, rest binary, feature string")
+    return media.mapInArrow(freed(run), "media binary, payload_bytes long, payload binary, tail_crc32 long, media_bytes long, rest binary, feature string")
 
 
 def media_columns(docs: DataFrame, c: Cuts = Cuts()) -> DataFrame:

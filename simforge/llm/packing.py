@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, partitions, small_batches, texts, written
+from .common import documents, freed, partitions, small_batches, texts, written
 
 Pattern = tuple[tuple[int, int], ...]
 
@@ -118,7 +118,7 @@ def pieces_of(docs: DataFrame, path: str, length: int = 2048, end: int = 1) -> D
             columns = zip(*rows) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return texts(docs).mapInArrow(freed(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def shortest_pack_first(histogram: dict[int, int], length: int) -> list[tuple[Pattern, int]]:

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import documents, small_batches, texts
+from .common import documents, freed, small_batches, texts
 
 MARK = "▁"
 
@@ -228,7 +228,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
             n, ids, decoded, ends = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string()), pa.array(ends, pa.int64())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ends_crc32"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ends_crc32 long")
+    return texts(docs).mapInArrow(freed(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ends_crc32 long")
 
 
 def piece_spans(docs: DataFrame, path: str) -> DataFrame:
@@ -241,7 +241,7 @@ def piece_spans(docs: DataFrame, path: str) -> DataFrame:
             spans = [[{"id": i, "begin": s, "end": e} for i, s, e in m.spans(t)] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, kind)], ["doc_id", "pieces"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, pieces array<struct<id int, begin long, end long>>")
+    return texts(docs).mapInArrow(freed(run), "doc_id long, pieces array<struct<id int, begin long, end long>>")
 
 
 def op7_sentencepiece(spark, sf_dir):

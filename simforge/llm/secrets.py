@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import documents, small_batches, texts
+from .common import documents, freed, small_batches, texts
 
 KINDS = ("assign", "access", "hex", "named")
 ASSIGN = re.compile(r"""(?a)((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -204,7 +204,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
             )
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return texts(docs).mapInArrow(freed(run), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redacted(text: str, mask: str = "[SECRET]") -> str:
@@ -236,7 +236,7 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
                 columns[count] = pa.array([n if t == u else len(u) for t, u, n in zip(old, new, columns[count].to_pylist())], b.schema.field(count).type)
             yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(freed(run), docs.schema)
 
 
 def op8_secret_scans(spark, sf_dir):

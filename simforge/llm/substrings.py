@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, partitions, small_batches, written
+from .common import documents, freed, partitions, small_batches, written
 
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
@@ -175,7 +175,7 @@ def send(docs: DataFrame, o: Windows) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, "bucket long, blob binary")
+    return docs.mapInArrow(freed(run), "bucket long, blob binary")
 
 
 def counted(blobs: list[bytes], o: Windows) -> Iterator[tuple[int, int, bytes]]:
@@ -237,7 +237,7 @@ def repeated(sent: DataFrame, o: Windows) -> DataFrame:
         if blobs:
             yield answer(blobs)
 
-    return ordered.mapInArrow(run, "k1 long, k2 long, bits binary")
+    return ordered.mapInArrow(freed(run), "k1 long, k2 long, bits binary")
 
 
 def places(docs: DataFrame, o: Windows) -> DataFrame:
@@ -256,7 +256,7 @@ def places(docs: DataFrame, o: Windows) -> DataFrame:
                 z = slice(a, a + 50_000)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[z, 0]), pa.array(keys[z, 1]), pa.array(ids[doc[z]]), pa.array(at[z])], ["k1", "k2", "id", "at"])
 
-    return docs.mapInArrow(run, "k1 long, k2 long, id long, at long")
+    return docs.mapInArrow(freed(run), "k1 long, k2 long, id long, at long")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -276,7 +276,7 @@ def squeezed(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([z.compress(t.encode()) for t in b.column(2).to_pylist()], pa.binary()), b.column(3)], ["id", "th", "z", "doc_id"])
 
-    return docs.mapInArrow(run, "id long, th long, z binary, doc_id long")
+    return docs.mapInArrow(freed(run), "id long, th long, z binary, doc_id long")
 
 
 def remove_repeated(docs: DataFrame, o: Windows = Windows(), with_text: bool = True) -> DataFrame:
@@ -314,7 +314,7 @@ def remove_repeated(docs: DataFrame, o: Windows = Windows(), with_text: bool = T
             columns = zip(*rows) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()))]], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    return both.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return both.mapInArrow(freed(run), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def op1_substring_dedup(spark, sf_dir):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches, texts
+from .common import documents, freed, small_batches, texts
 
 U = np.uint64
 
@@ -187,7 +187,7 @@ def score(docs: DataFrame, table: np.ndarray, bias: float, o: Options = Options(
             s = scorer.scores(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([i is not None and held_out(i) for i in b.column(0).to_pylist()], pa.bool_()), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return texts(docs).mapInArrow(freed(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op10_toxicity(spark, sf_dir):
