@@ -113,8 +113,16 @@ def row_key() -> Column:
     return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text"))))
 
 
+def spaced(text: Column) -> Column:
+    """text with every character that ends a word as a space."""
+    for c in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
+
+
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD_CLASS), F.lit(0))
+    """Cut at single spaces, which takes no regular expression."""
+    return F.array_remove(F.split(spaced(text), " "), "")
 
 
 def partitions(spark: SparkSession) -> int:

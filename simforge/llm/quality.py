@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, documents, words
+from .common import SPACE_CLASS, documents, spaced, words
 
 #: The function words counted, as they stand within a sentence, by language.
 COMMON_WORDS = {
@@ -52,7 +52,7 @@ def with_char_counts(docs: DataFrame) -> DataFrame:
     Each class is taken out of what the ones before it left, blanks first: the
     letters then stand in long runs, and what they leave is short.
     """
-    docs = docs.withColumn("_dense", F.array_join("_words", ""))
+    docs = docs.withColumn("_dense", F.replace(spaced(F.col("_text")), F.lit(" "), F.lit("")))
     docs = docs.withColumn("_symbols", F.regexp_replace("_dense", f"{CHAR_CLASSES[1]}+", ""))
 
     def taken(rest: Column, classes: tuple[str, ...]) -> Column:
@@ -111,8 +111,25 @@ def language_references(docs: DataFrame, rules: QualityRules = QualityRules()) -
     return [(m[:n_c], m[n_c:]) for _, m in sorted(means.items()) if None not in m]
 
 
-def repeated_words(windows: Column) -> Column:
-    """Words covered by 3-word windows that stand twice or more in the array of all windows."""
+def windows(words: Column, of) -> Column:
+    """of(word, next word, the one after) for each 3-word window; none in an array of fewer words."""
+    n = F.size(words)
+    return F.when(n >= 3, F.transform(F.slice(words, 1, F.greatest(n - 2, F.lit(1))), lambda w, i: of(w, F.get(words, i + 1), F.get(words, i + 2))))
+
+
+def repeated_words(words: Column) -> Column:
+    """Words covered by 3-word windows that stand twice or more in an array of words.
+
+    Windows that all have different hashes are all different, and none needs to be
+    put together; that is what most texts need.
+    """
+    hashes = windows(words, F.xxhash64)
+    joined = windows(words, lambda *w: F.concat_ws(" ", *w))
+    return F.when((F.size(words) < 3) | (F.size(F.array_distinct(hashes)) == F.size(words) - 2), 0).otherwise(covered(joined))
+
+
+def covered(windows: Column) -> Column:
+    """Words covered by windows that stand twice or more in the array of all windows."""
     ordered = F.sort_array(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("p"))))
 
     def starts(s: Column) -> Column:
@@ -141,7 +158,6 @@ def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules(), referen
     out = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("_words", words(F.col("_text")))
     out = histograms(out, rules)
     n = F.size("_words")
-    out = out.withColumn("_windows", F.when(n >= 3, F.transform(F.slice("_words", 1, F.greatest(n - 2, F.lit(1))), lambda w, i: F.concat_ws(" ", w, F.get("_words", i + 1), F.get("_words", i + 2)))).otherwise(F.array().cast("array<string>")))
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(WORD_IN))
     out = out.withColumn("_lines", lines)
     out = out.withColumns(
@@ -150,7 +166,7 @@ def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules(), referen
             "word_chars": (F.length("_text") - F.get("_cc", F.lit(0))).cast("long"),
             "n_symbols": (F.length("_symbols") - F.length(F.regexp_replace("_symbols", r"[#*$%&|<>]+", ""))).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": F.when(F.size(F.array_distinct("_windows")) == F.size("_windows"), 0).otherwise(repeated_words(F.col("_windows"))).cast("long"),
+            "n_repeat_words": repeated_words(F.col("_words")).cast("long"),
         }
     )
     nearest = lambda c, k: F.least(*[js_distance(F.col(c), r[k]) for r in references], F.lit(1.0)) if references else F.lit(0.0)
@@ -159,7 +175,7 @@ def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules(), referen
     strange = (F.coalesce("char_distance", F.lit(0.0)) > rules.char_distance) | (F.coalesce("word_distance", F.lit(0.0)) > rules.word_distance)
     # No filter on the verdict passes below a row number. It would take the word arrays with it, to be worked out anew for each word.
     stop = F.monotonically_increasing_id() >= 0
-    return out.withColumn("kept", ~F.col("base_failed") & ~strange & stop).drop("_text", "_words", "_common", "_wc", "_cc", "_ch", "_wh", "_windows", "_lines", "_symbols")
+    return out.withColumn("kept", ~F.col("base_failed") & ~strange & stop).drop("_text", "_words", "_common", "_wc", "_cc", "_ch", "_wh", "_lines", "_symbols")
 
 
 WORD_IN = r"[^\x20\x09-\x0D]"
