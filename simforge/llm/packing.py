@@ -9,6 +9,7 @@ counts of patterns. Pieces then take their places by rank within their length.
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,77 +23,83 @@ from .common import documents, freed, partitions, small_batches, texts, written
 Pattern = tuple[tuple[int, int], ...]
 
 
-def letters_alone(word: str) -> bool:
-    """Whether it stays one unit of letters when lowered: some letters become a letter and a mark."""
-    return word.isalpha() and (word.isascii() or word.lower().isalpha())
-
-
 class WordIds:
-    """Ids of texts by a tokenizers file that lowers case and whose pre-tokenizer parts white space, letters and marks.
+    """Ids of texts by a tokenizers file that lowers case, and whose pre-tokenizer parts white space, letters and marks.
 
     Each stretch between white space is encoded once and kept in a bounded cache.
-    Letters with a comma or full stop behind them are put together from the ids of
-    both. Texts of Latin-1 alone, where lowering is the same everywhere, are
-    lowered first, which lets more of them share what is kept.
+    Texts of Latin-1 alone, where lowering is the same everywhere, are lowered
+    first, which lets more stretches share what is kept. Lower-case Latin-1 letters
+    are one unit that neither the normaliser nor the pre-tokenizer changes, so many
+    of them are encoded as one text without either, and parted at the ids that end
+    a word; with a comma or full stop behind them they are put together from the ids
+    of both. A file for which that doesn't hold, by trial, encodes texts whole.
     """
 
     #: Python splits at these, Unicode doesn't call them white space: texts with them are encoded whole.
     ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
+    LETTERS = re.compile(r"(?<![^ ])([a-zªµºß-öø-ÿ]+)([,.]?)(?![^ ])")
+    TRIAL = "The quick-brown  Fox, jumps. ÀÉÎ õü ß über\tall\n\nlazy dogs' 3.14 e-mail snake_case it's don't: naïve; señor? (ªº) x1y2 漢字 αβ."
 
-    def __init__(self, path: str, cached: int = 1_000_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, cached: int = 600_000):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tok, self.cache, self.cached = Tokenizer.from_file(path), {}, cached
+        self.tok, self.plain, self.cached = Tokenizer.from_file(path), Tokenizer.from_file(path), cached
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tok.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.cache: dict[str, bytes] = {}
+        self.by_words = True
+        samples = [self.TRIAL, self.TRIAL.lower(), "abc,", "a, b. c", ""]
+        self.by_words = self.last.any() and self.ids(samples) == [self._whole(t) for t in samples]
+        self.cache.clear()
 
-    def _encoded(self, words: list[str]) -> Iterator[bytes]:
-        """The ids of each word, all of them letters alone or none. Words of letters alone are one unit of the pre-tokenizer, so many of them are encoded as one text and parted at the ids that end a word."""
-        step = 256 if words and letters_alone(words[0]) else 1
-        texts = [" ".join(words[i : i + step]) for i in range(0, len(words), step)]
-        for k, e in enumerate(self.tok.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            raw = ids.tobytes()
-            some = words[k * step : (k + 1) * step]
-            cuts = [0, *((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()] if step > 1 else [0, len(raw)]
-            if len(cuts) == len(some) + 1:
-                yield from (raw[a:b] for a, b in zip(cuts, cuts[1:]))
-            else:
-                yield from (np.array(x.ids, "<u4").tobytes() for x in self.tok.encode_batch_fast(some, add_special_tokens=False))
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _parts(self, text: str) -> list[str]:
-        if any(c in text for c in self.ODD):
-            return [text]
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
             return text.split()
         return text.lower().split()
 
+    def _letters(self, words: list[str]) -> None:
+        """Keeps the ids of words of lower-case Latin-1 letters."""
+        cache, step = self.cache, 256
+        texts = [" ".join(words[i : i + step]) for i in range(0, len(words), step)]
+        for k, e in enumerate(self.plain.encode_batch_fast(texts, add_special_tokens=False)):
+            ids, some = np.array(e.ids, "<u4"), words[k * step : (k + 1) * step]
+            raw, cuts = ids.tobytes(), ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
+            if len(cuts) == len(some):
+                at = 0
+                for w, end in zip(some, cuts):
+                    cache[w] = raw[at:end]
+                    at = end
+            else:
+                cache.update((w, self._whole(w)) for w in some)
+
     def ids(self, batch: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
+        if not self.by_words:
+            return [self._whole(t) for t in batch]
         cache = self.cache
         if len(cache) > self.cached:
             cache.clear()
-        parts = [self._parts(t) for t in batch]
-        ended: list[str] = []
-        joined, alone = set(), [w for w in (",", ".") if w not in cache]
-        for w in set().union(*parts).difference(cache):
-            if w[-1:] in (",", ".") and letters_alone(w[:-1]):
-                ended.append(w)
-                if w[:-1] not in cache:
-                    joined.add(w[:-1])
-            elif letters_alone(w):
-                joined.add(w)
-            else:
-                alone.append(w)
-        for some in (list(joined), alone):
-            cache.update(zip(some, self._encoded(some)))
-        for w in ended:
-            cache[w] = cache[w[:-1]] + cache[w[-1]]
+        odd = {t: self._whole(t) for t in batch if any(c in t for c in self.ODD)}
+        parts = [() if t in odd else self._parts(t) for t in batch]
+        new = set().union(*parts, (",", ".")).difference(cache)
+        found = self.LETTERS.findall(" ".join(new))
+        self._letters(list({w for w, _ in found}.difference(cache)))
+        other = list(new.difference([w + mark for w, mark in found]))
+        for w, e in zip(other, self.tok.encode_batch_fast(other, add_special_tokens=False)):
+            cache[w] = np.array(e.ids, "<u4").tobytes()
+        for w, mark in found:
+            if mark:
+                cache[w + mark] = cache[w] + cache[mark]
         get = cache.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        return [odd[t] if t in odd else b"".join(map(get, p)) for t, p in zip(batch, parts)]
 
 
 _words: dict[str, WordIds] = {}
