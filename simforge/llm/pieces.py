@@ -17,9 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -103,6 +101,12 @@ class Pieces:
 
     def normalise(self, text: str) -> tuple[bytes, np.ndarray]:
         """What the library cuts into pieces, in UTF-8, and the byte of the text that each byte came from."""
+        out, places = self.record(text)
+        marked = out.replace(b" ", MARK.encode())
+        return (MARK.encode() + marked if self.prefix and out else marked), places
+
+    def record(self, text: str) -> tuple[bytes, np.ndarray]:
+        """The text by the model's character map, and, for each byte of what is cut into pieces and for its end, the byte of the text that it came from: of a mark's three bytes the space's, of the mark in front the first byte."""
         out, at = self.charmap.normalise(text.encode())
         if self.squeeze:
             raw = np.frombuffer(out, np.uint8)
@@ -113,27 +117,22 @@ class Pieces:
             out, at = raw[keep].tobytes(), np.concatenate([at[:-1][keep], [at[np.flatnonzero(keep)[-1] + 1] if keep.any() else at[-1]]])
         if not out:
             return out, at
-        raw = np.frombuffer(out, np.uint8)
-        wide = np.where(raw == 32, 3, 1)
-        marked = out.replace(b" ", MARK.encode())
-        places = np.repeat(at[:-1], wide)
+        wide = np.ones(len(out) + 1, np.int64)
+        wide[:-1][np.frombuffer(out, np.uint8) == 32] = 3
         if self.prefix:
-            marked, places = MARK.encode() + marked, np.concatenate([np.full(3, places[0]), places])
-        return marked, np.concatenate([places, at[-1:]])
+            wide[0] += 3
+        return out, np.repeat(at, wide)
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """(id, first byte, byte after the last) of each piece, in bytes of the text."""
         ids = self.encode(text)
         if not ids:
             return []
-        marked, places = self.normalise(text)
+        places = self.record(text)[1]
         if self.unknown.isdisjoint(ids):
             sizes = self.sizes[ids]
         else:  # an unknown piece is as long as what stands there
-            sizes, rest = [], marked
-            surfaces = self.sp.encode(text, out_type=str)
-            for i, s in zip(ids, surfaces):
-                sizes.append(len(s.encode()) if i in self.unknown else int(self.sizes[i]))
+            sizes = [len(s.encode()) if i in self.unknown else int(self.sizes[i]) for i, s in zip(ids, self.sp.encode(text, out_type=str))]
         ends = np.cumsum(sizes)
         return [(i, int(places[e - s]), int(places[e])) for i, s, e in zip(ids, sizes, ends)]
 
@@ -153,7 +152,7 @@ class Pieces:
         return s.split(" ")
 
     def segments(self, batch: list[str]) -> list[list[tuple[bytes, str, int, bytes]]]:
-        """For each text its segments' ids (decimal, each followed by a comma), decoded text, number of ids, and original bytes under each id."""
+        """For each text its segments' ids (decimal, each followed by a comma), decoded text, number of ids, and bytes of each piece as it is cut."""
         keys = [self._keys(t) for t in batch]
         if len(self.cache) > self.cached:
             self.cache.clear()
@@ -163,27 +162,18 @@ class Pieces:
             ids = self.sp.encode(part, num_threads=1)
             ids = [[self.mark_id] if not k else x[1:] if k[0] == "\n" else x for k, x in zip(part, ids)]
             for k, x, d in zip(part, ids, self.sp.decode(ids, num_threads=1)):
-                sizes = self.sizes[x]
-                if k[:1] != "\n":  # its marks are single spaces in the text
+                if k[:1] != "\n":
                     d = " " + d
-                    n = 1 + len(k) - len(k.lstrip(" "))
-                    for j, y in enumerate(x):
-                        own = min(n, self._marks(y))
-                        sizes[j] -= 2 * own
-                        n -= own
-                        if not n:
-                            break
-                self.cache[k] = (b"".join(b"%d," % y for y in x), d, len(x), sizes.astype("<u4").tobytes())
+                self.cache[k] = (b"".join(b"%d," % y for y in x), d, len(x), self.sizes[x].astype("<u4").tobytes())
         get = self.cache.__getitem__
         return [list(map(get, ks)) for ks in keys]
 
-    @lru_cache(None)  # noqa: B019  one model lives as long as its process
-    def _marks(self, i: int) -> int:
-        p = self.sp.id_to_piece(i)
-        return len(p) - len(p.lstrip(MARK))
+    def digests(self, batch: list[str]) -> list[tuple[int, str, str, bytes]]:
+        """(number of ids, SHA-256 of the ids, SHA-256 of the decoded text, where each piece ends in bytes of the text, as 32-bit numbers) of each text.
 
-    def digests(self, batch: list[str]) -> list[tuple[int, str, str, int]]:
-        """(number of ids, SHA-256 of the ids, SHA-256 of the decoded text, CRC-32 of the pieces' end offsets) of each text."""
+        The ends are read off the normaliser's record of the text: a piece of s bytes
+        ends where the byte after it came from.
+        """
         whole = [not self.segmented or MARK in t for t in batch]
         segments = iter(self.segments([t for t, w in zip(batch, whole) if not w]))
         out = []
@@ -191,16 +181,14 @@ class Pieces:
             if w or not text:
                 ids = self.sp.encode(text)
                 csv, decoded, n = ",".join(map(str, ids)).encode(), self.sp.decode(ids), len(ids)
-                ends = np.array([e for _, _, e in self.spans(text)], "<i8") if not w or ids else np.zeros(0, "<i8")
+                ends = np.array([e for _, _, e in self.spans(text)], "<u4")
                 if not w:
                     next(segments)
             else:
                 a, b, c, d = zip(*next(segments))
                 csv, decoded, n = b"".join(a)[:-1], "".join(b)[1:], sum(c)
-                sizes = np.frombuffer(b"".join(d), "<u4").astype("<i8")
-                sizes[0] -= 1  # the mark that stands for no byte of the text
-                ends = np.cumsum(sizes)
-            out.append((n, hashlib.sha256(csv).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), zlib.crc32(ends.tobytes())))
+                ends = self.record(text)[1][np.cumsum(np.frombuffer(b"".join(d), "<u4"))].astype("<u4")
+            out.append((n, hashlib.sha256(csv).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), ends.tobytes()))
         return out
 
 
@@ -214,7 +202,7 @@ def model(path: str) -> Pieces:
 
 
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, ends_crc32 (of each piece's end in bytes of the text), where each row lies.
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, span_ends (where each piece ends in bytes of the text, little-endian unsigned 32-bit; it begins where the one before ends), where each row lies.
 
     path: a model file that every executor has. A null or empty text has no ids and decodes to nothing.
     Repeated rows get equal results. A worker holds one Arrow batch and a bounded cache.
@@ -226,9 +214,9 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
         for b in batches:
             rows = m.digests(b.column(1).to_pylist())
             n, ids, decoded, ends = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string()), pa.array(ends, pa.int64())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ends_crc32"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string()), pa.array(ends, pa.binary())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "span_ends"])
 
-    return texts(docs).mapInArrow(freed(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ends_crc32 long")
+    return texts(docs).mapInArrow(freed(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, span_ends binary")
 
 
 def piece_spans(docs: DataFrame, path: str) -> DataFrame:

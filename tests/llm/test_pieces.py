@@ -24,8 +24,6 @@ def test_equals_the_library(text):
 @given(TEXT)
 @settings(max_examples=200, deadline=None)
 def test_spans_tile_the_text(text):
-    import zlib
-
     import numpy as np
 
     spans = MODEL.spans(text)
@@ -35,7 +33,7 @@ def test_spans_tile_the_text(text):
         assert a == at <= b
         at = b
     assert at == len(text.encode()) or not spans
-    assert MODEL.digests([text])[0][3] == zlib.crc32(np.array([e for _, _, e in spans], "<i8").tobytes())
+    assert MODEL.digests([text])[0][3] == np.array([e for _, _, e in spans], "<u4").tobytes()
 
 
 def rewriting_model(rule):
