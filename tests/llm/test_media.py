@@ -56,8 +56,10 @@ def test_store_keeps_a_chunk_once(spark):
     import random
 
     tail = random.Random(2).randbytes(20_000).hex()
-    lists, kept = store(ingest(frame(spark, [(1, "x" * 100 + tail), (2, "yy" * 100 + tail)]), Cuts(1000, 1023, 5000)))
-    assert kept.count() < 0.7 * lists.count()
+    ingested = ingest(frame(spark, [(1, "x" * 100 + tail), (2, "yy" * 100 + tail)]).repartition(2), Cuts(1000, 1023, 5000))
+    lists, chosen = store(ingested)
+    assert chosen.count() == 2
+    assert lists.select("home_pid", "home_k").distinct().count() == lists.select("digest").distinct().count() < 0.7 * lists.count()
 
 
 def test_near_copies_and_passages_share_chunks(spark):
@@ -67,8 +69,9 @@ def test_near_copies_and_passages_share_chunks(spark):
     prose = lambda n: " ".join("".join(r.choices("etaoinshrdlu", k=r.randint(2, 9))) for _ in range(n))
     near, passage = prose(500).split(" "), prose(500)
     rows = [(i, " ".join([*near[: 20 * i], "changed", *near[20 * i :]])) for i in range(20)] + [(100 + i, f"{prose(60)} {passage} {prose(60)}") for i in range(20)]
-    lists, kept = store(ingest(frame(spark, rows)))
-    assert lists.select("media").distinct().count() == 40
-    assert kept.count() < 0.5 * lists.count()
+    ingested = ingest(frame(spark, rows).repartition(4))
+    lists, chosen = store(ingested)
+    assert chosen.count() == 40
+    assert lists.select("digest").distinct().count() < 0.6 * lists.count()
     out = media_columns(frame(spark, rows)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
     assert sorted(map(tuple, out.collect())) == sorted(expected(*x) for x in rows)
