@@ -41,7 +41,7 @@ class Strings:
 
     size: int = 50
     ranges: int = 16
-    flush: int = 8 << 20
+    flush: int = 16 << 20
     sample: int = 2000
     many: int = 100_000
 
