@@ -26,18 +26,21 @@ def good_enough(kind: Column, n: Column, s1: Column, s2: Column) -> Column:
 
 
 def classified(df: DataFrame) -> DataFrame:
-    """df (n_total, n_partial, n_sub, n_sup, n, s1, s2) with fuzz, mean, overlap and d, the larger side."""
+    """df (n_total, n_partial, n_sub, n_sup, n, s1, s2) with fuzz, mean, overlap and d, the larger side. A failed comparison has null counts, and null in all of these."""
     mean = (F.col("n_total") - 0.5 * (F.col("n_partial") + F.col("n_sub") + F.col("n_sup"))) / F.col("n_total")
-    return df.withColumns({"fuzz": fuzziness(F.col("n_partial"), F.col("n_sub"), F.col("n_sup")), "mean": F.round(mean, 6), "overlap": overlap(F.col("n"), F.col("s1"), F.col("s2")), "d": F.greatest("s1", "s2")})
+    some = F.col("n_total").isNotNull()
+    return df.withColumns({"fuzz": F.when(some, fuzziness(F.col("n_partial"), F.col("n_sub"), F.col("n_sup"))), "mean": F.round(mean, 6), "overlap": F.when(some, overlap(F.col("n"), F.col("s1"), F.col("s2"))), "d": F.when(some, F.greatest("s1", "s2"))})
 
 
 def sort_key() -> Column:
-    """Orders results as the lattice does: exact above sub- and superset above fuzzy; within, by overlap, then matches; fuzzy ones by their mean alone."""
-    fuzzy = F.col("fuzz") == "Fuzzy"
-    rank = F.when(F.col("fuzz") == "ExactOnly", 2).when(fuzzy, 0).otherwise(1)
-    kind = F.when(F.col("overlap") == "Total", 2).when(F.col("overlap") == "Partial", 0).otherwise(1)
+    """Orders results as the lattice does: failed ones (null fuzz) below all; exact above sub- and superset above fuzzy; within, by overlap, then matches; fuzzy ones by their mean and then their counts alone."""
+    fuzzy = F.coalesce(F.col("fuzz") == "Fuzzy", F.lit(False))
+    some = F.col("fuzz").isNotNull()
+    rank = F.when(~some | fuzzy, 0).when(F.col("fuzz") == "ExactOnly", 2).otherwise(1)
+    kind = F.when(~some | fuzzy, 0).when(F.col("overlap") == "Total", 2).when(F.col("overlap") == "Partial", 0).otherwise(1)
     share = F.when(F.col("overlap") == "Partial", F.col("n") / F.col("d")).otherwise(F.col("n").cast("double"))
-    return F.struct(rank.alias("rank"), F.when(fuzzy, F.col("mean")).otherwise(0.0).alias("mean"), F.when(fuzzy, 0).otherwise(kind).alias("kind"), F.when(fuzzy, 0.0).otherwise(F.round(share, 9)).alias("share"))
+    counts = [F.when(fuzzy, F.col(c)).otherwise(0).cast("long").alias(c) for c in ("n_total", "n_partial", "n_sub", "n_sup")]
+    return F.struct(some.alias("some"), rank.alias("rank"), F.when(fuzzy, F.col("mean")).otherwise(0.0).alias("mean"), *counts, kind.alias("kind"), F.when(~some | fuzzy, 0.0).otherwise(F.round(share, 9)).alias("share"))
 
 
 def score() -> Column:
@@ -117,3 +120,28 @@ def moments(df: DataFrame, by: str, value: str, label: str) -> DataFrame:
     v = F.col(value)
     key = F.struct(v.alias("v"), F.col(label).alias("l"))
     return df.groupBy(by).agg(F.count(v).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_samp(v), 6).alias("sd"), F.min(key)["l"].alias("at_min"), F.max(key)["l"].alias("at_max"))
+
+
+def partitioned(df: DataFrame, classifier: Column, item: str) -> DataFrame:
+    """class, items: the sorted items of each class. A class's items are one row, as the report lists them; null classes are one class."""
+    return df.groupBy(classifier.alias("class")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+
+
+def checked_total(groups: DataFrame, df: DataFrame) -> DataFrame:
+    """groups with n_input, the number of rows of df. If the groups' n_all don't add up to it, the job ends."""
+    n = df.agg(F.count("*").alias("n_input")).join(groups.agg(F.coalesce(F.sum("n_all"), F.lit(0)).alias("_sum")))
+    checked = n.select(F.when(F.col("n_input") == F.col("_sum"), F.col("n_input")).otherwise(F.raise_error(F.lit("the groups don't add up to the input"))).alias("n_input"))
+    return groups.crossJoin(F.broadcast(checked))  # one row
+
+
+def function_ranges(ranges: DataFrame) -> DataFrame:
+    """start, end, names (sorted, distinct) of functions (start, end, name); two ends of one start end the job."""
+    g = ranges.groupBy("start").agg(F.min("end").alias("_lo"), F.max("end").alias("_hi"), F.array_sort(F.collect_set("name")).alias("names"))
+    end = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(F.raise_error(F.concat(F.lit("two ends of the function at "), F.col("start").cast("string"))))
+    return g.select("start", end.alias("end"), "names")
+
+
+def without_subsumed(df: DataFrame, every: DataFrame, by: list[str], specific: Column) -> DataFrame:
+    """df without the specific rows of keys that have a catch-all (every: by)."""
+    marked = df.join(every.select(*by).distinct().withColumn("_every", F.lit(True)), by, "left")
+    return marked.where(F.col("_every").isNull() | ~specific).drop("_every")

@@ -37,9 +37,10 @@ def longs(df, *columns):
 
 EXACT = "fuzz = 'ExactOnly' AND overlap = 'Total'"
 DONE = "completed AND NOT identical"
-RANK = "CASE fuzz WHEN 'ExactOnly' THEN 2 WHEN 'Fuzzy' THEN 0 ELSE 1 END"
-KEY = f"""struct_pack(rank := {RANK}, mean := CASE WHEN fuzz = 'Fuzzy' THEN mean ELSE 0.0 END, kind := CASE WHEN fuzz = 'Fuzzy' THEN 0 WHEN overlap = 'Total' THEN 2 WHEN overlap = 'Partial' THEN 0 ELSE 1 END,
-  share := CASE WHEN fuzz = 'Fuzzy' THEN 0.0 WHEN overlap = 'Partial' THEN round(n / d, 9) ELSE CAST(n AS DOUBLE) END)"""
+RANK = "CASE WHEN fuzz IS NULL OR fuzz = 'Fuzzy' THEN 0 WHEN fuzz = 'ExactOnly' THEN 2 ELSE 1 END"
+COUNTS = ", ".join(f"{c} := CASE WHEN fuzz = 'Fuzzy' THEN {c} ELSE 0 END" for c in ("n_total", "n_partial", "n_sub", "n_sup"))
+KEY = f"""struct_pack("known" := fuzz IS NOT NULL, rank := {RANK}, mean := CASE WHEN fuzz = 'Fuzzy' THEN mean ELSE 0.0 END, {COUNTS}, kind := CASE WHEN fuzz IS NULL OR fuzz = 'Fuzzy' THEN 0 WHEN overlap = 'Total' THEN 2 WHEN overlap = 'Partial' THEN 0 ELSE 1 END,
+  share := CASE WHEN fuzz IS NULL OR fuzz = 'Fuzzy' THEN 0.0 WHEN overlap = 'Partial' THEN round(n / d, 9) ELSE CAST(n AS DOUBLE) END)"""
 
 
 def pct(n: str, d: str) -> str:
@@ -127,10 +128,10 @@ def _(s, d):
     return C.confusion(t, F.col("quality") == 0, F.col("n_chars") > 3000)
 
 
-@query("a14_matches_by_kind", f"""WITH {E.RESULT} SELECT kind, count(*) AS n FROM (SELECT CASE WHEN s1 = n AND s2 = n THEN 'Exact' WHEN s2 = n THEN 'Superset' WHEN s1 = n THEN 'Subset' WHEN n = 1 THEN 'Fail' ELSE 'Partial' END AS kind FROM result) GROUP BY kind""")
+@query("a14_matches_by_kind", f"""WITH {E.RESULT} SELECT kind, count(*) AS n FROM (SELECT CASE WHEN s1 = n AND s2 = n THEN 'Exact' WHEN s2 = n THEN 'Superset' WHEN s1 = n THEN 'Subset' WHEN n = 1 THEN 'Fail' ELSE 'Partial' END AS kind FROM result WHERE n IS NOT NULL) GROUP BY kind""")
 def _(s, d):
     k = C.block_class(F.col("n") - 1, F.col("s1") - F.col("n"), F.col("s2") - F.col("n"))
-    return res(s, d).select(k.alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+    return res(s, d).where("n is not null").select(k.alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query("a15_a16_a17_classes", f"WITH {E.RESULT} SELECT fuzz, overlap, count(*) AS n, round(avg(mean), 6) AS mean FROM result GROUP BY fuzz, overlap")
@@ -616,17 +617,6 @@ def _(s, d):
     return match_pairs(blocks, edges).groupBy("fuzz", "overlap").agg(F.count("*").alias("n"), F.sum("n").alias("n_blocks"))
 
 
-@query("passes_pipeline")
-def _(s, d):
-    from ..operators.passes import normalized
-
-    t = E.statements(s, d)
-    rows = t.select("func", "pos", F.lit("move").alias("kind"), F.concat(F.lit("v"), F.col("avar").cast("string")).alias("avar"), tree().alias("tree"), F.lit(None).cast("string").alias("target"), F.lit(None).cast("string").alias("other"))
-    last = t.groupBy("func").agg((F.max("pos") + 1).alias("pos"), F.max_by("avar", "pos").alias("v"))
-    ret = last.select("func", "pos", F.lit("move").alias("kind"), F.lit("eax").alias("avar"), F.concat(F.lit('["var","v'), F.col("v").cast("string"), F.lit('",32]')).alias("tree"), F.lit(None).cast("string").alias("target"), F.lit(None).cast("string").alias("other"))
-    return normalized(rows.unionByName(ret)).groupBy("func").agg(F.count("block").alias("n_left"), F.max("reason").alias("reason"))
-
-
 @query("j2_seed_pairs", f"WITH {E.STMT}, e AS (SELECT func, min(pos) AS pos FROM stmt GROUP BY func) SELECT a.func AS l, b.func AS r FROM e a JOIN stmt x ON x.func = a.func AND x.pos = a.pos JOIN e b ON b.func = a.func + 1 AND a.func % 2 = 0 JOIN stmt y ON y.func = b.func AND y.pos = b.pos WHERE x.op = y.op")
 def _(s, d):
     first = E.statements(s, d).where("pos = 1")

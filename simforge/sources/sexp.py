@@ -105,9 +105,11 @@ def parse_results(lines: DataFrame, line: str = "value") -> DataFrame:
     c = F.col(line)
     g = lambda k: F.when(c.rlike(LINE), F.regexp_extract(c, LINE, k))
     numbers = F.regexp_extract_all(g(3), F.lit(r"(\d+)"), F.lit(1))
+    counts = F.split(F.regexp_extract(g(1), r"\(([0-9 ]+)\)\)\)$", 1), " ")
     return lines.select(
         c.alias("line"), F.regexp_extract(g(1), r"(\w+)", 1).alias("fuzz"), F.regexp_extract(g(1), r"\(Fuzzy \(([0-9.]+)", 1).try_cast("double").alias("mean"), F.regexp_replace(g(2), "^Overlap", "").alias("overlap"),
         numbers[0].cast("long").alias("n"), F.get(numbers, F.lit(1)).cast("long").alias("d"), g(4).alias("cluster"), F.split(g(5), " ").alias("flags"), g(6).alias("validated"),
+        *[F.get(counts, F.lit(i)).try_cast("long").alias(n) for i, n in enumerate(("n_total", "n_partial", "n_sub", "n_sup"))],
     )
 
 
