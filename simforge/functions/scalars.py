@@ -45,3 +45,34 @@ def is_call_or_return(asm: Column) -> Column:
 def small_range(lo: Column, hi: Column) -> Column:
     """Whether all values lie within 24 bits of 0, which no pointer does."""
     return (F.abs(lo) < 1 << 24) & (F.abs(hi) < 1 << 24)
+
+
+def is_subset(a: Column, b: Column) -> Column:
+    """Whether every item of array a is in array b."""
+    return F.size(F.array_except(a, b)) == 0
+
+
+def take(items: Column, n: int) -> Column:
+    return F.slice(items, 1, n)
+
+
+def drop(items: Column, n: int) -> Column:
+    return F.slice(items, n + 1, F.greatest(F.size(items) - n, F.lit(0)))
+
+
+def padded(items: Column, n: int, value: Column) -> Column:
+    """items, followed by so many values that there are n at least."""
+    return F.concat(items, F.array_repeat(value, F.greatest(F.lit(n) - F.size(items), F.lit(0))))
+
+
+def arrangements(items: Column, n: int) -> Column:
+    """All ordered choices of n different items of a short array of distinct ones; of all of them, its permutations."""
+    out = F.transform(items, lambda x: F.array(x))
+    for _ in range(n - 1):
+        out = F.flatten(F.transform(out, lambda p: F.transform(F.array_except(items, p), lambda x: F.concat(p, F.array(x)))))
+    return out
+
+
+def is_position_call(asm: Column) -> Column:
+    """A call of the next instruction, which only takes its address."""
+    return asm.rlike(r"(^|\n)\s*call\s+(\$\+5|0x0*5\b|\.\+5)")

@@ -31,6 +31,11 @@ def exits(edges: DataFrame) -> DataFrame:
     return vertices(edges).join(edges.select("graph", F.col("src").alias("v")).distinct(), ["graph", "v"], "left_anti")
 
 
+def exits_or_none(edges: DataFrame) -> DataFrame:
+    """graph, v of exits, and null for a graph that has none: where that is an error, the caller can end the job or tag the graph."""
+    return edges.select("graph").distinct().join(exits(edges), "graph", "left")
+
+
 def virtual_sink(edges: DataFrame, sink: str = "sink") -> DataFrame:
     """edges, and one from each exit to a new vertex."""
     return edges.unionByName(exits(edges).select("graph", F.col("v").alias("src"), F.lit(sink).alias("dst"), F.lit(None).cast("boolean").alias("label")))
@@ -246,26 +251,33 @@ def elementary_cycles(succ, vs) -> list[list]:
                     blocked.discard(u)
                     todo.extend(waiting.pop(u, ()))
 
-        def search(v):
-            found = False
-            path.append(v)
-            blocked.add(v)
-            for d in nexts[v]:
+        # A frame is a vertex, what is left of its successors, and whether a cycle was found below it.
+        frames = [[root, iter(nexts[root]), False]]
+        path.append(root)
+        blocked.add(root)
+        while frames:
+            frame = frames[-1]
+            v = frame[0]
+            for d in frame[1]:
                 if d == root:
                     out.append(path[:])
-                    found = True
+                    frame[2] = True
                 elif d > root and d not in blocked:
-                    found |= search(d)
-            if found:
-                free(v)
+                    frames.append([d, iter(nexts[d]), False])
+                    path.append(d)
+                    blocked.add(d)
+                    break
             else:
-                for d in nexts[v]:
-                    if d > root:
-                        waiting[d].add(v)
-            path.pop()
-            return found
-
-        search(root)
+                frames.pop()
+                path.pop()
+                if frame[2]:
+                    free(v)
+                    if frames:
+                        frames[-1][2] = True
+                else:
+                    for d in nexts[v]:
+                        if d > root:
+                            waiting[d].add(v)
     return out
 
 

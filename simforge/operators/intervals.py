@@ -18,6 +18,20 @@ def high_bound(lo: Column, width: Column) -> Column:
     return F.when(lo > top - (width - 1), top).otherwise(lo + width - 1)
 
 
+def strictly_below(hi: Column, point: Column) -> Column:
+    """Null where an end is open."""
+    return hi < point
+
+
+def strictly_above(lo: Column, point: Column) -> Column:
+    return lo > point
+
+
+def size(lo: Column, hi: Column) -> Column:
+    """Points of a closed interval; null of an empty or open one."""
+    return F.when(lo <= hi, hi - lo + 1)
+
+
 def islands(df: DataFrame, by: list[str], lo: str = "lo", hi: str = "hi") -> DataFrame:
     """Disjoint intervals that cover the same points, with n, how many went into each. Equal ends touch, neighbours that are one apart don't."""
     w = Window.partitionBy(*by).orderBy(lo, hi)

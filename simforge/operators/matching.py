@@ -257,3 +257,38 @@ def match_pairs(blocks: DataFrame, edges: DataFrame, policy: str = "whole-functi
 
     types = {"cluster": pa.int64(), "fuzz": pa.string(), "overlap": pa.string(), "n": pa.int64(), "d": pa.int64(), "mean": pa.float64()}
     return by_key(rows, ["side", "block", "output", "src", "dst"], run, "cluster long, fuzz string, overlap string, n long, d long, mean double", types)
+
+
+CLASSES = ("reg", "stack", "global", "heap")
+
+
+def by_class(left: dict[str, tuple], right: dict[str, tuple]) -> list[Pairing] | None:
+    """The pairings that inputs of two functions must have for their values to correspond: registers with stack slots, globals with globals, heap arrays with those of the same bounds. None where a class has more members on one side.
+
+    left, right: variable to (class,), for a heap array to ("heap", low, high, base
+    register). Heap arrays of one bounds also pair their base registers.
+    """
+
+    def classes(side: dict[str, tuple]) -> dict:
+        out: dict = {}
+        for v, (kind, *rest) in sorted(side.items()):
+            if kind not in CLASSES:
+                raise ValueError(f"no class {kind}")
+            out.setdefault(("heap", *rest[:2]) if kind == "heap" else ("frame",) if kind in ("reg", "stack") else (kind,), set()).add(v)
+        return out
+
+    a, b = classes(left), classes(right)
+    if a.keys() != b.keys() or any(len(a[k]) != len(b[k]) for k in a):
+        return None
+    out = [(frozenset(a[k]), frozenset(b[k])) for k in sorted(a, key=repr)]
+    for k in a:
+        if k[0] == "heap":
+            bases = tuple(frozenset(side[v][3] for v in part[k] if len(side[v]) > 3) for side, part in ((left, a), (right, b)))
+            if len(bases[0]) != len(bases[1]):
+                return None
+            if bases[0]:
+                out.append(bases)
+    try:
+        return merge(out, [])
+    except Conflict:
+        return None

@@ -122,6 +122,18 @@ def reduce_buckets(items: list, same, least: int = 8) -> list[list]:
     return left
 
 
+def bucket_table(items: DataFrame, same) -> DataFrame:
+    """grp, first, item, value: items (grp, item, value) in buckets of equal values, each named by its smallest item. same(a, b) compares values; a group's items come in order, and each is held against the first value of every bucket so far, so a call holds one group."""
+    import pyarrow as pa
+
+    from .tables import by_key
+
+    def run(grp, rows: list[tuple]) -> list[tuple]:
+        return [(grp, b[0][1], item, value) for b in reduce_buckets(rows, lambda x, y: same(x[2], y[2])) for _, item, value in b]
+
+    return by_key(items.select("grp", "item", "value"), ["item"], run, "grp long, first long, item long, value long", dict.fromkeys(("grp", "first", "item", "value"), pa.int64()))
+
+
 def shared_names(df: DataFrame, item: str, name: str) -> DataFrame:
     """item, same: the smallest item that is linked to it by names they share, directly or by way of others."""
     from .tables import settled

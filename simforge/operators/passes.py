@@ -118,6 +118,7 @@ def replace_calls(f: Function) -> None:
 
 
 def remove_halts(f: Function) -> None:
+    f.info["halting"] = {v for v, b in f.blocks.items() if b and b[-1][0] == "halt"}
     for b in f.blocks.values():
         b[:] = [s for s in b if s[0] != "halt"]
 
@@ -244,8 +245,8 @@ def drop_nops(f: Function) -> None:
             f.edges |= moved
 
 
-def to_ssa(f: Function) -> None:
-    """Each definition gets a version; phis stand where versions meet, by dominance frontiers."""
+def to_ssa(f: Function, only: set[str] | None = None) -> None:
+    """Each definition gets a version; phis stand where versions meet, by dominance frontiers. With only, those of the variables named, others being in this form already."""
     succ = f.successors()
     idom = immediate_dominators(succ, ENTRY)
     frontier = defaultdict(set)
@@ -258,7 +259,7 @@ def to_ssa(f: Function) -> None:
                     p = idom[p]
     defs, widths = defaultdict(set), {}
     for v, _, s in f.statements():
-        if s[0] == "move":
+        if s[0] == "move" and (only is None or s[1] in only):
             defs[s[1]].add(v)
         for e in s[1:]:
             if isinstance(e, tuple):
@@ -299,7 +300,7 @@ def to_ssa(f: Function) -> None:
         use = lambda e: mapped(e, lambda x: ("var", stacks[x[1]][-1], x[2]) if x[0] == "var" and stacks[x[1]] else x)
         for s in f.blocks[v]:
             s = tuple(use(x) if isinstance(x, tuple) else x for x in s)
-            if s[0] == "move":
+            if s[0] == "move" and (only is None or s[1] in only):
                 n = fresh(s[1])
                 stacks[s[1]].append(n)
                 pushed[v].append(s[1])
@@ -365,7 +366,8 @@ def mark_liveout(f: Function, register: str = "eax") -> None:
             live.add(own[-1])
         else:
             todo += [s for s, _, _ in f.into(v)]
-    live |= {s[1] for *_, s in f.statements() if s[0] == "move" and s[2][0] == "store"}
+    # Arrays of the stack frame are gone with it.
+    live |= {s[1] for *_, s in f.statements() if s[0] == "move" and s[2][0] == "store" and not s[1].startswith("esp[")}
     f.info["liveout"] = sorted(live)
 
 
@@ -414,29 +416,43 @@ def _all(e):
     return walk(e)
 
 
-#: The default order. Analyses read the function and leave what they find in its info.
-PIPELINE = [
-    ("CollectCalls", collect_calls), ("ReplaceCalls", replace_calls), ("RemoveHalts", remove_halts), ("RemoveIndirect", remove_indirect), ("Prune1", prune), ("Coalesce1", lambda f: coalesce(f, True)),
-    ("BreakAfterCalls1", break_after_calls), ("Prune2", prune), ("Coalesce2", lambda f: coalesce(f, True)), ("BreakAfterCalls2", break_after_calls), ("ForceSingleExit", force_single_exit), ("StartSsa", to_ssa),
-    ("NormalizeBranches", normalize_branches), ("Simplify1", simplify), ("DropNops1", drop_nops), ("Definitions", definitions), ("RemoveNoreturnEdges", remove_noreturn_edges), ("MarkLiveout", mark_liveout),
-    ("DeadCode1", eliminate_dead), ("CoalesceSsa1", coalesce), ("Buoyancy", hoist), ("Simplify2", simplify), ("DeadCode2", eliminate_dead), ("CoalesceSsa2", coalesce), ("DropNops2", drop_nops),
-]
+def pipeline() -> list[tuple]:
+    """The default order. Analyses read the function and leave what they find in its info."""
+    from . import memory_passes as M
 
+    return [
+        ("CollectCalls", collect_calls), ("ReplaceCalls", replace_calls), ("RemoveHalts", remove_halts), ("RemoveIndirect", remove_indirect), ("Prune1", prune), ("Coalesce1", lambda f: coalesce(f, True)),
+        ("BreakAfterCalls1", break_after_calls), ("TrimDefinitions", M.trim_definitions), ("SummarizeCalls", M.summarize_calls), ("Prune2", prune), ("Coalesce2", lambda f: coalesce(f, True)), ("BreakAfterCalls2", break_after_calls),
+        ("ForceSingleExit", force_single_exit), ("AddressMap", M.address_map), ("StartSsa", to_ssa), ("NormalizeBranches", normalize_branches), ("Simplify1", simplify), ("DropNops1", drop_nops), ("Definitions1", definitions),
+        ("NameArrays", M.name_arrays), ("Simplify2", simplify), ("Definitions2", definitions), ("FindCollapsible", M.find_collapsible), ("RemoveNoreturnEdges", remove_noreturn_edges), ("MarkLiveout", mark_liveout),
+        ("DeadCode1", eliminate_dead), ("CoalesceSsa1", coalesce), ("Buoyancy", hoist), ("Simplify3", simplify), ("DeadCode2", eliminate_dead), ("CoalesceSsa2", coalesce), ("DropNops2", drop_nops),
+    ]
 
-def run_passes(f: Function, passes=PIPELINE) -> tuple[Function, str | None]:
-    """The function after all passes, or as far as they came and why not further."""
-    for name, p in passes:
+
+def registered() -> dict:
+    """All passes by name, those outside the default order included."""
+    from . import memory_passes as M
+
+    extra = {"VerifyNoCalls": verify_no_calls, "RemoveSpecial": M.remove_special, "Coerce": M.coerce, "Coalesce3": coalesce, "PropagatePhis": M.propagate_phis, "CollapseLoads": M.collapse_loads, "SinkPartial": M.sink_partial}
+    return dict(pipeline()) | extra
+
+
+def run_passes(f: Function, passes=None) -> tuple[Function, str | None]:
+    """The function after all passes, or as far as they came and why not further: no function ends the job."""
+    for name, p in pipeline() if passes is None else passes:
         try:
             p(f)
         except Confusing as e:
             return f, f"{name}: {e}"
+        except Exception as e:  # noqa: BLE001  whatever is wrong with one function is its own matter
+            return f, f"{name}: {type(e).__name__}: {e}"
     return f, None
 
 
 SCHEMA = "func long, block int, pos int, kind string, avar string, tree string, reason string"
 
 
-def normalized(stmts: DataFrame, passes=PIPELINE) -> DataFrame:
+def normalized(stmts: DataFrame, passes=None) -> DataFrame:
     """func, block, pos, kind, avar, tree of each function's statements after the passes; one row with the reason of a function that is confusing.
 
     stmts: func, pos, kind, avar (the variable, label or call), tree, target, other (jump targets). A function's statements are one group.

@@ -108,3 +108,12 @@ def common_prefix(lists: DataFrame, by: str, items: str) -> DataFrame:
     w = Window.partitionBy(by).orderBy("_i")
     run = ok.withColumn("_r", F.row_number().over(w) - 1).where("_r = _i").groupBy(by).agg(F.count("*").alias("length"))
     return n.join(run, by, "left").select(by, F.coalesce("length", F.lit(0)).alias("length"))
+
+
+def pair_verdicts(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
+    """func, verdict of each pair of functions under one number: identical, or where the first statement stands that differs in the columns or that one side lacks."""
+    a = left.select("func", "pos", F.struct(*columns).alias("_l"))
+    b = right.select("func", "pos", F.struct(*columns).alias("_r"))
+    same = F.col("_l").eqNullSafe(F.col("_r"))
+    g = a.join(b, ["func", "pos"], "full").groupBy("func").agg(F.min(F.when(~same, F.col("pos"))).alias("_at"))
+    return g.select("func", F.when(F.col("_at").isNull(), "identical").otherwise(F.concat(F.lit("differ at "), F.col("_at").cast("string"))).alias("verdict"))

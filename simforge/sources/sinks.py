@@ -41,3 +41,54 @@ def snapshots(passes: DataFrame) -> DataFrame:
     w = Window.partitionBy("func").orderBy("no")
     differs = lambda c: F.lag(c).over(w).isNotNull() & (F.lag(c).over(w) != F.col(c))
     return passes.select("func", "no", "name", differs("stmts_hash").alias("changed"), differs("edges_hash").alias("cfg_changed"))
+
+
+def write_lines(df: DataFrame, path: str | None, append: bool = False) -> None:
+    """The one text column of df to a folder, or, without one, to standard output."""
+    if path is not None:
+        df.write.mode("append" if append else "overwrite").text(path)
+        return
+    for r in df.toLocalIterator():
+        print(r[0])
+
+
+def batch_files(pairs: DataFrame, path: str) -> None:
+    """Batch files under the paths that pairs name (batch, l_path, symbol, l_addr, r_path, r_addr): a folder for each, with one row to a run."""
+    from .sexp import write_batch
+
+    columns = ["batch", "l_path", "symbol", "l_addr", "r_path", "r_addr"]
+
+    def run(parts):
+        import pandas as pd
+
+        for p in parts:
+            texts = [write_batch([(r.l_path, r.symbol, int(r.l_addr), r.r_path, r.symbol, int(r.r_addr))]) for r in p.itertuples(index=False)]
+            yield pd.DataFrame({"value": texts, "batch": p["batch"]})
+
+    fan_out(pairs.select(*columns).mapInPandas(run, "value string, batch string"), path, "batch")
+
+
+def job_status(spark, name: str, success: bool, seconds: float, path: str) -> None:
+    """A row on how a job ended, after those that are there."""
+    spark.createDataFrame([(name, "success!" if success else "failed", float(seconds))], "job string, status string, seconds double").write.mode("append").parquet(path)
+
+
+def pass_snapshots(stmts: DataFrame) -> DataFrame:
+    """func, no, name, stmts_hash, edges_hash after each pass of a function; the last row of a confusing one is of the pass before."""
+    import hashlib
+
+    from ..operators.passes import pipeline, run_passes
+    from ..operators.programs import per_function
+
+    def digest(x) -> int:
+        return int.from_bytes(hashlib.blake2b(repr(x).encode(), digest_size=8).digest(), "little", signed=True)
+
+    def run(f):
+        out = []
+        for no, one in enumerate(pipeline()):
+            if run_passes(f, [one])[1]:
+                break
+            out.append((no, one[0], digest(list(f.statements())), digest(sorted(f.edges, key=repr))))
+        return out
+
+    return per_function(stmts, run, "no int, name string, stmts_hash long, edges_hash long")
