@@ -42,12 +42,90 @@ def read_symbols(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_executables(spark: SparkSession, root: str) -> DataFrame:
-    """name, path of files that begin as ELF does; a base name of two files ends the job."""
-    t = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.substring("content", 1, 4) == F.lit(b"\x7fELF")).select("path", F.substring_index("path", "/", -1).alias("name"))
+    """name, path of files that begin as ELF does; a base name of two files ends the job. Of each file four bytes are read, whatever its size."""
+    paths = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for b in batches:
+            found = []
+            for path in b.column(0).to_pylist():
+                where, name = fs.FileSystem.from_uri(path)
+                with where.open_input_stream(name) as f:
+                    if f.read(4) == b"\x7fELF":
+                        found.append(path)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["path"])
+
+    t = paths.mapInArrow(run, "path string").select("path", F.substring_index("path", "/", -1).alias("name"))
     g = t.groupBy("name").agg(F.count("*").alias("n"), F.min("path").alias("path"))
     return g.select("name", F.when(F.col("n") == 1, F.col("path")).otherwise(F.raise_error(F.concat(F.lit("name twice: "), "name"))).alias("path"))
 
 
+def stale(derived: DataFrame, binaries: DataFrame) -> DataFrame:
+    """name of binaries (name, modified) whose derived table (name, modified) is missing or older."""
+    d = derived.groupBy("name").agg(F.max("modified").alias("_d"))
+    return binaries.join(d, "name", "left").where("_d is null or _d < modified").select("name")
+
+
+def modified(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    """name, modified of the files below a folder."""
+    return _below(spark, root, glob).format("binaryFile").load(root).select(F.regexp_extract("path", r"([^/.]+)[^/]*$", 1).alias("name"), F.col("modificationTime").alias("modified"))
+
+
+def read_debug_modules(spark: SparkSession, root: str, glob: str = "*.ml", pattern: str = r'debug_module\s+"([^"]+)"') -> DataFrame:
+    """module, path of the debugging modules that source files name."""
+    t = _below(spark, root, glob).text(root).select(F.input_file_name().alias("path"), F.explode(F.regexp_extract_all("value", F.lit(pattern), F.lit(1))).alias("module"))
+    return t.select("module", "path").distinct()
+
+
+INLINES = "binary string, caller string, caller_ranges array<struct<lo:bigint,hi:bigint>>, inline string, callee_ranges array<array<struct<lo:bigint,hi:bigint>>>, error string"
+
+
+def read_inlines(spark: SparkSession, root: str, glob: str = "*.inlines") -> DataFrame:
+    """The inlined instances that the files below a folder list; a file that can't be read gives one row, with the error."""
+    return _below(spark, root, glob).text(root, wholetext=True).select("value").mapInPandas(_inlines, INLINES)
+
+
+def _inlines(parts):
+    import pandas as pd
+
+    from .sexp import parse, record
+
+    def spans(x):
+        return [{"lo": int(lo, 0), "hi": int(hi, 0)} for lo, hi in x]
+
+    for p in parts:
+        rows = []
+        for text in p["value"]:
+            try:
+                info = record(parse(text)[0])
+                for one in info["inlines"]:
+                    r = {k: record(v) for k, v in record(one).items()}
+                    rows.append((info["binary"], r["caller"]["name"], spans(r["caller"]["range"]), r["inline"]["name"], [spans(x) for x in r["callees"]["ranges"]], None))
+            except (ValueError, KeyError, IndexError, TypeError) as e:
+                rows.append((None, None, None, None, None, f"{type(e).__name__}: {e}"))
+        yield pd.DataFrame(rows, columns=["binary", "caller", "caller_ranges", "inline", "callee_ranges", "error"])
+
+
+class KeyedStore:
+    """A table of rows by id that is added to: what was put under an id stays, and more may follow."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def put(self, df: DataFrame, key: str = "id") -> None:
+        df.write.mode("append").partitionBy(key).parquet(self.path)
+
+    def get(self, value, key: str = "id") -> DataFrame | None:
+        """All rows of an id, none for an id that has none; None if nothing was ever put."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+            return None
+        return self.spark.read.parquet(self.path).where(F.col(key) == F.lit(value))
+
+
 def paths_by_name(subjects: DataFrame, path: str = "path") -> DataFrame:
     """name, path of the files that subjects lie in; one name may stand for one path only."""
     g = subjects.groupBy(F.substring_index(path, "/", -1).alias("name")).agg(F.count_distinct(path).alias("n"), F.min(path).alias("path"))
