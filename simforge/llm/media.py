@@ -41,7 +41,7 @@ class Cuts:
     least: int = 400
     mask: int = (1 << 10) - 1
     most: int = 8 << 10
-    pack: int = 256 << 10
+    pack: int = 768 << 10
 
 
 def payload(text: str) -> bytes:
