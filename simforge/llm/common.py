@@ -55,19 +55,41 @@ def give_back() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a local one where it is unset, as in tests."""
+    """The folder all executors see: spark.checkpoint.dir. Where it is unset, as in tests, a temporary one, which only a session on this machine alone can do with."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="simforge-")
         spark.conf.set("spark.checkpoint.dir", at)
         atexit.register(__import__("shutil").rmtree, at, True)
     return at.rstrip("/")
 
 
+#: Paths of written tables, in order, of this process.
+_paths: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """A set of tables to keep. At the end, all other tables that were written meanwhile are deleted."""
+    before, keep = len(_paths), set()
+    try:
+        yield keep
+    finally:
+        for path in _paths[before:]:
+            if path not in {t.written_at for t in keep}:
+                delete(spark, path)
+        del _paths[before:]
+        _paths.extend(t.written_at for t in keep)
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """df as a Parquet table in the shared folder, read again: it cuts lineage and outlives executors."""
     spark = spark_of(df)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _paths.append(path)
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
@@ -85,6 +107,14 @@ def discard(*tables: DataFrame) -> None:
         delete(t.sparkSession, t.written_at)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes the shuffle files of frames that are done with: they go when the driver's garbage is collected, which may otherwise be long after."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def setting(spark: SparkSession, key: str, value: str):
     """A setting of the session that holds for the jobs run meanwhile."""

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, documents, freed, partitions, small_batches, written
+from .common import discard, documents, freed, partitions, release, small_batches, written
 from .substrings import BASE, BYTE, U, keyed, mix, sliding_min, squeezed
 
 GRAM = 16
@@ -425,6 +425,7 @@ def remove_later_copies(docs: DataFrame, o: Strings = Strings(), with_text: bool
     known = F.broadcast(copies) if copies.count() <= few else copies
     slim = slim.join(known, ["id", "th"], "left_anti")
     found = written(matches(runs_of(slim, choose_splitters(slim, o), o), o), "suffix-matches")
+    release(docs.sparkSession)
     plain = found.where("key is null").select("id", "th", "lo", "hi")
     lows = found.where("lows is not null").select("key", "lows")
     many = found.where("key is not null and id is not null").select("key", "id", "th", F.col("lo").alias("first")).join(lows, "key")
