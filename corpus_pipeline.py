@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from simforge.llm import jaccard, lines, packing, quality, secrets
-from simforge.llm.common import documents, written
+from simforge.llm.common import documents, scratch, written
 
 #: Language histograms, tokens of a vocabulary and links have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -46,7 +46,10 @@ STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("jaccar
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = written(docs, f"stage-{name}")
+        if i + 1 == len(STAGES):
+            return stage(spark, docs, sf_dir)
+        # What a stage wrote on the way goes once its result is written.
+        with scratch(spark) as kept:
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+            kept.add(docs)
     return docs
