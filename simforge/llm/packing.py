@@ -31,13 +31,14 @@ class WordIds:
     first, which lets more stretches share what is kept. Lower-case Latin-1 letters
     are one unit that neither the normaliser nor the pre-tokenizer changes, so many
     of them are encoded as one text without either, and parted at the ids that end
-    a word; with a comma or full stop behind them they are put together from the ids
-    of both. A file for which that doesn't hold, by trial, encodes texts whole.
+    a word. Marks behind them, of which there are few different runs, are a unit of
+    their own, and the ids of both are put together. A file for which that doesn't hold, by trial, encodes texts whole.
     """
 
     #: Python splits at these, Unicode doesn't call them white space: texts with them are encoded whole.
     ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
-    LETTERS = re.compile(r"(?<![^ ])([a-zªµºß-öø-ÿ]+)([,.]?)(?![^ ])")
+    #: Letters and ASCII marks. An apostrophe may belong to what follows it.
+    LETTERS = re.compile(r"(?<![^ ])([a-zªµºß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)(?![^ ])")
     TRIAL = "The quick-brown  Fox, jumps. ÀÉÎ õü ß über\tall\n\nlazy dogs' 3.14 e-mail snake_case it's don't: naïve; señor? (ªº) x1y2 漢字 αβ."
 
     def __init__(self, path: str, cached: int = 600_000):
@@ -89,15 +90,15 @@ class WordIds:
             cache.clear()
         odd = {t: self._whole(t) for t in batch if any(c in t for c in self.ODD)}
         parts = [() if t in odd else self._parts(t) for t in batch]
-        new = set().union(*parts, (",", ".")).difference(cache)
+        new = set().union(*parts).difference(cache)
         found = self.LETTERS.findall(" ".join(new))
         self._letters(list({w for w, _ in found}.difference(cache)))
-        other = list(new.difference([w + mark for w, mark in found]))
+        ended = {w + marks: (w, marks) for w, marks in found if marks}
+        other = list(new.difference(ended, [w for w, _ in found]).union(marks for _, marks in ended.values()).difference(cache))
         for w, e in zip(other, self.tok.encode_batch_fast(other, add_special_tokens=False)):
             cache[w] = np.array(e.ids, "<u4").tobytes()
-        for w, mark in found:
-            if mark:
-                cache[w + mark] = cache[w] + cache[mark]
+        for whole, (w, marks) in ended.items():
+            cache[whole] = cache[w] + cache[marks]
         get = cache.__getitem__
         return [odd[t] if t in odd else b"".join(map(get, p)) for t, p in zip(batch, parts)]
 
