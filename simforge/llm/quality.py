@@ -8,6 +8,7 @@ have noisy histograms, so each test has a guard on the document's length.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -47,50 +48,63 @@ class QualityRules:
 
 
 def with_char_counts(docs: DataFrame) -> DataFrame:
-    """docs (with _text, _words) and _cc, counts by CHAR_CLASSES and then of all other characters, and _symbols, the characters that are in none of the first two classes.
+    """docs (with _text) and _c0, _c1, ..., counts by CHAR_CLASSES and then of all other characters, and _symbols, the characters that are in none of the first two classes.
 
     Each class is taken out of what the ones before it left, blanks first: the
-    letters then stand in long runs, and what they leave is short.
+    letters then stand in long runs, and what they leave is short. What is left is
+    a column each time, which more than one expression reads, so that it is worked
+    out once and in generated code.
     """
-    docs = docs.withColumn("_dense", F.replace(spaced(F.col("_text")), F.lit(" "), F.lit("")))
-    docs = docs.withColumn("_symbols", F.regexp_replace("_dense", f"{CHAR_CLASSES[1]}+", ""))
+    docs = docs.withColumn("_left0", F.replace(spaced(F.col("_text")), F.lit(" "), F.lit(""))).withColumn("_c0", (F.length("_text") - F.length("_left0")).cast("double"))
+    for i, c in enumerate(CHAR_CLASSES[1:], 1):
+        docs = docs.withColumn(f"_left{i}", F.regexp_replace(f"_left{i - 1}", f"{c}+", "")).withColumn(f"_c{i}", (F.length(f"_left{i - 1}") - F.length(f"_left{i}")).cast("double"))
+    last = len(CHAR_CLASSES)
+    docs = docs.withColumn(f"_c{last}", F.length(f"_left{last - 1}").cast("double")).withColumn("_symbols", F.col("_left1"))
+    return docs.drop(*[f"_left{i}" for i in range(last)])
 
-    def taken(rest: Column, classes: tuple[str, ...]) -> Column:
-        if not classes:
-            return F.array(F.length(rest).cast("double"))
-        # The one-element array binds what is left to a name, so that it is worked out once.
-        left = F.array(F.regexp_replace(rest, f"{classes[0]}+", ""))
-        return F.element_at(F.transform(left, lambda r: F.concat(F.array((F.length(rest) - F.length(r)).cast("double")), taken(r, classes[1:]))), 1)
 
-    first = F.array((F.length("_text") - F.length("_dense")).cast("double"), (F.length("_dense") - F.length("_symbols")).cast("double"))
-    return docs.withColumn("_cc", F.concat(first, taken(F.col("_symbols"), CHAR_CLASSES[2:]))).drop("_dense")
+def entropy(h: list[float]) -> float:
+    return -sum(x * math.log2(x) for x in h if x > 0)
 
 
-def share(h: Column) -> Column:
-    total = F.aggregate(h, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(h, lambda x: F.when(total > 0, x / total).otherwise(0.0))
+def summed(terms: Column) -> Column:
+    return F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
 
 
-def js_distance(p: Column, q: list[float]) -> Column:
-    """Jensen-Shannon distance of a column of shares from a constant histogram."""
+def times_log(x: Column) -> Column:
+    """x * log2 x, 0 at 0."""
+    return x * F.log2(F.greatest(x, F.lit(1e-300)))
 
-    def part(a: Column, m: Column) -> Column:
-        return F.when(a > 0, a * F.log2(a / m)).otherwise(0.0)
 
-    terms = F.zip_with(p, F.array(*[F.lit(float(x)) for x in q]), lambda a, b: part(a, (a + b) / 2) + part(b, (a + b) / 2))
-    return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0)))
+def js_distances(p: Column, references: list[list[float]]) -> list[Column]:
+    """Jensen-Shannon distance of a column of shares from each of some constant histograms.
+
+    The divergence is the entropy of the mean less the mean of both entropies; the
+    mean's is 1 - sum(s * log2 s) / 2, where s is the sum of both shares.
+    """
+    own = -summed(F.transform(p, times_log))
+
+    def one(e: Column, q: list[float]) -> Column:
+        mixed = F.zip_with(p, F.array(*[F.lit(float(x)) for x in q]), lambda a, b: times_log(a + b))
+        return F.sqrt(F.greatest(1 - summed(mixed) / 2 - (e + F.lit(entropy(q))) / 2, F.lit(0.0)))
+
+    return [one(own, q) for q in references]
 
 
 def histograms(docs: DataFrame, rules: QualityRules) -> DataFrame:
-    """docs (with _text, _words) and the columns _ch and _wh, both shares; null where the document is under the guard."""
-    # The cut to the vocabulary comes first: the counts then run over a short string.
-    docs = docs.withColumn("_common", F.filter("_words", lambda w: w.isin(rules.vocabulary())))
-    # Each common word stands between two spaces of its own, so that replace() counts it.
-    marked = F.concat(F.lit(" "), F.array_join("_common", "  "), F.lit(" "))
-    times = lambda m: F.array(*[((F.octet_length(m) - F.octet_length(F.replace(m, F.lit(f" {w} ")))) / len(f" {w} ".encode())).cast("double") for w in rules.vocabulary()])
-    docs = docs.withColumn("_wc", F.concat(F.element_at(F.transform(F.array(marked), times), 1), F.array((F.size("_words") - F.size("_common")).cast("double"))))
+    """docs (with _text, _words), with_char_counts, and the columns _ch and _wh, both shares; null where the document is under the guard."""
+    vocabulary = rules.vocabulary()
+    # Each common word as its number. Sorted with one more of each, numbers stand apart by their counts.
+    number = F.array(*[F.lit(w) for w in vocabulary])
+    common = F.transform(F.filter("_words", lambda w: w.isin(vocabulary)), lambda w: F.array_position(number, w).cast("int"))
+    docs = docs.withColumn("_order", F.sort_array(F.concat(common, F.array(*[F.lit(i + 1) for i in range(len(vocabulary))]))))
+    docs = docs.withColumn("_at", F.array(*[F.array_position("_order", F.lit(i + 1)) for i in range(len(vocabulary))], F.size("_order").cast("long") + 1))
+    words_of = F.zip_with(F.slice("_at", 1, len(vocabulary)), F.slice("_at", 2, len(vocabulary)), lambda x, y: (y - x - 1).cast("double"))
+    docs = docs.withColumn("_wc", F.array_append(words_of, (F.size("_words") + len(vocabulary) - F.size("_order")).cast("double"))).drop("_order", "_at")
     docs = with_char_counts(docs)
-    return docs.withColumn("_ch", F.when(F.length("_text") >= rules.char_guard, share(F.col("_cc")))).withColumn("_wh", F.when(F.size("_words") >= rules.word_guard, share(F.col("_wc"))))
+    total = F.length("_text")
+    docs = docs.withColumn("_ch", F.when(total >= rules.char_guard, F.array(*[F.col(f"_c{i}") / total for i in range(len(CHAR_CLASSES) + 1)])))
+    return docs.withColumn("_wh", F.when(F.size("_words") >= rules.word_guard, F.transform("_wc", lambda x: x / F.size("_words")))).drop("_wc")
 
 
 def language_references(docs: DataFrame, rules: QualityRules = QualityRules()) -> list[tuple[list[float], list[float]]]:
@@ -117,15 +131,44 @@ def windows(words: Column, of) -> Column:
     return F.when(n >= 3, F.transform(F.slice(words, 1, F.greatest(n - 2, F.lit(1))), lambda w, i: of(w, F.get(words, i + 1), F.get(words, i + 2))))
 
 
-def repeated_words(words: Column) -> Column:
-    """Words covered by 3-word windows that stand twice or more in an array of words.
+#: Bits of a number that hold a window's place, and the rest its hash.
+PLACE = 20
+
 
-    Windows that all have different hashes are all different, and none needs to be
-    put together; that is what most texts need.
+def with_windows(docs: DataFrame) -> DataFrame:
+    """docs (with _words) and _sorted: the hash of each 3-word window and its place in one number, in order. No windows are in fewer words."""
+    docs = docs.withColumn("_hash", F.transform("_words", lambda w: F.xxhash64(w)))
+    n = F.greatest(F.size("_words") - 2, F.lit(0))
+    two = F.zip_with(F.slice("_hash", 1, n), F.slice("_hash", 2, n), lambda a, b: F.xxhash64(a, b))
+    three = F.zip_with(two, F.slice("_hash", 3, n), lambda a, b: F.xxhash64(a, b))
+    keyed = F.transform(three, lambda h, i: h.bitwiseAND(F.lit(-(1 << PLACE))).bitwiseOR(i.cast("long")))
+    return docs.withColumn("_keyed", keyed).withColumn("_sorted", F.sort_array("_keyed")).drop("_hash", "_keyed")
+
+
+def repeated_words() -> Column:
+    """Words covered by 3-word windows that stand twice or more in a text (_words, _sorted).
+
+    Neighbours with one hash are compared word for word. Should two different
+    windows of a text share a hash, or places not fit, its windows are sorted
+    themselves.
     """
-    hashes = windows(words, F.xxhash64)
-    joined = windows(words, lambda *w: F.concat_ws(" ", *w))
-    return F.when((F.size(words) < 3) | (F.size(F.array_distinct(hashes)) == F.size(words) - 2), 0).otherwise(covered(joined))
+    words, keyed = F.col("_words"), F.col("_sorted")
+    place = lambda k: k.bitwiseAND((1 << PLACE) - 1).cast("int")
+    three = lambda p: F.slice(words, p + 1, 3)
+    # Null where hashes differ, else the places of both, none if the windows differ.
+    pair = lambda a, b: F.when(F.shiftright(a, PLACE) == F.shiftright(b, PLACE), F.when(three(place(a)) == three(place(b)), F.array(place(a), place(b))).otherwise(F.array().cast("array<int>")))
+    n = F.greatest(F.size(keyed) - 1, F.lit(0))
+    pairs = F.array_compact(F.zip_with(F.slice(keyed, 1, n), F.slice(keyed, 2, n), pair))
+    exact = covered(windows(words, lambda *w: F.concat_ws(" ", *w)))
+    found = lambda ps: F.when(F.exists(ps, lambda x: F.size(x) == 0), exact).otherwise(spread(F.sort_array(F.array_distinct(F.flatten(ps)))))
+    # The one-element array binds the pairs to a name, so that they are worked out once.
+    counted = F.element_at(F.transform(F.array(pairs), lambda ps: F.when(F.size(ps) == 0, 0).otherwise(found(ps))), 1)
+    return F.when(F.size(words) > 1 << PLACE, exact).otherwise(counted)
+
+
+def spread(starts: Column) -> Column:
+    """How many words windows of three cover, from their places in order."""
+    return F.aggregate(starts, F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")), lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n")))["n"]
 
 
 def covered(windows: Column) -> Column:
@@ -141,8 +184,7 @@ def covered(windows: Column) -> Column:
 
     # The one-element arrays bind a value to a name, so that it is worked out once.
     found = F.element_at(F.transform(F.array(ordered), starts), 1)
-    sums = F.aggregate(found, F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")), lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n")))
-    return sums["n"]
+    return spread(found)
 
 
 def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules(), references: list | None = None) -> DataFrame:
@@ -156,26 +198,26 @@ def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules(), referen
     """
     references = language_references(docs, rules) if references is None else references
     out = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("_words", words(F.col("_text")))
-    out = histograms(out, rules)
+    out = with_windows(histograms(out, rules))
     n = F.size("_words")
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(WORD_IN))
     out = out.withColumn("_lines", lines)
     out = out.withColumns(
         {
             "n_words": n.cast("long"),
-            "word_chars": (F.length("_text") - F.get("_cc", F.lit(0))).cast("long"),
+            "word_chars": (F.length("_text") - F.col("_c0")).cast("long"),
             "n_symbols": (F.length("_symbols") - F.length(F.regexp_replace("_symbols", r"[#*$%&|<>]+", ""))).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": repeated_words(F.col("_words")).cast("long"),
+            "n_repeat_words": repeated_words().cast("long"),
         }
     )
-    nearest = lambda c, k: F.least(*[js_distance(F.col(c), r[k]) for r in references], F.lit(1.0)) if references else F.lit(0.0)
+    nearest = lambda c, k: F.least(*js_distances(F.col(c), [r[k] for r in references]), F.lit(1.0)) if references else F.lit(0.0)
     out = out.withColumns({"char_distance": F.when(F.col("_ch").isNotNull(), nearest("_ch", 0)), "word_distance": F.when(F.col("_wh").isNotNull(), nearest("_wh", 1))})
     out = out.withColumn("base_failed", (F.col("n_words") < rules.min_words) | (F.col("n_repeat_words") > rules.most_repeated * F.col("n_words")))
     strange = (F.coalesce("char_distance", F.lit(0.0)) > rules.char_distance) | (F.coalesce("word_distance", F.lit(0.0)) > rules.word_distance)
     # No filter on the verdict passes below a row number. It would take the word arrays with it, to be worked out anew for each word.
     stop = F.monotonically_increasing_id() >= 0
-    return out.withColumn("kept", ~F.col("base_failed") & ~strange & stop).drop("_text", "_words", "_common", "_wc", "_cc", "_ch", "_wh", "_lines", "_symbols")
+    return out.withColumn("kept", ~F.col("base_failed") & ~strange & stop).drop("_text", "_words", "_ch", "_wh", "_lines", "_symbols", "_sorted", *[f"_c{i}" for i in range(len(CHAR_CLASSES) + 1)])
 
 
 WORD_IN = r"[^\x20\x09-\x0D]"
