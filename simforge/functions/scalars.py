@@ -76,3 +76,28 @@ def arrangements(items: Column, n: int) -> Column:
 def is_position_call(asm: Column) -> Column:
     """A call of the next instruction, which only takes its address."""
     return asm.rlike(r"(^|\n)\s*call\s+(\$\+5|0x0*5\b|\.\+5)")
+
+
+def merged_maps(a: Column, b: Column, combine) -> Column:
+    """Both maps; where both have a key, combine(value, value)."""
+    return F.map_zip_with(a, b, lambda _, x, y: F.when(x.isNull(), y).when(y.isNull(), x).otherwise(combine(x, y)))
+
+
+def filtered_map(m: Column, keep) -> Column:
+    """The entries for which keep(key, value) holds."""
+    return F.map_filter(m, keep)
+
+
+def random_bits(key: Column, bits: int, seed: int = 0) -> Column:
+    """A number of so many bits for each key, the same in every run of a seed."""
+    return F.xxhash64(F.lit(seed), key).bitwiseAND((1 << bits) - 1)
+
+
+def listed(items: Column, opening: str = "[", separator: str = "; ", closing: str = "]") -> Column:
+    """The items of an array as text."""
+    return F.concat(F.lit(opening), F.array_join(F.transform(items, lambda x: x.cast("string")), separator), F.lit(closing))
+
+
+def bit_text(v: Column, width: int) -> Column:
+    """The lowest bits of a number, highest first."""
+    return F.lpad(F.right(F.bin(v), F.lit(width)), width, "0")

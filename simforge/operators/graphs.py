@@ -1,6 +1,8 @@
 """Graphs as edge tables (graph, src, dst, label), whole-table and per graph.
 
-Whole-table operators are joins and loops of joins over all graphs at once.
+An edge with a null end is no edge to the operators that go graph by graph, and
+joins drop it; an empty table gives an empty one. Columns that begin with an
+underscore are theirs. Whole-table operators are joins and loops of joins over all graphs at once.
 Those whose result depends on an order of visits run per graph in one Python
 call, as control-flow graphs are small.
 """
@@ -108,15 +110,16 @@ def layers(edges: DataFrame, rounds: int = 200) -> DataFrame:
     raise RuntimeError("more layers than rounds")
 
 
-def chains(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """graph, v, head: straight-line chains. A vertex joins its only predecessor if it is that one's only successor. Heads double their reach each round."""
+def chains(edges: DataFrame) -> DataFrame:
+    """graph, v, head: straight-line chains. A vertex joins its only predecessor if it is that one's only successor. Heads double their reach each round, and the largest graph bounds the rounds; what still moves after them is on a ring, whose vertices keep their own."""
     from .tables import settled
 
     e = edges.select("graph", "src", "dst").distinct()
     one = e.groupBy("graph", "src").agg(F.count("*").alias("_o"), F.min("dst").alias("dst")).where("_o = 1").join(e.groupBy("graph", "dst").agg(F.count("*").alias("_i")).where("_i = 1"), ["graph", "dst"]).where("src != dst")
     up = settled(vertices(edges).join(one.select("graph", F.col("dst").alias("v"), F.col("src").alias("up")), ["graph", "v"], "left").select("graph", "v", F.coalesce("up", "v").alias("up")))
-    # A vertex k steps from its head is there after log2(k) rounds; a cycle of such vertices never is, and keeps its own.
-    for _ in range(rounds):
+    longest = up.where("up != v").groupBy("graph").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    # A vertex k steps from its head is there after log2(k) rounds.
+    for _ in range(longest.bit_length() + 1):
         jump = up.select("graph", F.col("v").alias("up"), F.col("up").alias("_next"))
         new = settled(up.join(jump, ["graph", "up"]).select("graph", "v", F.col("_next").alias("up"), (F.col("_next") != F.col("up")).alias("_moved")))
         up = new.select("graph", "v", "up")
@@ -134,10 +137,12 @@ def per_graph(edges: DataFrame, f, schema: str) -> DataFrame:
     def run(graph, rows: list[tuple]) -> list[tuple]:
         succ = defaultdict(list)
         for _, s, d, label in rows:
+            if s is None or d is None:
+                continue
             succ[s].append((-1 if label is None else int(label), d))
         for s in succ:
             succ[s].sort()
-        return [(graph, *r) for r in f(succ, sorted({v for r in rows for v in r[1:3]}))]
+        return [(graph, *r) for r in f(succ, sorted({v for r in rows for v in r[1:3] if v is not None}))]
 
     return by_key(edges.select("graph", "src", "dst", "label"), ["src", "dst"], run, schema, {c.split()[0]: kinds[c.split()[1]] for c in schema.split(", ")})
 

@@ -135,17 +135,13 @@ def bucket_table(items: DataFrame, same) -> DataFrame:
 
 
 def shared_names(df: DataFrame, item: str, name: str) -> DataFrame:
-    """item, same: the smallest item that is linked to it by names they share, directly or by way of others."""
-    from .tables import settled
-
-    state = settled(df.select(item, name).distinct().withColumn("same", F.col(item)))
-    while True:
-        low = state.groupBy(name).agg(F.min("same").alias("_n"))
-        new = state.join(low, name).groupBy(item).agg(F.min("_n").alias("_s"))
-        after = settled(state.join(new, item).select(item, name, F.col("_s").alias("same"), (F.col("_s") != F.col("same")).alias("_moved")))
-        state = after.select(item, name, "same")
-        if not after.where("_moved").limit(1).count():
-            return state.select(item, "same").distinct()
+    """item, same: the smallest item that is linked to it by names they share, directly or by way of others. Every item of a name is linked to the name's smallest, so a name on very many items gives as many links."""
+    from .components import components
+
+    low = df.where(F.col(name).isNotNull()).groupBy(name).agg(F.min(item).alias("b"))
+    links = df.join(low, name).select(F.col(item).alias("a"), "b").where("a != b")
+    found = components(links).withColumnRenamed("item", item)
+    return df.select(item).distinct().join(found, item, "left").select(item, F.coalesce("same", item).alias("same"))
 
 
 def resolved_calls(sites: DataFrame, functions: DataFrame, plt: DataFrame) -> DataFrame:

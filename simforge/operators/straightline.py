@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import fixpoint
-
 
 def upto():
     return Window.partitionBy("func").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -78,11 +76,26 @@ def def_ref(stmt: DataFrame) -> DataFrame:
 
 
 def dead_code(stmt: DataFrame) -> DataFrame:
-    """Statements that nothing live needs. The last definition of each variable and all stores are live, and so is what they use, and so on."""
-    chain = last_definitions(stmt).where("from_pos is not null").select("func", "pos", "from_pos")
-    roots = live_at_end(stmt).select("func", "pos").unionByName(stmt.where("op = 'store'").select("func", "pos"))
-    live = fixpoint(roots, lambda new: new.join(chain, ["func", "pos"]).select("func", F.col("from_pos").alias("pos")))
-    return stmt.join(live, ["func", "pos"], "left_anti")
+    """Statements that nothing live needs. The last definition of each variable and all stores are live, and so is what they use, and so on: back from the end, one pass over each function tells."""
+    import pyarrow as pa
+
+    from .tables import by_key
+
+    def run(func, rows: list[tuple]) -> list[tuple]:
+        needed, ended, dead = set(), set(), []
+        for row in reversed(rows):
+            _, _, avar, op, a, _ = row
+            if op != "store" and avar in ended and avar not in needed:
+                dead.append(row)
+                continue
+            needed.discard(avar)
+            ended.add(avar)
+            needed.add(a)
+        return dead
+
+    kinds = {"bigint": pa.int64(), "string": pa.string(), "int": pa.int32()}
+    rows = stmt.select("func", "pos", "avar", "op", "a", "b")
+    return by_key(rows, ["pos"], run, ", ".join(f"{c} {t}" for c, t in rows.dtypes), {c: kinds[t] for c, t in rows.dtypes})
 
 
 def collapsible_loads(stmt: DataFrame) -> DataFrame:

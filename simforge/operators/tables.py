@@ -9,18 +9,26 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir and read again, so that a lost executor doesn't undo earlier rounds."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors see: spark.checkpoint.dir. Where it is unset, a temporary one, which only a session on this machine alone can do with."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="simforge-")
         spark.conf.set("spark.checkpoint.dir", at)
         atexit.register(shutil.rmtree, at, True)
-    path = f"{at.rstrip('/')}/round-{uuid.uuid4().hex}"
+    return at.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again, so that a lost executor doesn't undo earlier rounds."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -302,7 +302,9 @@ def _(s, d):
     return t.select("p_partkey", c[0].alias("l"), c[1].alias("r"))
 
 
-@query("p11_normal_identifiers")
+@query("p11_normal_identifiers", r"""WITH x AS (SELECT doc_id, text, regexp_extract_all(text, '[a-z]*(?:ing|ly)\b') AS m, regexp_split_to_array(text, '[a-z]*(?:ing|ly)\b') AS parts FROM documents),
+f AS (SELECT *, list_filter(m, lambda v, i: list_position(m, v) = i) AS ids FROM x)
+SELECT doc_id, array_to_string(list_transform(parts, lambda p, i: p || CASE WHEN i <= len(m) THEN '_' || list_position(ids, m[i]) ELSE '' END), '') AS normal FROM f""")
 def _(s, d):
     return E.table(s, d, "documents").select("doc_id", P.normal_identifiers(F.col("text"), "[a-z]*(?:ing|ly)\\b").alias("normal"))
 
@@ -516,10 +518,10 @@ def _(s, d):
 # Clusters
 
 
-@query("c10_a24_stages", """SELECT count(*) AS n_initial, count(DISTINCT text) AS n_stage_1, count(DISTINCT substr(regexp_replace(lower(text), '[^a-z]+', '', 'g'), 1, 60)) AS n_stage_2 FROM documents""")
+@query("c10_a24_stages", """SELECT count(*) AS n_initial, count(DISTINCT text) AS n_stage_1, count(DISTINCT regexp_replace(lower(text), '[^a-z]+', '', 'g')) AS n_stage_2 FROM documents""")
 def _(s, d):
     t = E.table(s, d, "documents")
-    return P.staged(t, F.col("text"), F.substring(F.regexp_replace(F.lower("text"), "[^a-z]+", ""), 1, 60))
+    return P.staged(t, F.col("text"), F.regexp_replace(F.lower("text"), "[^a-z]+", ""))
 
 
 @query("c3_by_cardinality", f"WITH {E.STMT} SELECT n_defs, count(*) AS n FROM (SELECT func, count(DISTINCT avar) AS n_defs FROM stmt GROUP BY func) GROUP BY n_defs")

@@ -156,3 +156,28 @@ def _(s, d):
 
     t = E.statements(s, d).select("func", "pos", "op")
     return pair_verdicts(t.where("func % 2 = 0"), t.where("func % 2 = 1").withColumn("func", F.col("func") - 1), ["op"])
+
+
+MAPS = "m AS (SELECT user_id, event_type AS k, count(*) AS n, count(*) FILTER (WHERE value > 50) AS big FROM events GROUP BY ALL)"
+
+
+@query("u4_maps", f"WITH {MAPS}, x AS (SELECT user_id, k, CASE WHEN k < 'error' THEN n WHEN k < 'purchase' THEN n + big ELSE big END AS v FROM m WHERE k < 'purchase' OR k >= 'error') SELECT user_id, string_agg(k || '=' || v, ',' ORDER BY k) AS entries FROM x WHERE v > 1 GROUP BY user_id")
+def _(s, d):
+    m = E.table(s, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("big"))
+    side = lambda value, keep: F.map_from_entries(F.array_compact(F.collect_list(F.when(keep, F.struct("event_type", value)))))
+    g = m.groupBy("user_id").agg(side("n", F.col("event_type") < "purchase").alias("a"), side("big", F.col("event_type") >= "error").alias("b"))
+    both = S.filtered_map(S.merged_maps(F.col("a"), F.col("b"), lambda x, y: x + y), lambda k, v: v > 1)
+    text = F.array_join(F.transform(F.array_sort(F.map_entries(both)), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return g.select("user_id", text.alias("entries")).where("entries != ''")
+
+
+@query("u20_printed", "SELECT user_id, '[' || string_agg(CAST(event_id AS VARCHAR), '; ' ORDER BY event_id) || ']' AS ids, right('00000000' || bin(user_id % 256), 8) AS bits FROM events GROUP BY user_id")
+def _(s, d):
+    g = E.table(s, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
+    return g.select("user_id", S.listed(F.col("ids")).alias("ids"), S.bit_text(F.col("user_id") % 256, 8).alias("bits"))
+
+
+@query("n13_random_bits", "SELECT 2000 * (SELECT count(*) FROM part) // (SELECT count(*) FROM part) AS thousandth, true AS in_range, true AS again FROM region LIMIT 1")
+def _(s, d):
+    p = E.table(s, d, "part").select(S.random_bits(F.col("p_partkey"), 12, 7).alias("a"), S.random_bits(F.col("p_partkey"), 12, 7).alias("b"))
+    return p.agg(F.lit(2000).cast("long").alias("thousandth"), F.bool_and(F.col("a").between(0, 4095)).alias("in_range"), F.bool_and(F.col("a") == F.col("b")).alias("again"))
