@@ -21,7 +21,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -245,37 +244,39 @@ def spans_of(start: int, hits: list[bool], size: int) -> Iterator[tuple[int, int
         i += 1
 
 
-class Depths:
-    """Which of some sorted suffixes agree in their first bytes, by the lengths of the prefixes that neighbours share."""
-
-    def __init__(self, shared: list[int]):
-        self.shared, self.known = shared, {}
-
-    def at(self, depth: int) -> list[int]:
-        """Equal numbers for suffixes that agree in depth bytes."""
-        if depth not in self.known:
-            self.known[depth] = list(accumulate(h < depth for h in self.shared))
-        return self.known[depth]
+def leftmost(shared: list[int], size: int) -> list[list[bytes]]:
+    """For each of some sorted suffixes, by the lengths of the prefixes that neighbours share: at depths GRAM to size, the first suffix that agrees with it so far, as 4 bytes."""
+    n = size - GRAM + 1
+    row = [bytes(4)] * n
+    out = [row]
+    for k, h in enumerate(shared[1:], 1):
+        cut = min(max(h - GRAM + 1, 0), n)
+        row = row[:cut] + [k.to_bytes(4)] * (n - cut)
+        out.append(row)
+    return out
 
 
 def settle(strings: dict[tuple[bytes, bytes], list], shared: list[int], o: Strings) -> Iterator[tuple]:
     """Rows of a group. strings: (bytes in front, suffix) to [smallest id, places, name where places were given out, number of the suffix]; a place is (id, text hash, first window).
 
-    Windows are equal if they have the same bytes in front and their suffixes share a prefix up to the window's end.
+    Windows are equal if they have the same bytes in front and their suffixes share a
+    prefix up to the window's end, so a window is known by those bytes, whose number
+    is the depth left, and by the first suffix that agrees so deep.
     """
-    numbers, least = Depths(shared), {}
-
-    def windows(a: bytes, b: bytes, k: int) -> list[tuple[bytes, int]]:
-        return [(front := a[i:], numbers.at(o.size - len(front))[k]) for i in range(len(a) + len(b) - o.size + 1)]
-
+    least: dict[bytes, int] = {}
     if len(strings) > 1:
-        for (a, b), (low, _, _, k) in strings.items():
-            for x in windows(a, b, k):
+        agree = leftmost(shared, o.size)
+        known = {}
+        for s, (low, _, _, k) in strings.items():
+            a, b = s
+            deep = o.size - len(a) - GRAM
+            keys = known[s] = [a[i:] + x for i, x in enumerate(agree[k][deep : deep + len(a) + len(b) - o.size + 1])]
+            for x in keys:
                 m = least.get(x)
                 if m is None or low < m:
                     least[x] = low
-    for (a, b), (low, places, given, k) in strings.items():
-        lows = [least[x] for x in windows(a, b, k)] if least else [low] * (len(a) + len(b) - o.size + 1)
+    for s, (low, places, given, _) in strings.items():
+        lows = [least[x] for x in known[s]] if least else [low] * (len(s[0]) + len(s[1]) - o.size + 1)
         for doc, th, first in places:
             for lo, hi in spans_of(first, [m < doc for m in lows], o.size):
                 yield doc, th, lo, hi, None, None
