@@ -1,11 +1,13 @@
 """Secret scans: base patterns, and an assignment-aware lexer over source and configuration syntax.
 
 The lexer walks statements such as ``name = "literal"``, ``name: literal``,
-``name => literal`` and ``export NAME=literal``, line by line, and
-``<name>literal</name>`` and ``--name literal``, which may go over lines. It keeps the constants of a text by name, so that
-``a = "..."`` followed by ``password = a`` and ``"..." + a`` leads to the
-literal that the sensitive name gets. A literal is reported if the score of its
-target's name and of its own shape reaches the threshold.
+``name => literal`` and ``export NAME=literal``, line by line, and forms that may
+go over lines: ``<name>literal</name>``, ``--name literal``, literals in brackets,
+below the name, or joined by a sign at a line's end, texts between three quotes,
+and indented blocks. It keeps the constants of a text by name, so that
+``a = "..."`` followed by ``password = a`` and ``"..." + a`` leads to the literal
+that the sensitive name gets. A literal is reported if the score of its target's
+name and of its own shape reaches the threshold.
 """
 
 from __future__ import annotations
@@ -27,9 +29,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 HINT = re.compile(r"(?i)passw|secret|token|api_?key")
 #: What a sensitive name scores, by a part of it.
-NAME_PARTS = {"password": 4, "passwd": 4, "passphrase": 4, "pwd": 3, "secret": 4, "token": 3, "apikey": 4, "privatekey": 4, "accesskey": 4, "credential": 3, "auth": 2, "clientkey": 3, "signingkey": 4, "encryptionkey": 4, "bearer": 3, "dsn": 1, "key": 1}
-#: A quick look for any name that scores 2 or more, with what names may hold between its characters: texts without one need no lexer.
-NAMED = re.compile("(?ai)" + "|".join(r"[_$.:-]*+".join(part) for part, score in NAME_PARTS.items() if score >= 2))
+NAME_PARTS = {"password": 4, "passwd": 4, "passphrase": 4, "pwd": 3, "secret": 4, "token": 3, "apikey": 4, "privatekey": 4, "accesskey": 4, "credential": 3, "auth": 2, "clientkey": 3, "signingkey": 4, "encryptionkey": 4, "bearer": 3}
+#: A quick look for any name that scores, with what names may hold between its characters: texts without one need no lexer.
+NAMED = re.compile("(?ai)" + "|".join(r"[_$.:-]*+".join(part) for part in NAME_PARTS))
 TOKEN = re.compile(
     r"""(?ax)
     (?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)
@@ -52,6 +54,16 @@ FLAG = re.compile(
       | ["']\s*+,\s*+ (?: (?P<item>"(?!-)(?:[^"\\\n]|\\.)*+"|'(?!-)(?:[^'\\\n]|\\.)*+') | (?P<ref>[A-Za-z_$][A-Za-z0-9_$]*+)(?=\s*+[],)]) ) )
     """
 )
+_STRING = r"""(?:"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+')"""
+_TARGET = r"""(?<![\w$.-])(?P<q>["']?)(?P<name>[A-Za-z_$][\w$.-]*+)(?P=q)[\x20\t]*+(?:=>|:=|\?=|=(?!=)|:(?!:))[\x20\t]*+"""
+#: Literals that a target gets in brackets, below it, or joined over lines.
+CONTINUED = re.compile(
+    rf"""(?a){_TARGET}(?:[(\[]\s*+(?P<inside>(?:{_STRING}[\s+.\\]*+)++)|(?P<below>\\?\r?\n\s*+{_STRING}(?:[\x20\t]*+[+.]\s*+{_STRING})*+)|(?P<joined>{_STRING}(?:[\x20\t]*+(?:[+.][\x20\t]*+\\?|\\)\r?\n\s*+{_STRING})++))"""
+)
+STRING = re.compile(_STRING)
+#: A text between three quotes, and a block of indented lines after | or >.
+QUOTED = re.compile(rf"""(?a){_TARGET}[rbuRBU]?(?:\"\"\"(?P<double>(?:[^"\\]|\\.|"(?!""))*+)\"\"\"|\'\'\'(?P<single>(?:[^'\\]|\\.|'(?!''))*+)\'\'\')""", re.S)
+BLOCK = re.compile(r"(?am)^[\x20\t-]*+(?P<name>[A-Za-z_][\w.-]*+)[\x20\t]*+:[\x20\t]*+[|>][+-]?[\x20\t]*+\r?\n(?P<lines>(?:[\x20\t]++[^\s][^\n]*+(?:\n|\Z))++)")
 PLACEHOLDER = re.compile(r"(?ai)^(?:x+|\*+|\.+|changeme|example|placeholder|none|null|true|false|your[_-].*|<.*>|\$\{?.*|%\(?.*)$")
 PLAIN = re.compile(r"^[a-z]+$|^[A-Z][a-z]+$|^[0-9.]{1,8}$")
 
@@ -138,6 +150,18 @@ def named_spans(text: str, threshold: int = 5) -> list[tuple[int, int]]:
         # an author's name is no secret
         if name_score(m.group(1)) > 2 or not re.search(r"\s", value):
             given(m.group(1), [(value, at, at + len(value))])
+    for m in CONTINUED.finditer(text):
+        at = m.start(m.lastgroup)
+        given(m.group("name"), [(x.group()[1:-1], at + x.start() + 1, at + x.end() - 1) for x in STRING.finditer(m.group(m.lastgroup))])
+    for m in QUOTED.finditer(text) if '"""' in text or "'''" in text else ():
+        value = m.group(m.lastgroup).strip()
+        at = m.start(m.lastgroup) + m.group(m.lastgroup).find(value)
+        if not re.search(r"[\x20\t]", value):
+            given(m.group("name"), [(value, at, at + len(value))])
+    for m in BLOCK.finditer(text) if "|" in text or ">" in text else ():
+        rows = [(x.group(), m.start("lines") + x.start(), m.start("lines") + x.end()) for x in re.finditer(r"\S[^\n]*\S|\S", m.group("lines"))]
+        if not any(re.search(r"\s", x[0]) for x in rows):
+            given(m.group("name"), rows)
     flags = list(FLAG.finditer(text))[::-1] if "--" in text else []
     start = 0
     for line in text.split("\n"):

@@ -49,3 +49,12 @@ def test_odd_rows_and_no_rows(spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, SF)
         docs.collect()
+
+
+def test_columns_that_clash(spark):
+    docs = frame(spark, ODD + [(50 + i, "A line that stands in very many documents.\n" + "some words of text " * (20 + i)) for i in range(5)], extra=True)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, SF)
+        if name != "packing":
+            assert got.columns == docs.columns, name
+        got.collect()

@@ -93,3 +93,12 @@ def test_text_without_common_words_goes(spark):
     judged = quality_rules(frame(spark, rows), references=language_references(docs)).collect()
     assert all(not r.base_failed and r.char_distance <= RULES.char_distance for r in judged)
     assert [r.kept for r in judged] == [False] * 3
+
+
+def test_null_languages_and_windows_that_repeat(spark):
+    rows = sample(spark) + [(7000, "a b c a b c a b c " * 30), (7001, "x " * 200), (7002, "one two three four " + "five six " * 60)]
+    df = frame(spark, rows)
+    from pyspark.sql import functions as F
+
+    langs = [None if (i or 0) % 2 else "en" for i, _ in rows]
+    assert run(df.withColumn("lang", F.when(F.coalesce("doc_id", F.lit(0)) % 2 == 0, "en"))) == brute(rows, langs)

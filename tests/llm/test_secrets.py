@@ -83,7 +83,7 @@ def test_names_with_punctuation():
         assert spans_of(f'{name} = "{key}"') == [key], name
 
 
-@given(st.sampled_from(sorted(k for k, v in NAME_PARTS.items() if v >= 2)), st.lists(st.text("_$.:-", max_size=3), min_size=16, max_size=16), st.booleans())
+@given(st.sampled_from(sorted(NAME_PARTS)), st.lists(st.text("_$.:-", max_size=3), min_size=16, max_size=16), st.booleans())
 @settings(max_examples=200, deadline=None)
 def test_the_quick_look_misses_no_name(part, between, upper):
     name = "x" + "".join(c + s for c, s in zip(part.upper() if upper else part, between)) + "y"
@@ -101,3 +101,30 @@ def test_constants_of_many_pieces():
     assert spans_of(doubled) == ["aB3", "dE5"]
     assert spans_of('a = "aB3"\npassword = a + a + a\n') == ["aB3"]
     assert len(spans_of('s = ""\n' + "".join(f's = s + "{i:06}"\n' for i in range(5000)) + "password = s\n")) == 5000
+
+
+def test_literals_over_lines():
+    key, more = "aB3dE5fG7hI9", "kL2mN4pQ6rS8"
+    one = (f'password = (\n    "{key}"\n)', f'password = ("{key}")', f'"client_secret":\n    "{key}"', f"api_key = \\\n  '{key}'", f'secret = """\n{key}\n"""', f"token = r\'\'\'{key}\'\'\'", f"password: |\n  {key}\nnext: x", f"- secret: >-\n    {key}")
+    for text in one:
+        assert spans_of(text) == [key], text
+        assert redacted(text).count("[SECRET]") == 1 and key not in redacted(text)
+    two = (f'password = (\n  "{key}"\n  "{more}"\n)', f'password = "{key}" + \\\n  "{more}"', f'password = "{key}" +\n  "{more}"', f'password =\n  "{key}" +\n  "{more}"', f"password: |\n  {key}\n  {more}\n")
+    for text in two:
+        assert spans_of(text) == [key, more], text
+
+
+def test_forms_that_give_nothing():
+    key = "aB3dE5fG7hI9"
+    for text in (f'password == (\n"{key}")', f'colour = (\n "{key}"\n) # token', f'password\n"{key}"', 'password = (\n "changeme"\n)', "token: |\n  some words of prose here\n", 'secret = """\nA text with blanks 12\n"""', f"std::secret::\n'{key}'", 'password = """' * 2000, "password = (" * 3000, 'token = "a" +\n' * 2000, "secret: |\n" * 3000):
+        assert spans_of(text) == [], text[:80]
+
+
+def test_brute_cases():
+    """Every way to assign, with every kind of name and value: a literal is found where name and value score together."""
+    ways = ('{n} = "{v}"', "{n}: {v}", "{n} => '{v}'", "export {n}={v}", '{{"{n}": "{v}"}}', "<{n}>{v}</{n}>", "--{n} {v}", '{n} := "{v}"', '{n} = (\n "{v}"\n)', "x = 1; {n} = '{v}'", '{n}: str = "{v}"', "{n}: |\n  {v}\n")
+    for way in ways:
+        for name, sensitive in (("client_secret", True), ("passphrase", True), ("colour", False), ("size", False)):
+            for value, strong in (("aB3dE5fG7hI9", True), ("changeme", False), ("green", False)):
+                text = way.format(n=name, v=value)
+                assert (value in spans_of(text)) == (sensitive and strong), text

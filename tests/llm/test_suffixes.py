@@ -54,7 +54,7 @@ def test_against_brute_force(spark, many):
 
 
 def test_query(spark):
-    d = "/root/testdata/sf0.001"
+    d = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     assert sorted([tuple(r) for r in op3_suffix_dedup(spark, d).collect()], key=repr) == brute(rows)
 

@@ -52,3 +52,15 @@ def test_odd_rows(spark):
     got = score(frame(spark, ODD, extra=True), table, bias).collect()
     assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got)
     assert score(frame(spark, []), *train([], [], O)).collect() == []
+
+
+def test_no_held_out_row_is_learnt_from(spark, monkeypatch):
+    import simforge.llm.toxicity as T
+
+    d, met = "/root/testdata/sf0.1", []
+    monkeypatch.setattr(T, "train", lambda texts, toxic, o: met.append((texts, toxic)))
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    T.learn(docs, labels)
+    (texts, toxic), texts_of = met[0], {r.doc_id: r.text for r in docs.collect()}
+    known = sorted((r.doc_id, texts_of[r.doc_id] or "", r.toxic) for r in labels.collect() if not held_out(r.doc_id) and r.toxic in (0, 1) and r.doc_id in texts_of)
+    assert len(known) <= T.Options().sample and sorted(zip(texts, toxic)) == sorted((t, y) for _, t, y in known)
