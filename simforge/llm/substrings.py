@@ -272,7 +272,7 @@ def squeezed(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        z = zstandard.ZstdCompressor(level=6)
+        z = zstandard.ZstdCompressor(level=3)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([z.compress(t.encode()) for t in b.column(2).to_pylist()], pa.binary()), b.column(3)], ["id", "th", "z", "doc_id"])
 
