@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, freed, small_batches, texts, written
+from .common import discard, documents, freed, release, small_batches, texts, written
 
 RATE = 8000
 #: Bytes of a SHA-256 that media and chunks are known by.
@@ -229,8 +229,13 @@ def read_back(ingested: DataFrame) -> DataFrame:
                         rows.append({"kind": "want", "media": key, "seq": seq, "n_chunks": len(own), "digest": far[seq]} if seq in far else {"kind": "part", "media": key, "seq": seq, "n_chunks": len(own), "part": part(k)})
                 yield table(rows, BACK_NAMES, BACK_KINDS)
 
-    joined = packs.join(asked.groupBy("pid").agg(F.collect_list("ask").alias("asks")), "pid").select("pid", "media", "n_chunks", "blob", "sizes", "plan", "asks")
+    # The shuffles of digests go before packs are shuffled, and those of packs before parts are.
+    asked = written(asked.groupBy("pid").agg(F.collect_list("ask").alias("asks")), "media-asked")
+    release(spark)
+    joined = packs.join(asked, "pid").select("pid", "media", "n_chunks", "blob", "sizes", "plan", "asks")
     back = written(joined.mapInArrow(freed(run), BACK), "media-back")
+    discard(asked)
+    release(spark)
     results = [c for c in BACK_NAMES if c not in ("kind", "seq", "n_chunks", "digest", "part")]
     done = back.where("kind = 'done'").select(*results)
     sent = back.where("kind = 'want'").select("media", "seq", "n_chunks", "digest").join(back.where("kind = 'chunk'").select("digest", "part"), "digest").select("media", "seq", "n_chunks", "part")
