@@ -229,10 +229,10 @@ def read_back(ingested: DataFrame) -> DataFrame:
                         rows.append({"kind": "want", "media": key, "seq": seq, "n_chunks": len(own), "digest": far[seq]} if seq in far else {"kind": "part", "media": key, "seq": seq, "n_chunks": len(own), "part": part(k)})
                 yield table(rows, BACK_NAMES, BACK_KINDS)
 
-    # The shuffles of digests go before packs are shuffled, and those of packs before parts are.
+    # The shuffles of digests go before packs are shuffled, and those of packs before parts are. What is asked grows with the documents, so it isn't broadcast.
     asked = written(asked.groupBy("pid").agg(F.collect_list("ask").alias("asks")), "media-asked")
     release(spark)
-    joined = packs.join(asked, "pid").select("pid", "media", "n_chunks", "blob", "sizes", "plan", "asks")
+    joined = packs.join(asked.hint("merge"), "pid").select("pid", "media", "n_chunks", "blob", "sizes", "plan", "asks")
     back = written(joined.mapInArrow(freed(run), BACK), "media-back")
     discard(asked)
     release(spark)
