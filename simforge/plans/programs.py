@@ -55,6 +55,13 @@ def _(s, d):
     return PS.normalized(programs(s, d)).groupBy("func").agg(F.count("block").alias("n_left"), F.count_distinct("block").alias("n_blocks"), F.max("reason").alias("reason"))
 
 
+@query("k8_k9_pass_snapshots")
+def _(s, d):
+    from ..sources.sinks import pass_snapshots, snapshots
+
+    return snapshots(pass_snapshots(programs(s, d))).groupBy("no", "name").agg(F.count("*").alias("n"), F.count_if("changed").alias("n_changed"), F.count_if("cfg_changed").alias("n_cfg_changed"))
+
+
 @query("pass3_confusing_functions", f"WITH {EV} SELECT DISTINCT func, 'CollectCalls: indirect jump' AS reason FROM ev WHERE func % 17 = 0")
 def _(s, d):
     return PS.normalized(programs(s, d), [("CollectCalls", PS.collect_calls)]).where("reason is not null").select("func", "reason")

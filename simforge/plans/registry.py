@@ -474,10 +474,11 @@ def _(s, d):
     return G.virtual_sink(E.edges(s, d))
 
 
-@query("g16_layers", f"""WITH RECURSIVE {E.edge_sql()}, acyc AS (SELECT DISTINCT graph, src, dst FROM edge WHERE src < dst), vs AS (SELECT graph, src AS v FROM acyc UNION SELECT graph, dst FROM acyc),
+@query("g16_layers", f"""WITH RECURSIVE {E.edge_sql()}, {CLOSURE}, acyc AS (SELECT DISTINCT graph, src, dst FROM edge WHERE graph NOT IN (SELECT graph FROM reach WHERE src = dst)), vs AS (SELECT graph, src AS v FROM acyc UNION SELECT graph, dst FROM acyc),
 up AS (SELECT graph, v, 0 AS layer FROM vs UNION SELECT a.graph, a.src, layer + 1 FROM up JOIN acyc a ON a.graph = up.graph AND a.dst = up.v) SELECT graph, v, max(layer) AS layer FROM up GROUP BY graph, v""")
 def _(s, d):
-    return G.layers(E.edges(s, d).where("src < dst"))
+    e = E.edges(s, d)
+    return G.layers(e.join(G.cyclic(e).select("graph").distinct(), "graph", "left_anti").select("graph", "src", "dst", "label"))
 
 
 @query("g6_dominators", f"""WITH RECURSIVE {E.edge_sql()}, vs AS (SELECT graph, src AS v FROM edge UNION SELECT graph, dst FROM edge), ent AS (SELECT graph, min(v) AS r FROM vs GROUP BY graph),
@@ -609,10 +610,11 @@ def _(s, d):
     from ..operators.matching import match_pairs
 
     stmt = L.pieces(E.statements(s, d), F.col("op") == "store")
-    flat = stmt.withColumn("func", F.col("func") * 64 + F.col("block"))
+    many = 1 << 20  # blocks of a function
+    flat = stmt.withColumn("func", F.col("func") * many + F.col("block"))
     entry = lambda b: F.when(b == 0, -4).otherwise(b).cast("int")
     side = lambda f: F.when(f % 2 == 0, "left").otherwise("right")
-    func, block = F.floor(F.col("func") / 64), (F.col("func") % 64).cast("int")
+    func, block = F.shiftright("func", 20), (F.col("func") % many).cast("int")
     blocks = transfer_table(flat, tree()).select((func - func % 2).alias("cluster"), side(func).alias("side"), entry(block).alias("block"), "output", "tree")
     n = stmt.select("func", "block").distinct().withColumn("next", F.lead("block").over(Window.partitionBy("func").orderBy("block"))).where("next is not null")
     edges = n.select((F.col("func") - F.col("func") % 2).alias("cluster"), side(F.col("func")).alias("side"), entry(F.col("block")).alias("src"), entry(F.col("next")).alias("dst"), F.lit(None).cast("boolean").alias("label"))
@@ -634,13 +636,6 @@ def _(s, d):
     return x.select("func", "pos", F.last("addr", ignorenulls=True).over(L.upto()).alias("running"), F.first("addr", ignorenulls=True).over(whole).alias("first_addr"))
 
 
-@query("j15_calls_at_block_ends", f"""WITH {E.STMT}, x AS (SELECT *, lead(op) OVER (PARTITION BY func ORDER BY pos) AS next_op FROM stmt) SELECT func, pos, a AS target FROM x WHERE op = 'store' AND (next_op IS NULL OR next_op = 'load')""")
-def _(s, d):
-    w = Window.partitionBy("func").orderBy("pos")
-    x = E.statements(s, d).withColumn("next_op", F.lead("op").over(w))
-    return x.where((F.col("op") == "store") & (F.col("next_op").isNull() | (F.col("next_op") == "load"))).select("func", "pos", F.col("a").alias("target"))
-
-
 @query("f4_outside_range", "SELECT p_partkey FROM part WHERE p_retailprice IS NOT NULL AND NOT EXISTS (SELECT 1 FROM (SELECT n_nationkey * 40 + 900 AS s, n_nationkey * 40 + 920 AS e FROM nation) WHERE p_retailprice >= s AND p_retailprice < e)")
 def _(s, d):
     plt = E.table(s, d, "nation").select((F.col("n_nationkey") * 40 + 900).alias("s"), (F.col("n_nationkey") * 40 + 920).alias("e"))
@@ -667,9 +662,3 @@ SELECT n.g, coalesce((SELECT k - 1 FROM bad WHERE bad.g = n.g), (SELECT max(k) F
 def _(s, d):
     ops = E.statements(s, d).groupBy("func").agg(F.reverse(F.transform(F.array_sort(F.collect_list(F.struct("pos", "op"))), lambda x: x["op"])).alias("ops"))
     return longs(L.common_prefix(ops.withColumn("g", F.col("func") % 50), "g", "ops"), "length")
-
-
-@query("g15_call_graph", """SELECT n_name AS caller, r_name AS callee, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY ALL""")
-def _(s, d):
-    t = E.table(s, d, "customer").join(F.broadcast(E.table(s, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(E.table(s, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    return t.groupBy(F.col("n_name").alias("caller"), F.col("r_name").alias("callee")).agg(F.count("*").alias("n"))
