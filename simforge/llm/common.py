@@ -85,12 +85,12 @@ def scratch(spark: SparkSession):
         _paths.extend(t.written_at for t in keep)
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: it cuts lineage and outlives executors."""
+def written(df: DataFrame, name: str, codec: str = "zstd", **options) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: it cuts lineage and outlives executors. options are the writer's."""
     spark = spark_of(df)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _paths.append(path)
-    df.write.option("compression", codec).parquet(path)
+    df.write.options(compression=codec, **options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, lines, media, packing, pieces, quality, secrets, substrings, suffixes, toxicity
+from . import jaccard, lines, media, packing, pieces, quality, secrets, substrings, suffixes, tokens, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_secret_scans": secrets.op8_secret_scans,
         "op9_jaccard_join": jaccard.op9_jaccard_join,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_token_codes": tokens.op11_token_codes,
     }
 
 
