@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, lines, media, packing, pieces, quality, secrets, substrings, suffixes, tokens, toxicity
+from . import divergence, jaccard, lines, media, packing, pieces, quality, search, secrets, substrings, suffixes, tokens, toxicity
 
 
 def queries() -> dict:
@@ -18,8 +18,10 @@ def queries() -> dict:
         "op9_jaccard_join": jaccard.op9_jaccard_join,
         "op10_toxicity": toxicity.op10_toxicity,
         "op11_token_codes": tokens.op11_token_codes,
+        "op12_source_divergence": divergence.op12_source_divergence,
+        "op13_ranked_search": search.op13_ranked_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": lines.OP5_SQL}
+    return {"op5_line_dedup": lines.OP5_SQL, "op12_source_divergence": divergence.OP12_SQL, "op13_ranked_search": search.OP13_SQL}
