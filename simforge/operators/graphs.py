@@ -14,8 +14,10 @@ from collections import defaultdict
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegerType
 
-from .tables import by_key, fixpoint
+from .tables import Grown, by_key, fixpoint, settled, unsettle
 
 
 def vertices(edges: DataFrame) -> DataFrame:
@@ -43,25 +45,88 @@ def virtual_sink(edges: DataFrame, sink: str = "sink") -> DataFrame:
     return edges.unionByName(exits(edges).select("graph", F.col("v").alias("src"), F.lit(sink).alias("dst"), F.lit(None).cast("boolean").alias("label")))
 
 
-def closure(edges: DataFrame) -> DataFrame:
+#: Edges of a graph that one Python call takes.
+SMALL = 5_000
+
+
+def by_size(edges: DataFrame, small, large, most: int | None = None) -> DataFrame:
+    """small(edges) of the graphs that have no more than `most` edges, each in one call, and large(edges), a loop of joins, of the others. Both give the same rows; the size of a graph only chooses how."""
+    many = edges.groupBy("graph").agg(F.count("*").alias("_n")).where(F.col("_n") > (SMALL if most is None else most)).select("graph")
+    if many.isEmpty():
+        return small(edges)
+    return small(edges.join(many, "graph", "left_anti")).unionByName(large(edges.join(many, "graph", "left_semi")))
+
+
+def _types(edges: DataFrame, **columns: str) -> tuple[str, dict]:
+    """Schema and Arrow types of result columns, each by the column of edges whose type it has; another name is a number."""
+    kinds = {name: edges.schema[c].dataType if c in edges.columns else IntegerType() for name, c in columns.items()}
+    return ", ".join(f"{n} {k.simpleString()}" for n, k in kinds.items()), {n: to_arrow_type(k) for n, k in kinds.items()}
+
+
+def successors(rows) -> dict:
+    """Vertex to the vertices that its edges (graph, src, dst) lead to; an edge with a null end is none."""
+    out = defaultdict(set)
+    for _, s, d, *_ in rows:
+        if s is not None and d is not None:
+            out[s].add(d)
+    return out
+
+
+def reached(succ: dict, starts) -> set:
+    """What a path of one edge or more leads to."""
+    seen, todo = set(), list(starts)
+    while todo:
+        for d in succ.get(todo.pop(), ()):
+            if d not in seen:
+                seen.add(d)
+                todo.append(d)
+    return seen
+
+
+def closure(edges: DataFrame, most: int | None = None) -> DataFrame:
     """graph, src, dst: pairs with a path of one edge or more; a vertex reaches itself on a loop only."""
-    e = edges.select("graph", "src", "dst").distinct()
-    return fixpoint(e, lambda new: new.join(e.select("graph", F.col("src").alias("dst"), F.col("dst").alias("_to")), ["graph", "dst"]).select("graph", "src", F.col("_to").alias("dst")))
+    e = edges.select("graph", "src", "dst").where("graph is not null and src is not null and dst is not null").distinct()
 
+    def small(e: DataFrame) -> DataFrame:
+        def run(graph, rows):
+            succ = successors(rows)
+            return [(graph, s, d) for s in list(succ) for d in reached(succ, [s])]
 
-def depths(edges: DataFrame, starts: DataFrame, rounds: int = 200) -> DataFrame:
-    """graph, v, depth: fewest edges from a start (graph, v)."""
-    from .tables import settled
+        return by_key(e, ["src", "dst"], run, *_types(e, graph="graph", src="src", dst="dst"))
 
-    e = edges.select("graph", F.col("src").alias("v"), F.col("dst").alias("_to")).distinct()
-    seen = settled(starts.distinct().withColumn("depth", F.lit(0)))
-    new = seen
-    for d in range(1, rounds):
-        new = settled(new.join(e, ["graph", "v"]).select("graph", F.col("_to").alias("v")).distinct().join(seen, ["graph", "v"], "left_anti").withColumn("depth", F.lit(d)))
-        if not new.limit(1).count():
-            return seen
-        seen = seen.unionByName(new)
-    raise RuntimeError("a path is longer than the rounds allowed")
+    def large(e: DataFrame) -> DataFrame:
+        return fixpoint(e, lambda new: new.join(e.select("graph", F.col("src").alias("dst"), F.col("dst").alias("_to")), ["graph", "dst"]).select("graph", "src", F.col("_to").alias("dst")))
+
+    return by_size(e, small, large, most)
+
+
+def depths(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
+    """graph, v, depth: fewest edges from a start (graph, v). A start without edges has depth 0; a graph without a start has no rows."""
+    e = edges.select("graph", "src", "dst").where("graph is not null and src is not null and dst is not null").distinct()
+    first = starts.select("graph", "v").where("graph is not null and v is not null").distinct()
+    # A start is an edge from nowhere, so that it is where its graph is.
+    both = e.withColumn("_start", F.lit(False)).unionByName(first.select("graph", F.lit(None).cast(dict(e.dtypes)["src"]).alias("src"), F.col("v").alias("dst"), F.lit(True).alias("_start")))
+
+    def small(both: DataFrame) -> DataFrame:
+        def run(graph, rows):
+            succ, now = successors(rows), {d for _, s, d, start in rows if start}
+            depth, k = dict.fromkeys(now, 0), 0
+            while now:
+                k += 1
+                now = {d for v in now for d in succ.get(v, ()) if d not in depth}
+                depth.update(dict.fromkeys(now, k))
+            return [(graph, v, k) for v, k in depth.items()]
+
+        return by_key(both, ["src", "dst"], run, *_types(both, graph="graph", v="src", depth="int"))
+
+    def large(both: DataFrame) -> DataFrame:
+        e = both.where("not _start").select("graph", F.col("src").alias("v"), F.col("dst").alias("_to"))
+        grown, k = Grown(both.where("_start").select("graph", F.col("dst").alias("v"), F.lit(0).alias("depth"))), 1
+        while grown.add(grown.last().join(e, ["graph", "v"]).select("graph", F.col("_to").alias("v")).distinct().join(grown.all(), ["graph", "v"], "left_anti").withColumn("depth", F.lit(k))):
+            k += 1
+        return grown.all()
+
+    return by_size(both, small, large, most)
 
 
 def reachable_only(edges: DataFrame, starts: DataFrame) -> DataFrame:
@@ -94,26 +159,55 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return vertices(edges).select("graph", F.col("v"), F.col("v").alias("w")).unionByName(both.select("graph", F.col("src").alias("v"), F.col("dst").alias("w"))).groupBy("graph", "v").agg(F.min("w").alias("scc"))
 
 
-def layers(edges: DataFrame, rounds: int = 200) -> DataFrame:
+def layers(edges: DataFrame, most: int | None = None) -> DataFrame:
     """graph, v, layer: callees before callers. A vertex on or above a cycle has none, and a graph of such alone gives no row."""
-    from .tables import settled
+    e = edges.select("graph", "src", "dst").where("graph is not null and src is not null and dst is not null").distinct()
+
+    def small(e: DataFrame) -> DataFrame:
+        def run(graph, rows):
+            succ, callers = successors(rows), defaultdict(set)
+            for s, ds in succ.items():
+                for d in ds:
+                    callers[d].add(s)
+            waits = {v: len(succ.get(v, ())) for v in {*succ, *callers}}
+            now, k, out = [v for v, n in waits.items() if not n], 0, []
+            while now:
+                out += [(graph, v, k) for v in now]
+                free = []
+                for v in now:
+                    for s in callers.get(v, ()):
+                        waits[s] -= 1
+                        if not waits[s]:
+                            free.append(s)
+                now, k = free, k + 1
+            return out
+
+        return by_key(e, ["src", "dst"], run, *_types(e, graph="graph", v="src", layer="int"))
+
+    def large(e: DataFrame) -> DataFrame:
+        # What is left of the graph after each round; a vertex without callees left is free.
+        left, todo, grown, k = settled(e), settled(vertices(e)), None, 0
+        while True:
+            free = todo.join(left.select("graph", F.col("src").alias("v")).distinct(), ["graph", "v"], "left_anti").withColumn("layer", F.lit(k))
+            if grown is None:
+                grown = Grown(free)
+                more = not grown.last().isEmpty()
+            else:
+                more = grown.add(free)
+            if not more:
+                unsettle(left, todo)
+                return grown.all()
+            old, last = (left, todo), grown.last()
+            todo = settled(todo.join(last, ["graph", "v"], "left_anti"))
+            left = settled(left.join(last.select("graph", F.col("v").alias("dst")), ["graph", "dst"], "left_anti"))
+            unsettle(*old)
+            k += 1
 
-    left = settled(edges.select("graph", "src", "dst").distinct())
-    todo, out = settled(vertices(edges)), None
-    for k in range(rounds):
-        free = settled(todo.join(left.select("graph", F.col("src").alias("v")).distinct(), ["graph", "v"], "left_anti").withColumn("layer", F.lit(k)))
-        if not free.limit(1).count():
-            return out if out is not None else free
-        out = free if out is None else out.unionByName(free)
-        todo = settled(todo.join(free, ["graph", "v"], "left_anti"))
-        left = settled(left.join(free.select("graph", F.col("v").alias("dst")), ["graph", "dst"], "left_anti"))
-    raise RuntimeError("more layers than rounds")
+    return by_size(e, small, large, most)
 
 
 def chains(edges: DataFrame) -> DataFrame:
     """graph, v, head: straight-line chains. A vertex joins its only predecessor if it is that one's only successor. Heads double their reach each round, and the largest graph bounds the rounds; what still moves after them is on a ring, whose vertices keep their own."""
-    from .tables import settled
-
     e = edges.select("graph", "src", "dst").distinct()
     one = e.groupBy("graph", "src").agg(F.count("*").alias("_o"), F.min("dst").alias("dst")).where("_o = 1").join(e.groupBy("graph", "dst").agg(F.count("*").alias("_i")).where("_i = 1"), ["graph", "dst"]).where("src != dst")
     up = settled(vertices(edges).join(one.select("graph", F.col("dst").alias("v"), F.col("src").alias("up")), ["graph", "v"], "left").select("graph", "v", F.coalesce("up", "v").alias("up")))

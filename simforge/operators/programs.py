@@ -129,6 +129,43 @@ def laid_out(stmts: DataFrame) -> DataFrame:
     return per_function(stmts, lambda f: [(i, s[0], s[1] if s[0] in ("label", "jmp", "call") else None) for i, s in enumerate(M.layout(f))], "pos int, kind string, avar string")
 
 
+def shape_of(f: P.Function) -> str:
+    """Equal for functions whose graphs are isomorphic with their edges' labels."""
+    from .graphs import signature
+
+    return signature({v: [(-1 if e[2] is None else int(e[2]), e[1]) for e in f.out(v)] for v in f.blocks}, P.ENTRY)
+
+
+def body_of(f: P.Function) -> str:
+    """Equal for functions with the same graph and statements. Labels and jumps are the graph's."""
+    from .graphs import preorder
+
+    order = preorder({v: [(-1 if e[2] is None else int(e[2]), e[1]) for e in f.out(v)] for v in f.blocks}, P.ENTRY)
+    return repr([[s for s in f.blocks[v] if s[0] not in ("label", "comment", "jmp")] for v in order])
+
+
+def shapes(stmts: DataFrame, passes=None) -> DataFrame:
+    """func, before, body, after: a digest of each function's graph as it stands, of its graph with statements, and of its graph after the passes (none: the default order), all of one run; after is null where a pass can't settle the function."""
+    import hashlib
+
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()[:32]
+
+    def run(f):
+        before, body = digest(shape_of(f)), digest(shape_of(f) + body_of(f))
+        g, why = P.run_passes(f, passes)
+        return [(before, body, None if why else digest(shape_of(g)))]
+
+    return per_function(stmts, run, "before string, body string, after string")
+
+
+def pair_flags(pairs: DataFrame, shapes: DataFrame) -> DataFrame:
+    """pairs (l, r: functions) with identical, iso_before, iso_after. Identical functions aren't called isomorphic before the passes as well; a function without a shape is neither."""
+    of = lambda s: shapes.select(F.col("func").alias(s), *[F.col(c).alias(f"_{s}_{c}") for c in ("before", "body", "after")])
+    same = lambda c: F.coalesce(F.col(f"_l_{c}") == F.col(f"_r_{c}"), F.lit(False))
+    both = pairs.join(of("l"), "l", "left").join(of("r"), "r", "left")
+    return both.withColumns({"identical": same("body"), "iso_before": same("before") & ~same("body"), "iso_after": same("after")}).select(*pairs.columns, "identical", "iso_before", "iso_after")
+
+
 def strided_column(op: str, a: Column, b: Column) -> Column:
     """The strided interval of an operation on two (structs stride, lo, hi of 32 bits). Null operands give null."""
     f = {"union": N.union, "neg": lambda x, _: N.neg(x), "not": lambda x, _: N.invert(x)}.get(op) or N.OPERATORS[op]

@@ -26,23 +26,57 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again, so that a lost executor doesn't undo earlier rounds."""
+    """df written to the shared folder and read again, so that a lost executor doesn't undo earlier rounds. settled_at is its path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def fixpoint(state: DataFrame, step, rounds: int = 200) -> DataFrame:
-    """Repeats step(state), which gives rows to add, until there are none. Rows are distinct. Past `rounds` it raises."""
-    state = settled(state.distinct())
-    new = state
-    for _ in range(rounds):
-        new = settled(step(new).distinct().join(state, state.columns, "left_anti"))
-        if not new.limit(1).count():
-            return state
-        state = state.unionByName(new)
-    raise RuntimeError(f"no fixpoint after {rounds} rounds")
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def unsettle(*tables: DataFrame) -> None:
+    """Deletes settled tables that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(t.settled_at)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Grown:
+    """A table that rounds add to. Each round is settled; every so many are put together, so that reading takes few files."""
+
+    MANY = 12
+
+    def __init__(self, first: DataFrame):
+        self.rounds = [settled(first)]
+
+    def last(self) -> DataFrame:
+        return self.rounds[-1]
+
+    def all(self) -> DataFrame:
+        spark, first = self.rounds[0].sparkSession, self.rounds[0]
+        return spark.read.schema(first.schema).parquet(*[t.settled_at for t in self.rounds])
+
+    def add(self, rows: DataFrame) -> bool:
+        """Whether there are any rows."""
+        new = settled(rows)
+        if new.isEmpty():
+            unsettle(new)
+            return False
+        if len(self.rounds) == self.MANY:
+            old, self.rounds = self.rounds, [settled(self.all())]
+            unsettle(*old)
+        self.rounds.append(new)
+        return True
+
+
+def fixpoint(state: DataFrame, step) -> DataFrame:
+    """Repeats step(what the last round added), which gives rows to add, until there are none. Rows are distinct, so finitely many possible rows bound the rounds. The result's files stay; those of rounds are put together."""
+    grown = Grown(state.distinct())
+    while grown.add(step(grown.last()).distinct().join(grown.all(), state.columns, "left_anti")):
+        pass
+    return grown.all()
 
 
 def by_key(df: DataFrame, order: list[str], f: Callable, schema: str, types: dict[str, pa.DataType]) -> DataFrame:

@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables, with their SQL."""
 
-from . import compare, programs, registry, rules  # noqa: F401  they register their queries
+from . import compare, matched, programs, registry, rules  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL
 
 
