@@ -1,19 +1,20 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a table bucketed and sorted by line hash. It has a row for each key
-that some batches brought first, with how many documents hold it and the
-largest of their ids, and a row (known) for each key that an older run has, by
-which its counts are to be raised. A new batch is merged against the runs: the
-join that finds no row for a key makes the batch own it, and one that finds a
-row makes it an update. As all runs lie in the same buckets, sorted, these
-merges shuffle and sort nothing but the batch. When a level has as many runs as
-the fanout, they are merged to one run of the next level, which adds up the
-updates whose rows are in it; so each row is rewritten a logarithmic number of
-times, and no key has two rows.
+A run is a table bucketed and sorted by line hash, of the keys that a batch
+brought first: how many of its documents hold each, and the largest of their ids.
+A new batch is sorted and merged against the runs, in an anti-join: keys that no
+run has are its own and make a run; what it counts of keys that some run has goes
+to a smaller table of updates. So no two runs have a key in common, and a key's
+row is the batch's that met it first. When a level has as many runs as the
+fanout, they are compacted to one run of the next level. As all runs lie in the
+same buckets, sorted, these merges shuffle and sort nothing but the batch, and
+each row is rewritten a logarithmic number of times. The answer is read from the
+owners' rows, with the updates of each.
 """
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,7 +37,7 @@ def line_hash(line: Column, min_chars: int) -> Column:
 
 
 class Run:
-    """One run: h, n_docs, max_doc, known, in buckets by h and sorted in each. fill writes it."""
+    """One sorted table: h, n_docs, max_doc, in buckets by h and sorted in each."""
 
     def __init__(self, rows: DataFrame, buckets: int):
         self.spark = rows.sparkSession
@@ -58,22 +59,28 @@ ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 class LineRuns:
-    """The levelled runs, oldest first in each level. No batch may bring a document that an earlier one had."""
+    """The levelled runs, oldest first in each level, and the updates of their rows. No batch may bring a document that an earlier one had."""
 
     def __init__(self, spark: SparkSession, fanout: int = 2):
         self.spark, self.fanout, self.levels, self.buckets = spark, fanout, [[]], partitions(spark)
+        self.updates: list[Run] = []
 
     def _runs(self) -> list[Run]:
         return [r for level in self.levels for r in level]
 
     def add(self, lines: DataFrame) -> None:
-        """Takes the lines (h, doc_id) of a batch: its keys are held against all runs in one merge."""
+        """Takes the lines (h, doc_id) of a batch: its keys are held against all runs in one merge, and those that none has are its own."""
         keys = lines.groupBy("h").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("doc_id").alias("max_doc"))
-        known = F.lit(False)
-        for i, run in enumerate(self._runs()):
-            keys = keys.join(run.rows().where("not known").select("h", F.lit(True).alias(f"in_{i}")).hint("merge"), "h", "left")
-            known = known | F.col(f"in_{i}").isNotNull()
-        self.levels[0].append(Run(keys.select("h", "n_docs", "max_doc", known.alias("known")), self.buckets))
+        batch = own = Run(keys, self.buckets)
+        if runs := self._runs():
+            with setting(self.spark, ORDERED, "true"):
+                new = batch.rows()
+                for run in runs:
+                    new = new.join(run.rows().select("h").hint("merge"), "h", "left_anti")
+                own = Run(new, self.buckets)
+                self.updates.append(Run(batch.rows().join(own.rows().select("h").hint("merge"), "h", "left_anti"), self.buckets))
+            batch.drop()
+        self.levels[0].append(own)
         self._compact()
 
     def _compact(self) -> None:
@@ -82,29 +89,31 @@ class LineRuns:
                 return
             if i + 1 == len(self.levels):
                 self.levels.append([])
-            self.levels[i + 1].append(Run(self._merged(level), self.buckets))
+            with setting(self.spark, ORDERED, "true"):
+                self.levels[i + 1].append(Run(self._merged(level), self.buckets))
             self.levels[i] = []
             for run in level:
                 run.drop()
 
     @staticmethod
     def _merged(runs: list[Run]) -> DataFrame:
-        """The rows of all runs, where a key has its row and updates of it added up, or updates alone."""
+        """The rows of all runs, no two of which have a key in common."""
         out = runs[0].rows()
         for run in runs[1:]:
-            other = run.rows().select("h", *[F.col(c).alias(f"{c}_2") for c in ("n_docs", "max_doc", "known")])
-            out = out.join(other.hint("merge"), "h", "full").select(
-                "h",
-                (F.coalesce("n_docs", F.lit(0)) + F.coalesce("n_docs_2", F.lit(0))).alias("n_docs"),
-                F.greatest("max_doc", "max_doc_2").alias("max_doc"),
-                (F.coalesce("known", F.lit(True)) & F.coalesce("known_2", F.lit(True))).alias("known"),
-            )
+            other = run.rows().select("h", *[F.col(c).alias(f"{c}_2") for c in ("n_docs", "max_doc")])
+            out = out.join(other.hint("merge"), "h", "full").select("h", *[F.coalesce(c, f"{c}_2").alias(c) for c in ("n_docs", "max_doc")])
         return out
 
     def totals(self) -> DataFrame | None:
-        """h, n_docs, max_doc over all runs, a row for each key; None before the first batch."""
-        runs = self._runs()
-        return self._merged(runs).drop("known") if runs else None
+        """h, n_docs, max_doc over all runs, the row of each key's owner with its updates; None before the first batch."""
+        if not (runs := self._runs()):
+            return None
+        out = self._merged(runs)
+        if self.updates:
+            more = functools.reduce(DataFrame.unionByName, [u.rows() for u in self.updates])
+            more = more.groupBy("h").agg(F.sum("n_docs").alias("_n"), F.max("max_doc").alias("_max"))
+            out = out.join(more, "h", "left").select("h", (F.col("n_docs") + F.coalesce("_n", F.lit(0))).alias("n_docs"), F.greatest("max_doc", "_max").alias("max_doc"))
+        return out
 
     def frequent(self, min_docs: int) -> DataFrame:
         """h, max_doc of the keys that min_docs documents hold: a written table."""
@@ -112,9 +121,9 @@ class LineRuns:
             return written(self.totals().where(F.col("n_docs") >= min_docs).select("h", "max_doc"), "line-frequent")
 
     def drop(self) -> None:
-        for run in self._runs():
+        for run in [*self._runs(), *self.updates]:
             run.drop()
-        self.levels = [[]]
+        self.levels, self.updates = [[]], []
 
 
 def frequent_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batches: int = 4, fanout: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -125,11 +134,12 @@ def frequent_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batc
     # Documents go to batches by id, so that the counts of batches add up.
     lines = written(lines.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")), "lines")
     runs = LineRuns(spark, fanout)
-    for b in range(batches):
-        runs.add(lines.where(F.col("batch") == b).select("h", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id")))
-    frequent = runs.frequent(min_docs)
-    runs.drop()
-    return lines, frequent
+    try:
+        for b in range(batches):
+            runs.add(lines.where(F.col("batch") == b).select("h", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id")))
+        return lines, runs.frequent(min_docs)
+    finally:
+        runs.drop()
 
 
 def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batches: int = 4, fanout: int = 2) -> DataFrame:

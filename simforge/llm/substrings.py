@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, freed, partitions, small_batches, written
@@ -241,7 +241,7 @@ def repeated(sent: DataFrame, o: Windows) -> DataFrame:
 
 
 def places(docs: DataFrame, o: Windows) -> DataFrame:
-    """k1, k2, id, at: each super-k-mer of each document. at holds the document's text hash above its first window."""
+    """k1, k2, id, at: each super-k-mer of each document. at holds the number of the row's text (th) above its first window."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,10 +260,23 @@ def places(docs: DataFrame, o: Windows) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """id, th, text, doc_id: id and th (31 bits of the text) name a row; a row without doc_id goes by its text alone."""
+    """id, th, text, doc_id: id and th name a row. id is its doc_id, or 64 bits of the text of a row without one; th numbers the different texts of an id, by SHA-256, from 0.
+
+    Where every id has one row, which takes a look at ids alone, th is 0 everywhere.
+    Otherwise the ids that have several are numbered, and their texts' digests joined.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    doc = F.col("doc_id").cast("long")
-    return docs.select(F.coalesce(doc, F.xxhash64(text)).alias("id"), (F.crc32(text).bitwiseAND(0x7FFFFFFF)).alias("th"), text.alias("text"), doc.alias("doc_id"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    ids = rows.where("doc_id is not null").select(F.col("doc_id").alias("id")).unionByName(rows.where("doc_id is null").select(F.xxhash64("text").alias("id")))
+    several = ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    k = rows.select(F.coalesce("doc_id", F.xxhash64("text")).alias("id"), "text", "doc_id")
+    if several.isEmpty():
+        return k.select("id", F.lit(0).cast("long").alias("th"), "text", "doc_id")
+    digest = F.unhex(F.sha2("text", 256)).alias("digest")
+    texts = k.join(several, "id", "left_semi").select("id", digest).distinct()
+    number = F.row_number().over(Window.partitionBy("id").orderBy("digest")) - 1
+    numbered = written(texts.withColumn("_th", number.cast("long")), "keyed-texts")
+    return k.withColumn("digest", digest).join(numbered, ["id", "digest"], "left").select("id", F.coalesce("_th", F.lit(0).cast("long")).alias("th"), "text", "doc_id")
 
 
 def squeezed(docs: DataFrame) -> DataFrame:

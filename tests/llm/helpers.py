@@ -41,3 +41,14 @@ ODD = [
     (9, "x" * 70000),
     (10, " lead and trail "),
 ]
+
+
+def same_crc(first, second):
+    """Two texts that begin as given, with one CRC-32."""
+    import zlib
+
+    ends = [sha(str(i))[:12] for i in range(300_000)]
+    start = zlib.crc32(f"{first} ".encode()), zlib.crc32(f"{second} ".encode())
+    seen = {zlib.crc32(e.encode(), start[0]): e for e in ends[:150_000]}
+    end = next(e for e in ends if zlib.crc32(e.encode(), start[1]) in seen)
+    return f"{first} {seen[zlib.crc32(end.encode(), start[1])]}", f"{second} {end}"

@@ -53,14 +53,14 @@ def test_pipeline_form_keeps_columns_and_documents(spark):
 def test_runs_are_levelled(spark):
     runs = LineRuns(spark, fanout=2)
     batch = lambda *x: spark.createDataFrame([(bytes([h]) * 16, d) for h, d in x], "h binary, doc_id long")
-    rows = lambda run: {r.h[0]: (r.n_docs, r.max_doc, r.known) for r in run.rows().collect()}
+    rows = lambda run: {r.h[0]: (r.n_docs, r.max_doc) for r in run.rows().collect()}
     runs.add(batch((1, 1), (1, 1), (2, 1)))
-    assert rows(runs.levels[0][0]) == {1: (1, 1, False), 2: (1, 1, False)}
+    assert rows(runs.levels[0][0]) == {1: (1, 1), 2: (1, 1)} and runs.updates == []
     runs.add(batch((1, 2), (3, 2)))
     assert [len(x) for x in runs.levels] == [0, 1]
-    assert rows(runs.levels[1][0]) == {1: (2, 2, False), 2: (1, 1, False), 3: (1, 2, False)}
+    assert rows(runs.levels[1][0]) == {1: (1, 1), 2: (1, 1), 3: (1, 2)} and rows(runs.updates[0]) == {1: (1, 2)}
     runs.add(batch((1, 3), (4, 3)))
-    assert rows(runs.levels[0][0]) == {1: (1, 3, True), 4: (1, 3, False)}
+    assert rows(runs.levels[0][0]) == {4: (1, 3)} and rows(runs.updates[1]) == {1: (1, 3)}
     want = {1: (3, 3), 2: (1, 1), 3: (1, 2), 4: (1, 3)}
     assert {r.h[0]: (r.n_docs, r.max_doc) for r in runs.totals().collect()} == want
     runs.add(batch((4, 5)))
@@ -70,13 +70,31 @@ def test_runs_are_levelled(spark):
     assert runs.totals() is None
 
 
+def test_the_anti_join_decides(spark, monkeypatch):
+    """Were each batch to own all of its keys, counts of keys that several batches bring would be lost."""
+    line = "This very line stands in many documents."
+    rows = [(i, f"{line}\nown {i} line that only stands here") for i in range(40)]
+    assert run(frame(spark, rows)) == brute(rows)
+    # A probe that finds nothing.
+    real = LineRuns._runs
+    runs = LineRuns(spark)
+    for b in range(4):
+        monkeypatch.setattr(LineRuns, "_runs", lambda self: [])
+        runs.add(spark.createDataFrame([(bytes([7]) * 16, 10 * b + d) for d in range(10)], "h binary, doc_id long"))
+        monkeypatch.setattr(LineRuns, "_runs", real)
+    assert [r.n_docs for r in runs.totals().collect()] == [10]
+    runs.drop()
+
+
 def test_merges_shuffle_and_sort_nothing_but_the_batch(spark):
     runs = LineRuns(spark, fanout=9)
     for d in range(3):
         runs.add(spark.createDataFrame([(bytes([h]) * 16, d) for h in range(20)], "h binary, doc_id long"))
     with setting(spark, ORDERED, "true"):
-        plan = LineRuns._merged(runs.levels[0][:2])._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+        first, second, third = runs.levels[0]
+        plans = [LineRuns._merged([first, second]), first.rows().join(second.rows().select("h").hint("merge"), "h", "left_anti").join(third.rows().select("h").hint("merge"), "h", "left_anti")]
+        for plan in [p._jdf.queryExecution().executedPlan().toString() for p in plans]:
+            assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
     runs.drop()
 
 

@@ -1,7 +1,7 @@
 from collections import Counter
 
 import numpy as np
-from helpers import ODD, WORD, frame, sample, sha
+from helpers import ODD, WORD, frame, same_crc, sample, sha
 
 from simforge.llm.substrings import Windows, Words, counted, op1_substring_dedup, packed, remove_repeated, sliding_min, unpacked
 
@@ -31,6 +31,15 @@ def test_against_brute_force(spark):
     assert run(frame(spark, rows[:150], extra=True), small) == brute(rows[:150], 5)
 
 
+def test_texts_of_one_id_with_one_crc(spark):
+    """A text is known by more than a checksum: the second one stands nowhere else, though another row of its id does."""
+    passage = " ".join(f"p{i}" for i in range(45))
+    twin, own = same_crc("twin " + passage, " ".join(f"q{i}" for i in range(50)))
+    rows = [(1, passage + " here"), (2, twin), (2, own), (3, "short"), (None, own + " x"), (None, "one two")]
+    got = run(frame(spark, rows, extra=True))
+    assert got == brute(rows)
+
+
 def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     assert sorted([tuple(r) for r in op1_substring_dedup(spark, "/root/testdata/sf0.01").collect()], key=repr) == brute(rows)

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from helpers import ODD, frame, sample, sha
+from helpers import ODD, frame, same_crc, sample, sha
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -53,6 +53,15 @@ def test_against_brute_force(spark, many):
     assert run(frame(spark, rows, extra=True), Strings(ranges=3, flush=20_000, sample=20, many=many)) == brute(rows)
 
 
+def test_texts_of_one_id_with_one_crc(spark):
+    """A copy of an earlier text goes, another text of its id with its checksum stays."""
+    twin, own = same_crc("a text that an earlier document has as well " * 3, "a text that stands nowhere else but here, whatever its id " * 3)
+    rows = [(1, twin), (2, twin), (2, own), (2, "third " * 20), (3, own[:70]), (None, own), (None, "no id")]
+    got = run(frame(spark, rows, extra=True))
+    assert got == brute(rows)
+    assert (2, len(own), 0, 0, sha(own)) in got
+
+
 def test_query(spark):
     d = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
