@@ -86,7 +86,8 @@ def by_key(df: DataFrame, order: list[str], f: Callable, schema: str, types: dic
     holds one key's rows. types: the Arrow types of the result's columns.
     """
     key = df.columns[0]
-    ordered = df.repartition(key).sortWithinPartitions(key, *order)
+    # A number of its own, as few bytes may be much work in Python, which must not be put together in one task.
+    ordered = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key, *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[tuple]) -> pa.RecordBatch:
