@@ -4,7 +4,8 @@ The lexer walks statements such as ``name = "literal"``, ``name: literal``,
 ``name => literal`` and ``export NAME=literal``, line by line, and forms that may
 go over lines: ``<name>literal</name>``, ``--name literal``, literals in brackets,
 below the name, or joined by a sign at a line's end, texts between three quotes,
-and indented blocks. It keeps the constants of a text by name, so that
+indented blocks, targets in brackets, and literals in braces or indented below a
+name, whose name is then both. It keeps the constants of a text by name, so that
 ``a = "..."`` followed by ``password = a`` and ``"..." + a`` leads to the literal
 that the sensitive name gets. A literal is reported if the score of its target's
 name and of its own shape reaches the threshold.
@@ -12,6 +13,7 @@ name and of its own shape reaches the threshold.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
@@ -28,10 +30,34 @@ ASSIGN = re.compile(r"""(?a)((?i:password|passwd|secret|token|api_?key))["']?\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 HINT = re.compile(r"(?i)passw|secret|token|api_?key")
-#: What a sensitive name scores, by a part of it.
-NAME_PARTS = {"password": 4, "passwd": 4, "passphrase": 4, "pwd": 3, "secret": 4, "token": 3, "apikey": 4, "privatekey": 4, "accesskey": 4, "credential": 3, "auth": 2, "clientkey": 3, "signingkey": 4, "encryptionkey": 4, "bearer": 3}
+#: What a sensitive name scores, by the words that it ends with.
+NAME_PARTS = {
+    "password": 4, "passwd": 4, "passphrase": 4, "passcode": 3, "pass": 3, "pwd": 3, "secret": 4, "token": 3, "apikey": 4, "privatekey": 4, "accesskey": 4, "credential": 3, "auth": 2, "authorization": 2,
+    "clientkey": 3, "signingkey": 4, "encryptionkey": 4, "secretkey": 4, "bearer": 3,
+}
+#: Parts that a word in one piece may end with, such as dbpassword.
+ENDINGS = ("password", "passwd", "passphrase", "secret", "token", "apikey", "privatekey", "accesskey", "secretkey", "signingkey", "encryptionkey", "sshkey", "credential")
+#: Words after the one that says what a thing is.
+QUALIFIERS = frozenset("value val str string text plain plaintext raw b64 base64 hex encoded prod production dev development staging stage test testing live old new current backup main default admin root user env var literal".split())
+#: Keys that open nothing.
+HARMLESS_KEYS = frozenset(
+    "primary foreign public sort partition cache row hash index unique order group join lookup map dict object natural composite candidate super translation message locale routing shard distribution cluster column field property json config settings registry enter shift ctrl control alt tab arrow escape hot function keyboard answer legend route feature item data node tree min max first last next prev previous start end left right any each this that the no".split()
+)
+WORDS = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 #: A quick look for any name that scores, with what names may hold between its characters: texts without one need no lexer.
-NAMED = re.compile("(?ai)" + "|".join(r"[_$.:-]*+".join(part) for part in NAME_PARTS))
+NAMED = re.compile("(?ai)" + "|".join(r"[_$.:-]*+".join(part) for part in ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer")))
+#: Values that tell where a secret is, or who has it: addresses, paths, names of files, and numbers.
+ELSEWHERE = re.compile(
+    r"""(?ax)^(?:
+      [\w.+-]+@[\w-]+(?:\.[\w-]+)+
+    | [A-Za-z][A-Za-z0-9+.-]*://[^@\s]*
+    | (?:~|\.{1,2})?(?:/[A-Za-z_][A-Za-z_.-]*)+/?
+    | [\w./-]+\.(?:json|ya?ml|txt|pem|key|crt|cer|pub|py|js|ts|java|go|rs|html?|xml|csv|md|cfg|conf|ini|toml|log|so|dll|jar|sh|env|model|bin)
+    | [+-]?[0-9][0-9_,]{0,15}(?:\.[0-9]+)?(?:[eE][+-]?[0-9]{1,3})?
+    )$"""
+)
+#: A name of something else, where a value has no quotes.
+REFERENCE = re.compile(r"(?a)^[A-Za-z_$][A-Za-z_$]*(?:(?:\.|->|::)[A-Za-z_$][\w$]*)+$")
 TOKEN = re.compile(
     r"""(?ax)
     (?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)
@@ -64,25 +90,50 @@ STRING = re.compile(_STRING)
 #: A text between three quotes, and a block of indented lines after | or >.
 QUOTED = re.compile(rf"""(?a){_TARGET}[rbuRBU]?(?:\"\"\"(?P<double>(?:[^"\\]|\\.|"(?!""))*+)\"\"\"|\'\'\'(?P<single>(?:[^'\\]|\\.|'(?!''))*+)\'\'\')""", re.S)
 BLOCK = re.compile(r"(?am)^[\x20\t-]*+(?P<name>[A-Za-z_][\w.-]*+)[\x20\t]*+:[\x20\t]*+[|>][+-]?[\x20\t]*+\r?\n(?P<lines>(?:[\x20\t]++[^\s][^\n]*+(?:\n|\Z))++)")
+#: A target in brackets: os.environ["NAME"] = "literal".
+SUBSCRIPT = re.compile(rf"""(?a)\[[\x20\t]*+["'](?P<name>[A-Za-z_][\w.-]*+)["'][\x20\t]*+\][\x20\t]*+=(?!=)[\x20\t]*+(?P<value>{_STRING})""")
+#: Names and literals in braces below a name, and a name whose values are indented below it.
+NESTED = re.compile(r"""(?a)(?<![\w$.-])["']?(?P<name>[A-Za-z_$][\w$.-]*+)["']?\s*+(?::|=>?)\s*+\{(?P<body>[^{}]*+)\}""")
+INNER = re.compile(rf"""(?a)(?<![\w$.-])["']?(?P<name>[A-Za-z_$][\w$.-]*+)["']?\s*+(?::|=>?)\s*+(?P<value>{_STRING})""")
+HEAD = re.compile(r"(?a)[\x20\t]*+(?:-[\x20\t]++)?[\"']?(?P<name>[A-Za-z_][\w.-]*+)[\"']?[\x20\t]*+:[\x20\t\r]*+$")
 PLACEHOLDER = re.compile(r"(?ai)^(?:x+|\*+|\.+|changeme|example|placeholder|none|null|true|false|your[_-].*|<.*>|\$\{?.*|%\(?.*)$")
 PLAIN = re.compile(r"^[a-z]+$|^[A-Z][a-z]+$|^[0-9.]{1,8}$")
 
 
+@functools.lru_cache(100_000)
 def name_score(name: str) -> int:
-    flat = re.sub(r"[^a-z0-9]", "", name.lower())
-    return max((v for k, v in NAME_PARTS.items() if k in flat), default=0)
-
-
-def value_score(value: str) -> int:
-    """Length, kinds of characters and entropy; below zero for placeholders and plain words."""
-    if len(value) < 6 or PLACEHOLDER.match(value):
+    """By the words of a name, in any spelling, up to the one that says what is meant: a client_secret, an apiKey and a DB_PASS_PROD score, a tokenizer, a secretary, an authority, a token_url and a primary_key don't."""
+    words = [w.lower() for w in WORDS.findall(name)]
+    while len(words) > 1 and (words[-1] in QUALIFIERS or words[-1].isdigit()):
+        words.pop()
+    if not words:
+        return 0
+    best = 0
+    for last in {words[-1], words[-1].removesuffix("s")}:
+        joined = ""
+        for w in (last, *reversed(words[:-1])):
+            joined = w + joined
+            best = max(best, NAME_PARTS.get(joined, 0))
+            if len(joined) > 20:
+                break
+        if last.endswith(ENDINGS):
+            best = max(best, 3)
+    if not best and words[-1] in ("key", "keys") and len(words) > 1 and words[-2] not in HARMLESS_KEYS and len(words[-2]) > 1:
+        best = 3
+    return best
+
+
+def value_score(value: str, counts: Counter | None = None) -> int:
+    """Length, kinds of characters and entropy; below zero for placeholders, plain words, and what only tells where a secret is. counts: the characters of the whole value, if value is no more than its beginning and end."""
+    n = len(value) if counts is None else sum(counts.values())
+    if n < 6 or PLACEHOLDER.match(value):
         return -9
-    if PLAIN.match(value):
+    if PLAIN.match(value) or ELSEWHERE.match(value):
         return -3
-    kinds = sum(bool(re.search(c, value)) for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    counts = [value.count(c) for c in set(value)]
-    entropy = -sum(c / len(value) * math.log2(c / len(value)) for c in counts)
-    return (len(value) >= 12) + (kinds >= 2) + (entropy >= 3)
+    counts = Counter(value) if counts is None else counts
+    kinds = sum(any(re.match(c, x) for x in counts) for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    entropy = -sum(k / n * math.log2(k / n) for k in counts.values())
+    return (n >= 12) + (kinds >= 2) + (entropy >= 3)
 
 
 def lexed(line: str) -> list[tuple[str, str, int]]:
@@ -112,19 +163,55 @@ def pairs(line: str) -> Iterator[tuple[str, list[tuple[str, str, int]], int]]:
             i += 1
 
 
-def spread(parts: list) -> list[tuple[str, int, int]]:
-    """The literals of parts, which are literals and lists of parts, in order; each of them, 16 times at most, as a = a + a doubles them. So many give any length and kinds that value_score asks for."""
-    out, met, todo = [], Counter(), parts[::-1]
+#: Characters of a joined value that are put together; of a longer one, which doubling makes of any length, they are counted.
+JOINED = 4096
+
+
+def spread(parts: list) -> tuple[list[tuple[str, int, int]], int]:
+    """The different literals of parts, which are literals and lists of parts, and the score of the value that they make, each literal as often as it stands there."""
+    met: set = set()
+    order: list = []
+    todo: list = [(parts, False)]
     while todo:
-        x = todo.pop()
-        k = id(x) if isinstance(x, list) else x
-        if met[k] < 16:
-            met[k] += 1
-            if isinstance(x, list):
-                todo += x[::-1]
+        x, done = todo.pop()
+        if done:
+            order.append(x)
+        elif id(x) not in met:
+            met.add(id(x))
+            todo.append((x, True))
+            todo += [(y, False) for y in reversed(x) if isinstance(y, list)]
+    # How often each list stands in the whole, from the whole down.
+    times: dict = Counter({id(parts): 1})
+    literals: dict = Counter()
+    for x in reversed(order):
+        for y in x:
+            if isinstance(y, list):
+                times[id(y)] += times[id(x)]
             else:
-                out.append(x)
-    return out
+                literals[y] += times[id(x)]
+    # The length of each list's value, and the last piece of it.
+    size: dict = {}
+    end: dict = {}
+    for x in order:
+        of = [(size[id(y)], end[id(y)]) if isinstance(y, list) else (len(y[0]), y[0]) for y in x]
+        size[id(x)] = sum(n for n, _ in of)
+        end[id(x)] = next((e for n, e in reversed(of) if n), "")
+    found = list(dict.fromkeys(sorted((y for x in order for y in x if not isinstance(y, list)), key=lambda y: y[1:])))
+    text, left, todo = [], JOINED, [parts]
+    while todo and left > 0:
+        x = todo.pop()
+        if isinstance(x, list):
+            todo += [y for y in reversed(x) if not isinstance(y, list) or size[id(y)]]
+        else:
+            text.append(x[0])
+            left -= len(x[0])
+    if size[id(parts)] <= JOINED:
+        return found, value_score("".join(text))
+    counts: Counter = Counter()
+    for y, k in literals.items():
+        for c, n in Counter(y[0]).items():
+            counts[c] += n * k
+    return found, value_score("".join(text)[:JOINED] + end[id(parts)], counts)
 
 
 def named_spans(text: str, threshold: int = 5) -> list[tuple[int, int]]:
@@ -139,15 +226,14 @@ def named_spans(text: str, threshold: int = 5) -> list[tuple[int, int]]:
         score = name_score(target)
         if score < 2:
             return
-        literals = spread(parts)
-        if score + value_score("".join(x[0] for x in literals)) >= threshold:
+        literals, value = spread(parts)
+        if score + value >= threshold:
             found.update((a, b) for _, a, b in literals if b > a)
 
     for m in ELEMENT.finditer(text) if "</" in text else ():
         k = 2 if m.group(2) is not None else 3
         value = m.group(k).strip()
         at = m.start(k) + m.group(k).find(value)
-        # an author's name is no secret
         if name_score(m.group(1)) > 2 or not re.search(r"\s", value):
             given(m.group(1), [(value, at, at + len(value))])
     for m in CONTINUED.finditer(text):
@@ -162,10 +248,24 @@ def named_spans(text: str, threshold: int = 5) -> list[tuple[int, int]]:
         rows = [(x.group(), m.start("lines") + x.start(), m.start("lines") + x.end()) for x in re.finditer(r"\S[^\n]*\S|\S", m.group("lines"))]
         if not any(re.search(r"\s", x[0]) for x in rows):
             given(m.group("name"), rows)
+    for m in SUBSCRIPT.finditer(text) if "]" in text else ():
+        given(m.group("name"), [(m.group("value")[1:-1], m.start("value") + 1, m.end("value") - 1)])
+    for m in NESTED.finditer(text) if "{" in text else ():
+        for x in INNER.finditer(m.group("body")):
+            at = m.start("body") + x.start("value")
+            given(f"{m.group('name')}_{x.group('name')}", [(x.group("value")[1:-1], at + 1, at + len(x.group("value")) - 1)])
     flags = list(FLAG.finditer(text))[::-1] if "--" in text else []
     start = 0
+    # Names that head what is indented below them.
+    heads: list[tuple[int, str]] = []
     for line in text.split("\n"):
         if ("=" in line or ":" in line) and line.strip():
+            depth = len(line) - len(line.lstrip(" \t"))
+            while heads and heads[-1][0] >= depth:
+                heads.pop()
+            head = HEAD.match(line)
+            if head:
+                heads.append((depth, head.group("name")))
             for target, value, at in pairs(line):
                 literals: list = []
                 for kind, tok, pos in value:
@@ -175,11 +275,14 @@ def named_spans(text: str, threshold: int = 5) -> list[tuple[int, int]]:
                         literals.append(constants[tok])
                 if not literals and value[0][0] in ("name", "number", "other"):
                     m = BARE.match(line, at)
-                    if m:
+                    # What goes on with a bracket is a call or a place in something; a name with dots is a name.
+                    if m and line[m.end() : m.end() + 1] not in ("(", "[") and not REFERENCE.match(m.group()):
                         literals = [(m.group(), start + m.start(), start + m.end())]
                 if not literals:
                     continue
                 given(target, literals)
+                if heads:
+                    given(f"{heads[-1][1]}_{target}", literals)
                 constants[target] = literals
         start += len(line) + 1
         while flags and flags[-1].start() < start:

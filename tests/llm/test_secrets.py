@@ -86,10 +86,57 @@ def test_names_with_punctuation():
 @given(st.sampled_from(sorted(NAME_PARTS)), st.lists(st.text("_$.:-", max_size=3), min_size=16, max_size=16), st.booleans())
 @settings(max_examples=200, deadline=None)
 def test_the_quick_look_misses_no_name(part, between, upper):
-    name = "x" + "".join(c + s for c, s in zip(part.upper() if upper else part, between)) + "y"
+    name = "x_" + "".join(c + s for c, s in zip(part.upper() if upper else part, between + [""] * 9))
     assert name_score(name) >= 2 and NAMED.search(name)
 
 
+@given(st.lists(st.sampled_from(["pass", "word", "key", "db", "Api", "TOKEN", "s", "izer", "auth", "or", "ssh", "primary", "secret", "ary", "url", "value", "_", "-", ".", "2"]), max_size=6).map("".join))
+@settings(max_examples=500, deadline=None)
+def test_the_quick_look_is_as_wide_as_the_score(name):
+    assert not name_score(name) or NAMED.search(name)
+
+
+def test_names_by_words():
+    for name in ("password", "DB_PASS", "dbPassword", "pass", "ssh_key", "db_key", "apiKey", "APIKey", "clientSecret", "accessTokens", "token_value", "SECRET_PROD", "authtoken", "stripe.secret.key", "aws_secret_access_key", "license_key", "password2", "dbpassword"):
+        assert name_score(name) >= 3, name
+    for name in ("tokenizer", "secretary", "author", "authority", "tokens_per_second", "AUTHOR_EMAIL", "token_url", "password_field", "secret_name", "primary_key", "key", "keyboard", "compass", "passenger", "max_tokens_allowed", "token_type", "auth_method", "monkey", "partition_key", "public_key", "bypass", "tokenization"):
+        assert not name_score(name), name
+
+
+KEY = "aB3dE5fG7hI9"
+PLANTED = [
+    'db_pass = "%s"', 'pass: "%s"', 'ssh_key = "%s"', "DB_KEY=%s", '{"auth": {"key": "%s"}}', 'os.environ["TOKEN"] = "%s"', "os.environ['DB_PASSWORD'] = '%s'", 'password = "%s"', 'client_secret: "%s"', "export API_TOKEN=%s",
+    "<password>%s</password>", "run --password %s", 'private_key => "%s"', 'const apiKey = "%s";', "auth:\n  key: %s\n", "database:\n  host: here\n  password: %s\n", 'seed = "%s"\ndb_password = seed\n', 'token = (\n  "%s"\n)', 'config["secret_key"] = "%s"', 'credentials = {"token": "%s"}',
+    'signing_key := "%s"', 'aws_secret_access_key = %s', 'passphrase = """\n%s\n"""', "secret: |\n  %s\n", 'encryptionKey: "%s"', 'String dbPassword = "%s";', "REDIS_PASS='%s'", 'bearer = "%s"', 'session_token="%s"', 'master_key = "%s"', "smtp:\n  pass: '%s'\n", 'accountKey: "%s"',
+]
+HARMLESS = [
+    'tokenizer = "word_bpe_49k.json"', 'secretary: "Maria Gonzalez"', 'author = "Jane_Doe_1984"', 'authority = "https://example.org/login"', "tokens_per_second = 1234567.89", "AUTHOR_EMAIL=jane.doe@example.org", 'password = os.environ["X"]', "password = get_password(user_1)", "token = config.auth.token_value",
+    'token_url = "https://example.org/oauth2/token"', 'primary_key = "order_id_2024"', 'password_file = "/run/secrets/db_password"', 'secret_name = "projects/12/secrets/Db1"', "max_tokens = 4096000", 'token_type = "bearer_JWT_256"', 'auth_method: "PBKDF2-SHA256"', 'public_key = "ssh-rsa AAAAB3NzaC1"',
+    "password = changeme", 'token = "${API_TOKEN_2}"', 'api_key = "<your-api-key-1>"', 'password: "https://example.org/reset/Page1"', 'secret = "secrets/prod.yaml"', "keyboard = 'QWERTY-uk-105key'", 'passenger = "Ann.Smith-42XL"', 'authors: ["Kim Lee 2nd", "J0hn"]', "partition_key: 'tenantId#2024Q1'",
+    "The token: see page 12 of the manual", 'compass = "NNW-337.5deg-A1"', 'cache_key = "user:42:Profile_v2"', "credential = self.vault.read_credential", "password=", 'secret_rotation_days = "every_30_Days"', 'key = "Order-2024-B7x"', "sort_key=lambda x: x.Name2", 'monkey = "Baboon_No_7abc"', "authorized = 'Yes_Until_2025x'",
+]
+
+
+def test_planted_corpus():
+    """Known answers: what is planted is found, and nothing else."""
+    hits = sum(spans_of(t % KEY) == [KEY] for t in PLANTED)
+    false = [(t, spans_of(t)) for t in HARMLESS if spans_of(t)]
+    found = sum(len(spans_of(t % KEY)) for t in PLANTED) + sum(len(s) for _, s in false)
+    assert hits / len(PLANTED) >= 0.95, [t for t in PLANTED if spans_of(t % KEY) != [KEY]]
+    assert hits / found >= 0.95, false
+    for text in HARMLESS:
+        assert redacted(text) == text or base(text), text
+
+
+def test_joined_values_are_whole():
+    """A literal counts as often as it stands in the value, however often that is."""
+    # 2 ** 40 times "ab": plain letters, whatever their number
+    assert spans_of('a = "ab"\n' + "a = a + a\n" * 40 + "password = a\n") == []
+    assert spans_of('a = ""\n' + "a = a + a\n" * 60 + 'b = a + "aB3dE5fG7hI9"\npassword = b\n') == [KEY]
+    assert spans_of('a = "x"\n' + "a = a + a\n" * 30 + "password = a\n") == []
+    assert spans_of('a = "A1"\nb = "' + "q" * 30 + '"\n' + "a = a + b\n" * 3 + "password = a\n") == ["A1", "q" * 30]
+
+
 def test_constants_of_many_pieces():
     pieces = [f"aB{i}z" for i in range(40)]
     at_once = "seed = " + " + ".join(f'"{p}"' for p in pieces) + "\npassword = seed\n"
