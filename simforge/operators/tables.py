@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -86,8 +87,10 @@ def by_key(df: DataFrame, order: list[str], f: Callable, schema: str, types: dic
     holds one key's rows. types: the Arrow types of the result's columns.
     """
     key = df.columns[0]
-    # A number of its own, as few bytes may be much work in Python, which must not be put together in one task.
-    ordered = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key, *order)
+    # A number of its own, as few bytes may be much work in Python, which must not be put together in one task. By a hash of the
+    # key, as Spark leaves out a shuffle by a column that the plan below claims to be dealt by, and then may read that plan's
+    # shuffles otherwise than it was planned, with one key in several partitions.
+    ordered = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(key)).sortWithinPartitions(key, *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[tuple]) -> pa.RecordBatch:

@@ -337,3 +337,79 @@ def _(s, d):
     memo = R.verdict_memo(t, ["grp"])
     errors = memo.groupBy("grp").agg(F.count("error").alias("n_errors"), F.count_if("verdict").alias("n_equal"))
     return R.hit_rate(memo, ["grp"]).join(errors, "grp")
+
+
+# Programs whose data trigger what passes and analyses are for
+
+
+def rich_programs(s, d):
+    """Statements as programs has them, of users whose events make blocks out of reach, several ends with a common tail, negated branches on one-bit flags, chains of empty blocks, constants, copies and narrow uses.
+
+    signup: a constant to e, and a sum of it. view: bytes of n (low, second, or both) to the frame. purchase: a flag, of an equality. click: a branch on a flag, negated for odd numbers; from value 80 on to an end of its own. error: a call, abort for every tenth, or a jump over the next label by way of two empty blocks.
+    """
+    e = events(s, d)
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    var = lambda name, n, w=32: text(f'["var","{name}', n, f'",{w}]')
+    num = lambda n: text('["int",', n, ",32]")
+    i, k, none = F.col("id"), F.col("k"), F.lit(None).cast("string")
+    row = lambda at, kind, avar=none, tree=none, target=none, other=none: F.struct((16 * k + at).cast("long").alias("pos"), F.lit(kind).alias("kind"), avar.alias("avar"), tree.alias("tree"), target.alias("target"), other.alias("other"))
+    label = lambda n: F.when(n > F.col("n"), "end").otherwise(text("L", n))
+    place = text('["bin","+",["var","esp",32],', num(i % 4 * 4), "]")
+    byte = lambda part: text(part, var("n", i % 3), "]")
+    narrow = F.when(i % 3 == 0, byte('["cast","low",8,')).when(i % 3 == 1, byte('["extract",15,8,')).otherwise(byte('["extract",15,0,'))
+    width = F.when(i % 3 == 2, 16).otherwise(8)
+    flag = var("f", i % 3, 1)
+    condition = F.when(i % 2 == 1, text('["un","~",', flag, "]")).otherwise(flag)
+    last = [row(8, "move", F.lit("eax"), F.lit('["var","v0",32]')), row(9, "halt")]
+    body = (
+        F.when(F.col("kind") == "signup", F.array(row(1, "move", text("e", i % 3), num(i % 50)), row(2, "move", text("v", i % 4), text('["bin","+",', var("e", i % 3), ",", num(i % 7), "]"))))
+        .when(F.col("kind") == "view", F.array(row(1, "move", F.lit("mem"), text('["store",["var","mem",0],', place, ",", narrow, ",", width, "]")), row(2, "move", text("v", i % 4), text('["load",["var","mem",0],', place, ",32]"))))
+        .when(F.col("kind") == "purchase", F.array(row(1, "move", text("f", i % 3), text('["bin","==",', var("v", i % 4), ",", num(i % 5), "]")), row(2, "move", text("u", i % 2), text('["bin","+",', var("u", (i + 1) % 2), ",", num(i % 3 + 1), "]"))))
+        .when((F.col("kind") == "click") & (F.col("value") >= 80), F.array(row(1, "cjmp", tree=condition, target=text("X", k), other=label(k + 1)), row(7, "label", text("X", k)), *last))
+        .when(F.col("kind") == "click", F.array(row(1, "cjmp", tree=condition, target=label(k + 2), other=label(k + 1))))
+        .when(i % 3 == 0, F.array(row(1, "jmp", target=text("N", k)), row(2, "label", text("N", k)), row(3, "jmp", target=text("M", k)), row(4, "label", text("M", k)), row(5, "jmp", target=label(k + 2))))
+        .otherwise(F.array(row(1, "call", F.when(i % 10 == 0, "abort").otherwise(text("g", i % 9)))))
+    )
+    head = F.array(row(0, "label", text("L", k)))
+    end = F.array(row(16, "label", F.lit("end")), row(24, "move", F.lit("eax"), F.lit('["var","v0",32]')), row(25, "halt"))
+    rows = e.select("func", F.inline(F.concat(head, body))).unionByName(e.where("k = n").select("func", F.inline(end)))
+    return rows.select("func", "pos", "kind", "avar", "tree", "target", "other")
+
+
+@query("k8_rich_snapshots")
+def _(s, d):
+    from ..sources.sinks import pass_snapshots, snapshots
+
+    return snapshots(pass_snapshots(rich_programs(s, d))).groupBy("no", "name").agg(F.count("*").alias("n"), F.count_if("changed").alias("n_changed"), F.count_if("cfg_changed").alias("n_cfg_changed"))
+
+
+@query("u2_flags_of_branches", f"""WITH RECURSIVE {EV}, step AS (SELECT func, k, CASE WHEN kind = 'error' AND id % 3 = 0 THEN k + 2 ELSE k + 1 END AS t FROM ev UNION ALL SELECT func, k, k + 2 FROM ev WHERE kind = 'click' AND value < 80),
+reach AS (SELECT DISTINCT func, CAST(1 AS BIGINT) AS k FROM ev UNION SELECT r.func, s.t FROM reach r JOIN step s ON s.func = r.func AND s.k = r.k)
+SELECT func, 'f' || (id % 3) AS var, count(*) AS n FROM ev JOIN reach USING (func, k) WHERE kind = 'click' GROUP BY ALL""")
+def _(s, d):
+    return P.branch_flags(rich_programs(s, d)).groupBy("func", F.substring_index("var", ".", 1).alias("var")).agg(F.count_distinct("block").alias("n"))
+
+
+@query("n11_narrow_uses", f"""WITH {EV}, v AS (SELECT func, 'n' || (id % 3) AS var, id % 3 AS r FROM ev WHERE kind = 'view')
+SELECT func, var, CASE WHEN r = 1 THEN 8 ELSE 0 END AS low, CASE WHEN r = 2 THEN 16 ELSE 8 END AS bits FROM (SELECT DISTINCT * FROM v)""")
+def _(s, d):
+    return P.used_bits_table(rich_programs(s, d)).where("var like 'n%'")
+
+
+@query("g26_constant_sets", f"""WITH {EV}, t AS (SELECT *, count(*) FILTER (WHERE kind = 'signup') OVER (PARTITION BY func ORDER BY k ROWS UNBOUNDED PRECEDING) AS c, arg_max(id % 50, CASE WHEN kind = 'signup' THEN k END) OVER (PARTITION BY func ORDER BY k ROWS UNBOUNDED PRECEDING) AS e FROM ev)
+SELECT func, 'w.' || row_number() OVER (PARTITION BY func ORDER BY k) AS var, CAST(CASE WHEN c = 0 THEN 1 ELSE 0 END AS BIGINT) AS stride, CAST(CASE WHEN c = 0 THEN -2147483648 ELSE 3 * e - id % 9 END AS BIGINT) AS lo, CAST(CASE WHEN c = 0 THEN 2147483647 ELSE 3 * e - id % 9 END AS BIGINT) AS hi FROM t WHERE kind = 'view'""")
+def _(s, d):
+    # Straight-line: a signup sets e, a view takes three of it less a constant; before the first signup e is an input.
+    e = events(s, d).where("kind in ('signup', 'view')")
+    none = F.lit(None).cast("string")
+    num = lambda n: F.concat(F.lit('["int",'), n.cast("string"), F.lit(",32]"))
+    tree = F.when(F.col("kind") == "signup", num(F.col("id") % 50)).otherwise(F.concat(F.lit('["bin","-",["bin","*",["var","e",32],["int",3,32]],'), num(F.col("id") % 9), F.lit("]")))
+    rows = e.select("func", (F.col("k") + 1).alias("pos"), F.lit("move").alias("kind"), F.when(F.col("kind") == "signup", "e").otherwise("w").alias("avar"), tree.alias("tree"), none.alias("target"), none.alias("other"))
+    ends = e.select("func").distinct().select("func", F.lit(1 << 40).cast("long").alias("pos"), F.lit("halt").alias("kind"), none.alias("avar"), none.alias("tree"), none.alias("target"), none.alias("other"))
+    return P.value_sets(rows.unionByName(ends)).where("var like 'w.%'")
+
+
+@query("g26_joined_sets")
+def _(s, d):
+    """Finite sets where ways with several constants meet, of the programs with branches."""
+    return P.value_sets(rich_programs(s, d)).where("lo > -2147483648 and hi < 2147483647").groupBy("func").agg(F.count("*").alias("n"), F.count_if(F.col("hi") > F.col("lo")).alias("n_wide"), F.max("hi").alias("hi"))

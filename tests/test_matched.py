@@ -309,3 +309,36 @@ def test_memo(spark):
     memo = R.verdict_memo(spark.createDataFrame(rows, "l int, r int, verdict boolean"))
     assert sorted(tuple(x) for x in memo.collect()) == [(1, 2, True, 3, 2, None), (3, 4, False, 1, 0, None), (5, 6, None, 2, 1, "put in twice")]
     assert tuple(R.hit_rate(memo).first()) == (6, 3, 0.5)
+
+
+# Data that trigger
+
+
+def test_passes_change_what_they_are_for(spark):
+    """Each step that can change a program, and is no second run of one that has nothing left to do, changes some of the richer programs."""
+    from simforge import plans
+
+    rows = {r.name: (r.n_changed, r.n_cfg_changed) for r in plans.queries()["k8_rich_snapshots"](spark, "/root/testdata/sf0.001").collect()}
+    notes_only = {"CollectCalls", "AddressMap", "Definitions1", "Definitions2", "FindCollapsible", "MarkLiveout"}
+    again = {"Prune2", "Simplify2", "Simplify3", "DeadCode2", "CoalesceSsa2"}
+    # An indirect jump ends the run of a function before, so that nothing is left of it to remove.
+    assert {n for n, (changed, _) in rows.items() if not changed} == notes_only | again | {"RemoveIndirect"}
+    assert all(rows[n][1] for n in ("Prune1", "ForceSingleExit", "NormalizeBranches", "DropNops1", "RemoveNoreturnEdges"))
+
+
+def test_sets_are_finite_and_narrow(spark):
+    from simforge import plans
+
+    q = plans.queries()
+    joined = q["g26_joined_sets"](spark, "/root/testdata/sf0.001").collect()
+    assert sum(r.n for r in joined) > 100 and sum(r.n_wide for r in joined) > 0
+    assert {r.bits for r in q["n11_narrow_uses"](spark, "/root/testdata/sf0.001").collect()} == {8, 16}
+
+
+def test_all_kinds_of_matches_occur(spark):
+    from simforge import plans
+
+    q, d = plans.queries(), "/root/testdata/sf0.01"
+    assert {r.kind for r in q["m8_block_kinds"](spark, d).collect()} == {"Exact", "Subset", "Superset", "Partial"}
+    classes = {(r.fuzz, r.overlap) for r in q["m8_copies_fuzzy"](spark, d).collect()}
+    assert {f for f, _ in classes} == {"ExactOnly", "SubsetAndExact", "SupersetAndExact", "Fuzzy"} and {o for _, o in classes} >= {"Total", "Subset", "Partial"}
