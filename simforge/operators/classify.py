@@ -51,6 +51,10 @@ def score() -> Column:
 
 def best(df: DataFrame, key: str, tie: str) -> DataFrame:
     """The best result of each key; of equal ones the one with the smallest tie."""
+    if dict(df.dtypes)[tie] in ("tinyint", "smallint", "int", "bigint"):
+        # The smallest number is the largest of the negated; null comes before all.
+        order = F.struct(sort_key(), F.col(tie).isNull(), -F.col(tie).cast("decimal(20,0)"))
+        return df.groupBy(F.col(key).alias("_k")).agg(F.max_by(F.struct("*"), order).alias("_x")).select("_x.*")
     w = Window.partitionBy(key).orderBy(sort_key().desc(), F.col(tie))
     return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 

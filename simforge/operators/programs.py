@@ -167,12 +167,15 @@ def pair_flags(pairs: DataFrame, shapes: DataFrame) -> DataFrame:
 
 
 def strided_column(op: str, a: Column, b: Column) -> Column:
-    """The strided interval of an operation on two (structs stride, lo, hi of 32 bits). Null operands give null."""
-    f = {"union": N.union, "neg": lambda x, _: N.neg(x), "not": lambda x, _: N.invert(x)}.get(op) or N.OPERATORS[op]
+    """The strided interval of an operation on two (structs stride, lo, hi of 32 bits), by arrays of a batch. Null operands give null."""
 
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        rows = [(None, None, None) if any(pd.isna(v) for v in (*p, *q)) else f(N.Strided(*map(int, p)), N.Strided(*map(int, q)))[:3] for p, q in zip(x.itertuples(index=False), y.itertuples(index=False))]
-        return pd.DataFrame(rows, columns=["stride", "lo", "hi"]).astype("Int64")  # nulls stay nulls
+        some = ~(x.isna().any(axis=1) | y.isna().any(axis=1)).to_numpy()
+        of = lambda t: tuple(t[c].to_numpy()[some].astype("int64") for c in ("stride", "lo", "hi"))
+        out = pd.DataFrame({c: pd.Series(pd.NA, index=x.index, dtype="Int64") for c in ("stride", "lo", "hi")})
+        for c, v in zip(out.columns, N.columns(op, of(x), of(y))):
+            out.loc[some, c] = v
+        return out
 
     return F.pandas_udf(run, "stride long, lo long, hi long")(a, b)
 

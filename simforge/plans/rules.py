@@ -75,13 +75,16 @@ def _(s, d):
 # Written and read again
 
 
-@query("s5_result_lines", f"WITH {E.RESULT} SELECT DISTINCT fuzz, overlap, n, d, CAST(cluster AS VARCHAR) AS cluster FROM (SELECT fuzz, overlap, n, CASE WHEN overlap = 'Partial' THEN d END AS d, cluster FROM result WHERE fuzz IS NOT NULL AND fuzz <> 'Fuzzy')")
+@query("s5_result_lines", f"""WITH {E.RESULT} SELECT DISTINCT fuzz, CASE WHEN fuzz = 'Fuzzy' THEN mean END AS mean, CASE WHEN fuzz = 'Fuzzy' THEN n_total END AS n_total, CASE WHEN fuzz = 'Fuzzy' THEN n_partial END AS n_partial, CASE WHEN fuzz = 'Fuzzy' THEN n_sub END AS n_sub, CASE WHEN fuzz = 'Fuzzy' THEN n_sup END AS n_sup,
+  overlap, n, CASE WHEN overlap = 'Partial' THEN d END AS d, CAST(cluster AS VARCHAR) AS cluster FROM result WHERE fuzz IS NOT NULL""")
 def _(s, d):
-    r = res(s, d).where("fuzz is not null and fuzz != 'Fuzzy'")
+    r = res(s, d).where("fuzz is not null")
     n, both = F.col("n").cast("string"), F.format_string("(%d %d)", "n", "d")
     over = F.concat(F.lit("(Overlap"), F.col("overlap"), F.lit(" "), F.when(F.col("overlap") == "Partial", both).otherwise(n), F.lit(")"))
-    lines = r.select(sexp.result_line(F.col("fuzz"), over, F.col("cluster").cast("string"), F.lit("iso"), F.lit("-")).alias("value")).distinct()
-    return sexp.parse_results(lines).select("fuzz", "overlap", "n", "d", "cluster")
+    counts = ("n_total", "n_partial", "n_sub", "n_sup")
+    fuzz = F.when(F.col("fuzz") == "Fuzzy", F.concat(F.lit("(Fuzzy ("), F.col("mean").cast("string"), F.lit(" ("), F.concat_ws(" ", *[F.col(c).cast("string") for c in counts]), F.lit(")))"))).otherwise(F.col("fuzz"))
+    lines = r.select(sexp.result_line(fuzz, over, F.col("cluster").cast("string"), F.lit("iso"), F.lit("-")).alias("value")).distinct()
+    return sexp.parse_results(lines).select("fuzz", "mean", *counts, "overlap", "n", "d", "cluster")
 
 
 @query("p3_parsed_subjects", f"WITH {E.SUBJECT} SELECT id, prim, compiler, version, olevel, symbol, addr FROM subject")
@@ -108,12 +111,12 @@ def _(s, d):
     return E.intervals(s, d).select("base", "lo", "hi", S.small_range(F.col("lo") * 100000, F.col("hi") * 100000).alias("small"))
 
 
-INLINED = """o AS (SELECT l_suppkey AS origin, count(*) FILTER (WHERE l_returnflag = 'A') AS n_copies, count(*) FILTER (WHERE l_returnflag = 'R') AS n_expansions FROM lineitem WHERE l_quantity > 48 GROUP BY 1 HAVING count(*) FILTER (WHERE l_returnflag = 'R') > 0)"""
+INLINED = """o AS (SELECT l_suppkey AS origin, count(*) FILTER (WHERE l_returnflag = 'A') AS n_copies, count(*) FILTER (WHERE l_returnflag = 'R') AS n_expansions FROM lineitem GROUP BY 1 HAVING count(*) FILTER (WHERE l_returnflag = 'R') > 0)"""
 
 
 @query("s16_s17_j22_inlined", f"WITH {INLINED} SELECT origin, n_copies, n_expansions, n_copies > 0 AS with_callees FROM o")
 def _(s, d):
-    t = E.table(s, d, "lineitem").where("l_quantity > 48")
+    t = E.table(s, d, "lineitem")
     kind = F.when(F.col("l_returnflag") == "A", "copy").when(F.col("l_returnflag") == "R", "expansion").otherwise("other")
     dies = t.select(F.col("l_suppkey").alias("origin"), kind.alias("kind"), F.lit("f").alias("name"), F.col("l_orderkey").alias("lo"), F.col("l_partkey").alias("hi"))
     a, b = R.inlined(dies)

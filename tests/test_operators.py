@@ -213,3 +213,27 @@ def test_identifiers(spark):
 def test_buckets():
     same = lambda a, b: a % 3 == b % 3
     assert sorted(map(sorted, P.reduce_buckets(list(range(20)), same, 4))) == [[x for x in range(20) if x % 3 == k] for k in range(3)]
+
+
+def test_strided_columns_are_the_scalars():
+    import numpy as np
+
+    from simforge.functions import strided as N
+
+    r = random.Random(3)
+
+    def some():
+        if r.random() < 0.3:
+            v = r.choice([0, 1, 5, -1, 31, 32, 2**31 - 1, -(2**31), r.randrange(-(2**31), 2**31)])
+            return N.Strided(0, v, v)
+        lo = r.choice([0, -4, 7, r.randrange(-(2**31), 2**31 - 10), -(2**31)])
+        st = r.choice([1, 2, 3, 4, 12, 1000])
+        return N.reduced(st, lo, min(lo + st * r.randrange(1, 10**r.randrange(1, 8)), 2**31 - 1))
+
+    pairs = [(some(), some()) for _ in range(4000)]
+    a, b = (tuple(np.array([p[k][i] for p in pairs], np.int64) for i in range(3)) for k in (0, 1))
+    scalar = N.OPERATORS | {"union": N.union, "neg": lambda x, _: N.neg(x), "not": lambda x, _: N.invert(x)}
+    for op, f in scalar.items():
+        got = list(zip(*[x.tolist() for x in N.columns(op, a, b)]))
+        for (x, y), g in zip(pairs, got):
+            assert g == f(x, y)[:3], (op, x, y)
