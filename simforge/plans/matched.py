@@ -413,3 +413,103 @@ def _(s, d):
 def _(s, d):
     """Finite sets where ways with several constants meet, of the programs with branches."""
     return P.value_sets(rich_programs(s, d)).where("lo > -2147483648 and hi < 2147483647").groupBy("func").agg(F.count("*").alias("n"), F.count_if(F.col("hi") > F.col("lo")).alias("n_wide"), F.max("hi").alias("hi"))
+
+
+# Rewrites as tables
+
+
+@query("f10_a28_block_facts", f"""WITH {EV}, b AS (SELECT func AS graph, k AS block, kind, value, id FROM ev UNION ALL SELECT func, n + 1, 'end', 0, 0 FROM ev WHERE k = n),
+x AS (SELECT *, kind = 'error' AND id % 3 > 0 AS call, kind = 'end' OR (kind = 'click' AND value >= 80) AS halts FROM b)
+SELECT graph, block, call AS is_nop, NOT call AS has_code, false AS only_halts, halts AS ends_in_halt, CASE WHEN kind = 'error' AND id % 3 = 0 THEN 3 WHEN kind = 'click' AND value >= 80 THEN 2 ELSE 1 END AS n_labels FROM x""")
+def _(s, d):
+    from ..operators.rewrites import block_facts
+
+    t = rich_programs(s, d).select(F.col("func").alias("graph"), F.expr("pos div 16").alias("block"), "pos", "kind")
+    return block_facts(t)
+
+
+def lines_as_blocks(s, d):
+    """(statements, edges) of orders: three statements are a block, which leads to the next; a store is a call."""
+    t = E.statements(s, d).select(F.col("func").alias("graph"), F.expr("(pos - 1) div 3").alias("block"), "pos", "op")
+    e = t.select("graph", "block").distinct().select("graph", F.col("block").alias("src"), (F.col("block") + 1).alias("dst"), F.lit(None).cast("boolean").alias("label"))
+    return t, e
+
+
+BROKEN = f"""{E.STMT}, t AS (SELECT func AS graph, (pos - 1) // 3 AS block, pos, op FROM stmt), p AS (SELECT *, coalesce(count(*) FILTER (WHERE op = 'store') OVER (PARTITION BY graph, block ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM t),
+nm AS (SELECT *, CASE WHEN k = 0 THEN CAST(block AS VARCHAR) ELSE block || '+' || k END AS name FROM p)"""
+
+
+@query("g11_broken_statements", f"WITH {BROKEN} SELECT graph, name AS block, count(*) AS n, max(op = 'store') AS has_call FROM nm GROUP BY graph, name")
+def _(s, d):
+    from ..operators.rewrites import broken_after_calls
+
+    t, e = lines_as_blocks(s, d)
+    return broken_after_calls(t, e, F.col("op") == "store")[0].groupBy("graph", "block").agg(F.count("*").alias("n"), F.max(F.col("op") == "store").alias("has_call"))
+
+
+@query("g11_broken_edges", f"""WITH {BROKEN}, l AS (SELECT graph, block, max(k) AS k FROM nm GROUP BY ALL), pc AS (SELECT DISTINCT graph, block, k, name FROM nm)
+SELECT a.graph, a.name AS src, b.name AS dst FROM pc a JOIN pc b ON a.graph = b.graph AND a.block = b.block AND b.k = a.k + 1 UNION ALL SELECT pc.graph, name, CAST(pc.block + 1 AS VARCHAR) FROM pc JOIN l USING (graph, block, k)""")
+def _(s, d):
+    from ..operators.rewrites import broken_after_calls
+
+    t, e = lines_as_blocks(s, d)
+    return broken_after_calls(t, e, F.col("op") == "store")[1].select("graph", "src", "dst")
+
+
+@query("g12_without_returns", f"""WITH RECURSIVE {E.edge_sql()}, {FIRST}, lf AS (SELECT * FROM edge WHERE NOT (src = 'error' AND label IS NULL)), w AS (SELECT graph, v FROM ent UNION SELECT w.graph, e.dst FROM w JOIN lf e ON e.graph = w.graph AND e.src = w.v) SELECT e.* FROM lf e JOIN w ON w.graph = e.graph AND w.v = e.src""")
+def _(s, d):
+    from ..operators.rewrites import without_returns
+
+    e = E.edges(s, d)
+    return without_returns(e, e.where("src = 'error'").select("graph", F.col("src").alias("v")), G.vertices(e).groupBy("graph").agg(F.min("v").alias("v")))
+
+
+def branches(s, d):
+    """(branches, edges): clicks as branches under none to three negations, of an equality or an inequality."""
+    e = events(s, d).where("kind = 'click'").select(F.col("func").alias("graph"), F.col("k").alias("block"), "id", "value")
+    n = (F.col("id") % 4).cast("int")
+    inner = F.concat(F.when(F.col("value") < 50, F.lit('["bin","!=",')).otherwise(F.lit('["bin","==",')), F.lit('["var","v"'), F.lit(',32],["int",'), F.col("id").cast("string"), F.lit(",32]]"))
+    t = e.select("graph", "block", F.concat(F.repeat(F.lit('["un","~",'), n), inner, F.repeat(F.lit("]"), n)).alias("condition"))
+    edge = lambda to, label: F.struct(F.col("block").alias("src"), (F.col("block") + to).alias("dst"), F.lit(label).alias("label"))
+    return t, t.select("graph", F.inline(F.array(edge(1, False), edge(2, True))))
+
+
+@query("g22_normal_branches", f"""WITH {EV} SELECT func AS graph, k AS block, '["bin","==",["var","v",32],["int",' || id || ',32]]' AS condition, (id % 4 + CASE WHEN value < 50 THEN 1 ELSE 0 END) % 2 = 0 AS far FROM ev WHERE kind = 'click'""")
+def _(s, d):
+    from ..operators.rewrites import normal_branches
+
+    t, e = normal_branches(*branches(s, d))
+    far = e.where("dst = src + 2").select("graph", F.col("src").alias("block"), F.col("label").alias("far"))
+    return t.join(far, ["graph", "block"])
+
+
+EXITS = f"""{E.STMT}, r AS (SELECT func % 50 AS g, func, pos, op, row_number() OVER (PARTITION BY func ORDER BY pos DESC) AS k FROM stmt), n AS (SELECT g, count(DISTINCT func) AS m FROM r GROUP BY g HAVING count(DISTINCT func) > 1),
+p AS (SELECT g, k, count(*) AS c, count(DISTINCT op) AS v FROM r GROUP BY g, k), bad AS (SELECT p.g, min(k) AS k FROM p JOIN n ON n.g = p.g WHERE c <> m OR v > 1 GROUP BY p.g),
+len AS (SELECT n.g, coalesce((SELECT k - 1 FROM bad WHERE bad.g = n.g), (SELECT max(k) FROM p WHERE p.g = n.g)) AS length FROM n)"""
+
+
+def exits_of_groups(s, d):
+    """(statements, edges): fifty graphs, whose blocks are orders that all lead to the exit."""
+    t = E.statements(s, d).select((F.col("func") % 50).cast("string").alias("graph"), F.col("func").cast("string").alias("block"), "pos", F.col("op").alias("text"))
+    return t, t.select("graph", F.col("block").alias("src"), F.lit("exit").alias("dst"), F.lit(None).cast("boolean").alias("label")).distinct()
+
+
+@query("g10_single_exit", f"""WITH {EXITS}, x AS (SELECT r.g, func, CAST(k <= coalesce(length, 0) AS INTEGER) AS gone FROM r LEFT JOIN len USING (g)) SELECT CAST(g AS VARCHAR) AS graph, CAST(count(*) FILTER (WHERE gone = 0) + any_value(coalesce(l.length, 0)) AS BIGINT) AS n_left, CAST(any_value(coalesce(l.length, 0)) AS BIGINT) AS n_tail, CAST(count(DISTINCT func) + 1 AS BIGINT) AS n_edges FROM x LEFT JOIN len l USING (g) GROUP BY g""")
+def _(s, d):
+    from ..operators.rewrites import single_exit
+
+    t, e = single_exit(*exits_of_groups(s, d))
+    left = t.groupBy("graph").agg(F.count("*").alias("n_left"), F.count_if(F.col("block") == "tail").alias("n_tail"))
+    return left.join(e.groupBy("graph").agg(F.count("*").alias("n_edges")), "graph")
+
+
+@query("f14_plausible_sinks", """WITH st AS (SELECT l_orderkey AS graph, l_linenumber % 2 AS var, l_linenumber AS way, l_suppkey % 4 AS sink, CASE l_returnflag WHEN 'A' THEN true WHEN 'R' THEN false END AS p FROM lineitem),
+ws AS (SELECT graph, var, way, max(sink) AS sink, bool_or(p) AS sure FROM st GROUP BY graph, var, way HAVING NOT coalesce(bool_or(NOT p), false)),
+w AS (SELECT graph, var, sink, bool_or(coalesce(sure, false)) AS sure FROM ws GROUP BY graph, var, sink), n AS (SELECT graph, var, count(*) FILTER (WHERE sure) AS n FROM w GROUP BY ALL)
+SELECT graph, var, sink, CAST(NULL AS VARCHAR) AS reason FROM w JOIN n USING (graph, var) WHERE n.n < 2 UNION ALL SELECT graph, var, NULL, 'several pointers' FROM n WHERE n.n >= 2""")
+def _(s, d):
+    from ..operators.rewrites import plausible_sinks
+
+    t = E.table(s, d, "lineitem")
+    p = F.when(F.col("l_returnflag") == "A", True).when(F.col("l_returnflag") == "R", False)
+    return plausible_sinks(t.select(F.col("l_orderkey").alias("graph"), (F.col("l_linenumber") % 2).alias("var"), F.col("l_linenumber").alias("way"), (F.col("l_suppkey") % 4).alias("sink"), p.alias("is_pointer")))
