@@ -294,7 +294,7 @@ def value_sets(f: Function, rounds: int = 8) -> dict[str, Strided]:
             new = of(e)
             if new is not None and new != known.get(name):
                 known[name] = new if k < rounds else top(new.width)
-                changed = changed or known[name] != new or True
+                changed = True
         if not changed:
             return known
         if k >= rounds and all(v == top(v.width) or of(defs[n]) == v for n, v in known.items()):

@@ -124,13 +124,22 @@ def _(s, d):
     return both.select("origin", F.size("callees").cast("long").alias("n_copies"), F.size("expansions").cast("long").alias("n_expansions"), "with_callees")
 
 
-CONFIG = """{"compilers": [{"name": "gcc", "versions": [{"major": 4, "minor": 8, "patch": 0}, {"major": 4, "minor": 8, "patch": 2}]}, {"name": "clang", "versions": [{"major": 3, "minor": 4, "patch": 0}]}],
-  "primitives": [{"name": "sort", "implementations": ["quick", "heap"]}], "available_parameters": {"olevel": {"space": ["0", "2"], "descr_fmt": "O@"}}}"""
-
-
-@query("b7_s8_sweep", "SELECT compiler, version, 'sort' AS prim, implementation, descr FROM (VALUES ('gcc', '4.8.0'), ('clang', '3.4.0')) c(compiler, version), (VALUES ('quick'), ('heap')) i(implementation), (VALUES ('O0'), ('O2')) o(descr)")
-def _(s, d):
-    return R.sweep(R.config_tables(s, CONFIG))
+def configuration(s, d) -> str:
+    """A configuration in JSON, of the tables' few types, brands, regions, nations and priorities."""
+    p = E.table(s, d, "part")
+    version = F.struct(F.regexp_extract("p_brand", r"(\d+)", 1).cast("int").alias("major"), (F.col("p_size") % 4).alias("minor"), (F.col("p_size") % 3).alias("patch"))
+    versions = p.groupBy("p_type").agg(F.array_sort(F.collect_set(version)).alias("versions"))
+    compilers = versions.agg(F.array_sort(F.collect_list(F.struct(F.col("p_type").alias("name"), "versions"))).alias("compilers"))
+    nations = E.table(s, d, "nation").join(E.table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.col("r_name").alias("name")).agg(F.array_sort(F.collect_set("n_name")).alias("implementations"))
+    primitives = nations.agg(F.array_sort(F.collect_list(F.struct("name", "implementations"))).alias("primitives"))
+    space = E.table(s, d, "orders").agg(F.struct(F.struct(F.array_sort(F.collect_set(F.substring("o_orderpriority", 1, 1))).alias("space"), F.lit("O@").alias("descr_fmt")).alias("olevel")).alias("available_parameters"))
+    return compilers.join(primitives).join(space).select(F.to_json(F.struct("*"))).first()[0]  # one row each
+
+
+@query("b7_s8_sweep", r"""SELECT DISTINCT p_type AS compiler, regexp_extract(p_brand, '(\d+)', 1) || '.' || minor || '.0' AS version, r_name AS prim, n_name AS implementation, 'O' || substr(o_orderpriority, 1, 1) AS descr
+FROM (SELECT DISTINCT p_type, p_brand, p_size % 4 AS minor FROM part WHERE p_size % 3 = 0), (SELECT r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey), (SELECT DISTINCT o_orderpriority FROM orders)""")
+def _(s, d):
+    return R.sweep(R.config_tables(s, configuration(s, d)))
 
 
 @query("s13_paths_by_name", "SELECT 'p' || p_size AS name, '/bin/p' || p_size AS path FROM part GROUP BY p_size")
