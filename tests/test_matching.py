@@ -305,3 +305,24 @@ def test_propagation_matters():
         free = {"blocks": left["blocks"], "edges": left["edges"], "seen": {}}
         lost += M.match_functions(free, {**right, "seen": {}})["n"] > M.match_functions(left, right)["n"]
     assert kinds == {"Exact", "Subset", "Superset", "Partial"} and lost > 0
+
+
+def test_pairings_are_sent_on_only_where_they_can_conflict(monkeypatch):
+    """A chain whose pairings all hold at once is matched without sending any on; blocks that are alike are compared once, whatever function they are in."""
+    n = 40
+    blocks = lambda s: {-4 if k == 1 else k: {f"{s}{k}": f'["bin","+",["var","{s}{k - 1}",32],["int",1,32]]'} for k in range(1, n + 1)}
+    ids = sorted(blocks("x"))
+    compared, sent = [], []
+    whole, settle = M.compare_blocks, M.Fragment.settle
+    monkeypatch.setattr(M, "compare_blocks", lambda *a: compared.append(1) or whole(*a))
+    monkeypatch.setattr(M.Fragment, "settle", lambda *a: sent.append(1) or settle(*a))
+    memo = M.Memo()
+    for _ in range(3):
+        left, right = ({"blocks": blocks(s), "edges": [(a, b, None) for a, b in zip(ids, ids[1:])], "memo": memo} for s in "xy")
+        m = M.match_functions(left, right, pairings=False)
+        assert (m["n"], m["fuzz"], m["overlap"], m["parts"]) == (n, "ExactOnly", "Total", {})
+    assert len(compared) == n and not sent
+    # A last block that takes another name is in conflict, and is found to be by its own pairings.
+    right["blocks"][n] = {f"y{n}": f'["bin","+",["var","y{n - 2}",32],["int",1,32]]'}
+    assert M.match_functions(left, right, pairings=False)["n"] == n - 1 and len(sent) < 5
+    assert len(M.match_functions(left, right)["parts"][-4][0]) == n - 1
