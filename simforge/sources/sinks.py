@@ -80,15 +80,23 @@ def pass_snapshots(stmts: DataFrame) -> DataFrame:
     from ..operators.passes import pipeline, run_passes
     from ..operators.programs import per_function
 
-    def digest(x) -> int:
-        return int.from_bytes(hashlib.blake2b(repr(x).encode(), digest_size=8).digest(), "little", signed=True)
+    def digest(texts) -> int:
+        return int.from_bytes(hashlib.blake2b(f"[{', '.join(texts)}]".encode(), digest_size=8).digest(), "little", signed=True)
 
     def run(f):
         out = []
+        # Most passes leave most statements as they are: the text of each is made once, and known by its id as long as it is kept.
+        known: dict[int, tuple] = {}
+
+        def text(s) -> str:
+            if id(s) not in known:
+                known[id(s)] = repr(s), s
+            return known[id(s)][0]
+
         for no, one in enumerate(pipeline()):
             if run_passes(f, [one])[1]:
                 break
-            out.append((no, one[0], digest(list(f.statements())), digest(sorted(f.edges, key=repr))))
+            out.append((no, one[0], digest(f"({v}, {i}, {text(s)})" for v, i, s in f.statements()), digest(sorted(map(repr, f.edges)))))
         return out
 
     return per_function(stmts, run, "no int, name string, stmts_hash long, edges_hash long")

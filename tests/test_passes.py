@@ -77,3 +77,22 @@ def test_table(spark):
     out = P.normalized(df).collect()
     assert [r.reason for r in out if r.func == 2] == ["CollectCalls: indirect jump"]
     assert all(r.reason is None and r.kind for r in out if r.func == 1)
+
+
+def test_work_of_simplify_and_regions_is_bounded(monkeypatch):
+    """A chain of copies takes as many rounds as it is long, but trees that have settled aren't rewritten in each; a variable's region is worked out once for all addresses on it."""
+    from simforge.operators import memory_passes as MP
+
+    n, calls, regions = 60, [], []
+    normal, region = P.normal, MP.region
+    monkeypatch.setattr(P, "normal", lambda e: calls.append(1) or normal(e))
+    monkeypatch.setattr(MP, "region", lambda *a: regions.append(1) or region(*a))
+    v = lambda x: ("var", x, 32)
+    chain = [("move", "a0", ("bin", "+", v("p"), ("int", 1, 32))), *(("move", f"b{i}", ("bin", "*", v("p"), v("q"))) for i in range(n))]
+    copies = [("move", f"c{i}", v(f"c{i - 1}" if i else "p")) for i in reversed(range(n))]
+    f = P.Function({P.ENTRY: [*chain, *copies], P.EXIT: []}, {(P.ENTRY, P.EXIT, None)})
+    P.simplify(f)
+    assert {s[2] for s in f.blocks[P.ENTRY] if s[1].startswith("c")} == {v("p")}
+    assert len(calls) < 8 * n
+    loads = [("move", f"d{i}", ("load", v("mem"), ("bin", "+", v("p"), ("int", 4 * i, 32)), 32)) for i in range(n)]
+    assert len(MP.accesses(P.Function({P.ENTRY: loads}, set()))) == n and len(regions) == 1
