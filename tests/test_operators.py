@@ -237,3 +237,20 @@ def test_strided_columns_are_the_scalars():
         got = list(zip(*[x.tolist() for x in N.columns(op, a, b)]))
         for (x, y), g in zip(pairs, got):
             assert g == f(x, y)[:3], (op, x, y)
+
+
+def test_texts_that_are_alike_are_decoded_once(spark, monkeypatch):
+    from simforge.operators import expressions as X
+
+    decode, n = X.decode, []
+    monkeypatch.setattr(X, "decode", lambda t: n.append(t) or decode(t))
+    decoded = X.Decoded()
+    assert {decoded[t] for t in ['["int",1,32]', '["int",2,32]'] * 50} == {("int", 1, 32), ("int", 2, 32)} and len(n) == 2
+    monkeypatch.setattr(X.Decoded, "MANY", 2)
+    assert decoded['["int",3,32]'] == ("int", 3, 32) and len(decoded) == 1
+    from pyspark.sql import functions as F
+
+    monkeypatch.undo()
+    t = spark.createDataFrame([(1, '["var","a",32]'), (2, None), (3, '["unknown","x"]'), (4, '["var","a",32]')], "a long, t string")
+    got = {r.a: r.v for r in t.select("a", X.evaluated(F.col("t"), F.create_map(F.lit("a"), F.col("a"))).alias("v")).collect()}
+    assert got == {1: 1, 2: None, 3: None, 4: 4}
