@@ -254,3 +254,18 @@ def test_texts_that_are_alike_are_decoded_once(spark, monkeypatch):
     t = spark.createDataFrame([(1, '["var","a",32]'), (2, None), (3, '["unknown","x"]'), (4, '["var","a",32]')], "a long, t string")
     got = {r.a: r.v for r in t.select("a", X.evaluated(F.col("t"), F.create_map(F.lit("a"), F.col("a"))).alias("v")).collect()}
     assert got == {1: 1, 2: None, 3: None, 4: 4}
+
+
+def test_nodes_that_stay_are_not_made_anew_and_leaves_meet_no_rules(monkeypatch):
+    from simforge.operators import expressions as X
+
+    e = ("bin", "*", ("bin", "-", ("var", "a", 32), ("var", "b", 32)), ("var", "c", 32))
+    assert X.mapped(e, lambda x: x) is e
+    assert X.mapped(e, lambda x: ("var", "d", 32) if x == ("var", "c", 32) else x)[2] is e[2]
+    deep = ("var", "a", 32)
+    for _ in range(5_000):
+        deep = ("un", "-", deep)
+    assert X.depth(X.mapped(deep, lambda x: x)) == 5_001
+    seen = []
+    monkeypatch.setattr(X, "RULES", [("see", lambda x: seen.append(x[0]) or x)])
+    assert X.normal(e, X.RULES) == e and set(seen) == {"bin"}
