@@ -8,6 +8,7 @@ from ..functions import scalars as S
 from ..operators import batches as B
 from ..operators import expressions as X
 from ..operators import pairs as P
+from ..operators.tables import spread
 from ..sources import files as R
 from ..sources import sexp
 from . import encode as E
@@ -57,7 +58,7 @@ def _(s, d):
         return F.lit(t)
 
     rows = F.array(*[F.struct(F.lit(i).alias("no"), F.lit(rule).alias("rule"), text(t).alias("tree")) for i, (rule, t, _) in enumerate(CASES)])
-    p = E.table(s, d, "part").select((F.col("p_partkey") + 1).alias("k")).select("k", F.explode(rows).alias("x")).select("k", "x.*")
+    p = spread(E.table(s, d, "part").select((F.col("p_partkey") + 1).alias("k")), "k").select("k", F.explode(rows).alias("x")).select("k", "x.*")
     return p.withColumn("tree", X.normal_text(F.col("tree")))
 
 

@@ -269,3 +269,28 @@ def test_nodes_that_stay_are_not_made_anew_and_leaves_meet_no_rules(monkeypatch)
     seen = []
     monkeypatch.setattr(X, "RULES", [("see", lambda x: seen.append(x[0]) or x)])
     assert X.normal(e, X.RULES) == e and set(seen) == {"bin"}
+
+
+def test_rules_meet_only_what_they_can_change(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from simforge import plans
+    from simforge.operators import expressions as X
+
+    # Wherever a rule changes a node, its heads name that node: all rules at all nodes give the same.
+    nodes = [("bin", op, a, b) for op in ("+", "-", "==", "^", "&", ">>", "*") for a in (A, num(0), num(2**32 - 1), ("bin", "-", A, B), ("bin", ">>", A, num(7))) for b in (B, num(0), num(1), num(2**32 - 1), ("un", "-", B))]
+    nodes += [("cast", kind, w, a) for kind in ("low", "high", "unsigned", "signed") for w in (8, 32) for a in (A, low8(A), ("load", ("var", "mem", 0), A, 8), ("concat", ("extract", 31, 8, A), low8(B)), ("cast", "unsigned", 32, ("bin", "==", A, B)))] + [("val", n) for n in nodes]
+    for name, rule in X.RULES:
+        for e in nodes:
+            assert rule(e) == e or {X.head(e), X.head(e)[:1]} & X.HEADS[rule], (name, e)
+    for e in nodes:
+        assert X.normal(e) == X.normal(e, [(name, lambda x, rule=rule: rule(x)) for name, rule in X.RULES])
+    seen = []
+    monkeypatch.setattr(X, "BY_HEAD", X.ByHead([("see", X.fold)]))
+    monkeypatch.setattr(X, "HEADS", {X.fold: {("bin",)}})
+    X.normal(("un", "-", ("bin", "*", A, B)), [("see", X.fold), ("any", lambda x: seen.append(x[0]) or x)])
+    assert set(seen) == {"un", "bin", "var"} and not X.BY_HEAD[("un",)]
+    # A table of one row group is spread over tasks before its trees are rewritten.
+    t = plans.queries()["t1_t14_rules"](spark, "/root/testdata/sf0.001")
+    used = {r.p for r in t.select(F.spark_partition_id().alias("p")).distinct().collect()}
+    assert len(used) == int(spark.conf.get("spark.sql.shuffle.partitions"))
