@@ -14,14 +14,16 @@ underscore are the operators' own.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graphs import vertices
-from .tables import Grown, fixpoint, settled, unsettle
+from .graphs import _types, by_size, reached, vertices
+from .tables import Grown, by_key, fixpoint, settled, unsettle
 
 
 @dataclass(frozen=True)
@@ -109,42 +111,74 @@ def between(lo: Column, hi: Column) -> Column:
 # Path bounds
 
 
-def path_sums(edges: DataFrame, starts: DataFrame, longest: bool = False) -> DataFrame:
+#: Edges of a graph that one Python call takes for path sums, whose work can be the square of it.
+SMALL = 1_000
+
+
+def path_sums(edges: DataFrame, starts: DataFrame, longest: bool = False, most: int | None = None) -> DataFrame:
     """graph, v, bound, open: the least (greatest) sum of weights of a path from a start (graph, v) to v; where a cycle on the way makes it ever less (more), open is true and bound null.
 
     edges: graph, src, dst, weight; one with a null weight is no edge. Sums are
     relaxed in rounds of vertices whose bound has moved. A graph whose vertices still
     move after as many rounds as it has vertices has such a cycle among the paths to
-    them: they are open, and so is all that they reach.
+    them: they are open, and so is all that they reach. Graphs of up to `most` edges
+    take one Python call each, the others rounds of joins, with the same rows.
     """
     sign = -1 if longest else 1
     e = edges.where("graph is not null and src is not null and dst is not null and weight is not null")
     w = e.select("graph", F.col("src").alias("v"), F.col("dst").alias("_to"), (sign * F.col("weight")).cast("long").alias("_w")).groupBy("graph", "v", "_to").agg(F.min("_w").alias("_w"))
     first = starts.select("graph", "v").where("graph is not null and v is not null").distinct()
-    size = settled(vertices(e).unionByName(first).distinct().groupBy("graph").agg(F.count("*").alias("_n")))
-    grown, k = Grown(first.withColumn("bound", F.lit(0).cast("long"))), 0
-    moving = settled(first.limit(0))
-
-    def least() -> DataFrame:
-        return grown.all().groupBy("graph", "v").agg(F.min("bound").alias("bound"))
-
-    while True:
-        k += 1
-        # Graphs that are past their number of vertices go no further.
-        now = grown.last().join(size.where(F.col("_n") >= k).select("graph"), "graph", "left_semi")
-        come = now.join(w, ["graph", "v"]).groupBy("graph", F.col("_to").alias("v")).agg(F.min(F.col("bound") + F.col("_w")).alias("bound"))
-        new = come.join(least().select("graph", "v", F.col("bound").alias("_old")), ["graph", "v"], "left").where("_old is null or bound < _old").select("graph", "v", "bound")
-        if not grown.add(new):
-            break
-        late = grown.last().join(size.where(F.col("_n") == k).select("graph"), "graph", "left_semi").select("graph", "v")
-        if not late.isEmpty():
-            more = settled(moving.unionByName(late))
-            unsettle(moving)
-            moving = more
-    spread = fixpoint(moving, lambda new: new.join(w.select("graph", "v", "_to"), ["graph", "v"]).select("graph", F.col("_to").alias("v"))).withColumn("open", F.lit(True))
-    out = settled(least().join(spread, ["graph", "v"], "left").select("graph", "v", F.when(F.col("open").isNull(), sign * F.col("bound")).alias("bound"), F.coalesce("open", F.lit(False)).alias("open")))
-    unsettle(size, moving, *grown.rounds)
-    return out
+    # A start is an edge from nowhere, so that it is where its graph is.
+    both = w.unionByName(first.select("graph", F.lit(None).cast(dict(w.dtypes)["v"]).alias("v"), F.col("v").alias("_to"), F.lit(0).cast("long").alias("_w")))
+
+    def small(both: DataFrame) -> DataFrame:
+        def run(graph, rows: list[tuple]) -> list[tuple]:
+            succ, vs = defaultdict(list), {x for r in rows for x in r[1:3]}
+            for _, v, to, w in rows:
+                succ[v].append((to, w))
+            # None is the end of edges from nowhere.
+            dist, now = {None: 0}, {None}
+            for _ in range(len(vs) + 1):
+                last, now = [(v, dist[v]) for v in now], set()
+                for v, d in last:
+                    for to, w in succ.get(v, ()):
+                        if to not in dist or d + w < dist[to]:
+                            dist[to] = d + w
+                            now.add(to)
+            moving = now | reached({v: [to for to, _ in x] for v, x in succ.items()}, now)
+            return [(graph, v, None if v in moving else sign * d, v in moving) for v, d in dist.items() if v is not None]
+
+        schema, types = _types(both, graph="graph", v="v")
+        return by_key(both, [], run, f"{schema}, bound long, open boolean", types | {"bound": pa.int64(), "open": pa.bool_()})
+
+    def large(both: DataFrame) -> DataFrame:
+        w, first = both.where("v is not null"), both.where("v is null").select("graph", F.col("_to").alias("v"))
+        size = settled(both.select("graph", F.explode(F.array("v", "_to")).alias("v")).where("v is not null").distinct().groupBy("graph").agg(F.count("*").alias("_n")))
+        grown, k = Grown(first.withColumn("bound", F.lit(0).cast("long"))), 0
+        moving = settled(first.limit(0))
+
+        def least() -> DataFrame:
+            return grown.all().groupBy("graph", "v").agg(F.min("bound").alias("bound"))
+
+        while True:
+            k += 1
+            # Graphs that are past their number of vertices go no further.
+            now = grown.last().join(size.where(F.col("_n") >= k).select("graph"), "graph", "left_semi")
+            come = now.join(w, ["graph", "v"]).groupBy("graph", F.col("_to").alias("v")).agg(F.min(F.col("bound") + F.col("_w")).alias("bound"))
+            new = come.join(least().select("graph", "v", F.col("bound").alias("_old")), ["graph", "v"], "left").where("_old is null or bound < _old").select("graph", "v", "bound")
+            if not grown.add(new):
+                break
+            late = grown.last().join(size.where(F.col("_n") == k).select("graph"), "graph", "left_semi").select("graph", "v")
+            if not late.isEmpty():
+                more = settled(moving.unionByName(late))
+                unsettle(moving)
+                moving = more
+        spread = fixpoint(moving, lambda new: new.join(w.select("graph", "v", "_to"), ["graph", "v"]).select("graph", F.col("_to").alias("v"))).withColumn("open", F.lit(True))
+        out = settled(least().join(spread, ["graph", "v"], "left").select("graph", "v", F.when(F.col("open").isNull(), sign * F.col("bound")).alias("bound"), F.coalesce("open", F.lit(False)).alias("open")))
+        unsettle(size, moving, *grown.rounds)
+        return out
+
+    return by_size(both, small, large, SMALL if most is None else most)
 
 
 def offset_bounds(edges: DataFrame, starts: DataFrame) -> DataFrame:
