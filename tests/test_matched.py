@@ -342,3 +342,32 @@ def test_all_kinds_of_matches_occur(spark):
     assert {r.kind for r in q["m8_block_kinds"](spark, d).collect()} == {"Exact", "Subset", "Superset", "Partial"}
     classes = {(r.fuzz, r.overlap) for r in q["m8_copies_fuzzy"](spark, d).collect()}
     assert {f for f, _ in classes} == {"ExactOnly", "SubsetAndExact", "SupersetAndExact", "Fuzzy"} and {o for _, o in classes} >= {"Total", "Subset", "Partial"}
+
+
+def test_small_clusters_and_graphs_take_no_rounds(spark, monkeypatch):
+    """One Python call each gives what rounds of joins give, with names of use in some blocks only and nulls as well."""
+    r = random.Random(11)
+    rows, steps, seen = [(9, None, "a0", "p", "l", "x"), (9, "a0", "b0", None, "l", "x"), (None, "a0", "b0", "p", "l", "x")], [(9, None, "b0", "a1", "b1"), (None, "a0", "b0", "a1", "b1")], [(9, "l", None, "x"), (9, None, "a1", "x")]
+    for c in range(25):
+        n = r.randrange(1, 7)
+        steps += [(c, f"a{x}", f"b{x}", f"a{y}", f"b{y}") for x, y in {(r.randrange(n), r.randrange(n)) for _ in range(r.randrange(2 * n))}]
+        rows += [(c, f"a{x}", f"b{x}", f"p{r.randrange(2)}", s, r.choice("xyz")) for x in range(n) for s in "lr" if r.random() < 0.7]
+        seen += [(c, s, f"{'ab'[s == 'r']}{x}", name) for x in range(n) for s in "lr" for name in "xyz" if r.random() < 0.5]
+    m = spark.createDataFrame(rows, "cluster int, l string, r string, pairing string, side string, name string")
+    t = spark.createDataFrame(steps, "cluster int, l string, r string, to_l string, to_r string")
+    u = spark.createDataFrame(seen, "cluster int, side string, block string, name string")
+    w = spark.createDataFrame(random_graphs() + [("n", None, "a", None, 1), ("n", "a", "b", None, None), (None, "a", "b", None, 1)], GRAPH).drop("label")
+    starts = spark.createDataFrame([(f"g{g}", f"v{v}") for g in range(40) for v in r.sample(range(7), g % 3)] + [("n", "a"), ("n", None), (None, "a"), ("new", "a")], "graph string, v string")
+    key = lambda x: tuple((v is not None, v) for v in x)
+    flow = lambda seen, most: sorted((tuple(x) for x in C.propagated(m, t, seen, most).collect()), key=key)
+    sums = lambda longest, most: sorted(tuple(x) for x in L.path_sums(w, starts, longest, most).select("graph", "v", F.coalesce("bound", F.lit(0)), "open").collect())
+    in_rounds = [flow(None, 0), flow(u, 0), sums(False, 0), sums(True, 0)]
+    assert in_rounds[0] != in_rounds[1] and {x[3] for x in in_rounds[2]} == {True, False} and all(flow(x, 12) == y for x, y in zip((None, u), in_rounds)) and sums(False, 4) == in_rounds[2]
+
+    def rounds(*_):
+        raise AssertionError("rounds")
+
+    monkeypatch.setattr(C, "fixpoint", rounds)
+    monkeypatch.setattr(L, "fixpoint", rounds)
+    monkeypatch.setattr(L, "Grown", rounds)
+    assert [flow(None, None), flow(u, None), sums(False, None), sums(True, None)] == in_rounds
