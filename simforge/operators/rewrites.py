@@ -43,8 +43,10 @@ def piece(block: Column, k: Column) -> Column:
 def broken_after_calls(stmts: DataFrame, edges: DataFrame, is_call: Column) -> tuple[DataFrame, DataFrame]:
     """(statements, edges) where a block ends with each call: blocks are text, edges in lead to a block's first piece, edges out come from its last, and pieces follow each other."""
     before = Window.partitionBy("graph", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    rows = _placed(stmts).withColumn("_k", F.coalesce(F.count_if(is_call).over(before), F.lit(0)))
-    last = rows.groupBy("graph", "block").agg(F.max("_k").alias("_last"))
+    placed = _placed(stmts)
+    rows = placed.withColumn("_k", F.coalesce(F.count_if(is_call).over(before), F.lit(0)))
+    # A block's last piece is known by its number of calls alone, less one that is its last statement; no order is needed for it.
+    last = placed.groupBy("graph", "block").agg((F.count_if(is_call) - F.max_by(F.coalesce(is_call, F.lit(False)), "pos").cast("long")).alias("_last"))
     e = _whole(edges).select("graph", "src", "dst", "label").join(last.withColumnRenamed("block", "src"), ["graph", "src"], "left")
     e = e.select("graph", piece(F.col("src"), F.coalesce("_last", F.lit(0))).alias("src"), F.col("dst").cast("string").alias("dst"), "label")
     steps = last.where("_last > 0").select("graph", "block", F.explode(F.sequence(F.lit(1).cast("long"), "_last")).alias("_k"))
@@ -90,16 +92,17 @@ def single_exit(stmts: DataFrame, edges: DataFrame, leave: str = "exit", tail: s
     many = ends.groupBy("graph").agg(F.count("*").alias("_m")).where("_m > 1")
     rows = _placed(stmts).select("graph", "block", "pos", "text")
     back = Window.partitionBy("graph", "block").orderBy(F.desc("pos"))
-    last = rows.join(ends, ["graph", "block"]).join(many, "graph").withColumn("_k", F.row_number().over(back))
-    # The k-th statement from the end is common if all ends have it, and so are those behind it.
-    at = last.groupBy("graph", "_k").agg(F.count("*").alias("_n"), F.min("text").alias("_lo"), F.max("text").alias("_hi"), F.count("text").alias("_t"), F.first("_m").alias("_m"))
+    # Statements meet their block's columns only, as few graphs can have many of them, and in the window's order.
+    last = rows.withColumn("_k", F.row_number().over(back))
+    # The k-th statement from the end is common if all ends have it, and so are those behind it. Texts that are alike are counted before they are compared.
+    alike = last.join(ends.join(many, "graph"), ["graph", "block"]).groupBy("graph", "_m", "_k", "text").agg(F.count("*").alias("_c"))
+    at = alike.groupBy("graph", "_m", "_k").agg(F.sum("_c").alias("_n"), F.min("text").alias("_lo"), F.max("text").alias("_hi"), F.coalesce(F.sum(F.when(F.col("text").isNotNull(), F.col("_c"))), F.lit(0)).alias("_t"))
     same = (F.col("_n") == F.col("_m")) & F.col("_lo").eqNullSafe(F.col("_hi")) & ((F.col("_t") == 0) | (F.col("_t") == F.col("_n")))
     run = Window.partitionBy("graph").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
     common = at.withColumn("_ok", F.min(same.cast("int")).over(run)).where("_ok = 1").select("graph", "_k", F.col("_lo").alias("text"))
     length = common.groupBy("graph").agg(F.max("_k").alias("_length"))
     moved = common.select("graph", F.lit(tail).alias("block"), (-F.col("_k")).cast("long").alias("pos"), "text")
-    gone = last.join(length, "graph").where("_k <= _length").select("graph", "block", "pos")
-    kept = rows.join(gone, ["graph", "block", "pos"], "left_anti").select("graph", "block", F.col("pos").cast("long").alias("pos"), "text")
+    kept = last.join(ends.join(length, "graph"), ["graph", "block"], "left").where("_length is null or _k > _length").select("graph", "block", F.col("pos").cast("long").alias("pos"), "text")
     to = e.join(many.select("graph", F.lit(True).alias("_many")), "graph", "left")
     to = to.select("graph", "src", F.when(F.col("_many") & (F.col("dst") == leave), tail).otherwise(F.col("dst")).alias("dst"), "label")
     new = many.select("graph", F.lit(tail).alias("src"), F.lit(leave).alias("dst"), F.lit(None).cast("boolean").alias("label"))

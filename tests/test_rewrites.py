@@ -88,3 +88,20 @@ def test_sinks(spark):
 def test_facts(spark):
     s = spark.createDataFrame([("g", "a", 0, "label", ""), ("g", "a", 1, "halt", ""), ("g", "b", 0, "label", ""), ("g", "b", 1, "call", ""), ("g", "c", 0, "comment", ""), ("g", None, 0, "move", "")], STMTS)
     assert rows(R.block_facts(s)) == [("g", "a", False, True, True, True, 1), ("g", "b", True, False, False, False, 1), ("g", "c", True, False, True, False, 0)]
+
+
+def test_statements_are_sorted_no_more_than_needed(spark):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    rows = [("g", "a", 1, None), ("g", "a", 2, "x"), ("g", "a", 3, "call"), ("g", "a", 4, "call"), ("g", "b", 1, "call"), ("g", "b", 2, None), ("g", "c", 1, "call")]
+    t = spark.createDataFrame(rows, "graph string, block string, pos long, text string")
+    e = spark.createDataFrame([("g", "a", "b", None), ("g", "b", "c", None), ("g", "c", "a", None)], "graph string, src string, dst string, label boolean")
+    edges = R.broken_after_calls(t, e, F.col("text") == "call")[1]
+    assert {(r.src, r.dst) for r in edges.collect()} == {("a", "a+1"), ("a+1", "b"), ("b", "b+1"), ("b+1", "c"), ("c", "a")}
+    assert "Window" not in plan(edges)
+    # Two statements at one position: only the one behind moves to the tail.
+    rows = [("g", "a", 1, "x"), ("g", "a", 2, "p"), ("g", "a", 2, "p"), ("g", "b", 1, "y"), ("g", "b", 2, "p"), ("g", "c", 1, "p"), ("h", "a", 1, "p")]
+    t = spark.createDataFrame(rows, "graph string, block string, pos long, text string")
+    e = spark.createDataFrame([("g", "a", "exit", None), ("g", "b", "exit", None), ("h", "a", "exit", None)], "graph string, src string, dst string, label boolean")
+    stmts = R.single_exit(t, e)[0]
+    assert sorted((r.graph, r.block, r.text) for r in stmts.collect()) == [("g", "a", "p"), ("g", "a", "x"), ("g", "b", "y"), ("g", "c", "p"), ("g", "tail", "p"), ("h", "a", "p")]
+    assert "LeftAnti" not in plan(stmts)
