@@ -40,3 +40,10 @@ def tied(spark, request):
 def test_islands_of_equal_rows(tied):
     rows, df = tied
     assert sorted(map(tuple, I.islands(df, ["base"]).select("base", "lo", "hi", "n").collect())) == plain_islands(rows)
+
+
+def test_bounds_of_equal_rows(tied):
+    rows, df = tied
+    widths = {b: ",".join(map(str, sorted({w for base, _, _, w in rows if base == b}))) for b, *_ in rows}
+    want = [(*i, widths[i[0]]) for i in plain_islands(rows)]
+    assert sorted(map(tuple, I.bounds(df, "base", "width").select("base", "lo", "hi", "n", "widths").collect())) == want
