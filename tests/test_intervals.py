@@ -47,3 +47,12 @@ def test_bounds_of_equal_rows(tied):
     widths = {b: ",".join(map(str, sorted({w for base, _, _, w in rows if base == b}))) for b, *_ in rows}
     want = [(*i, widths[i[0]]) for i in plain_islands(rows)]
     assert sorted(map(tuple, I.bounds(df, "base", "width").select("base", "lo", "hi", "n", "widths").collect())) == want
+
+
+def test_containment_of_equal_rows(tied):
+    rows, df = tied
+    want = sorted((b, lo, hi, i[1], i[2], False) for b, lo, hi, _ in rows for i in plain_islands(rows) if i[0] == b and i[1] <= lo <= i[2])
+    assert len(want) == len(rows)
+    inner = df.select("base", "lo", "hi")
+    got = I.contained(inner, I.islands(inner, ["base"]), "base")
+    assert sorted(map(tuple, got.select("base", "lo", "hi", "outer_lo", "outer_hi", "overhangs").collect())) == want
