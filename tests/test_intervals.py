@@ -2,9 +2,20 @@
 
 import random
 
+import duckdb
 import pytest
 
+from simforge import plans
 from simforge.operators import intervals as I
+from simforge.plans import encode as E
+
+SF = "/root/testdata/sf0.1"
+
+# The islands of the registered SQL with equal accesses counted first, so that ORDER BY lo, hi leaves no ties.
+UNTIED = f"""{E.INTERVAL}, once AS (SELECT base, lo, hi, count(*) AS k FROM access GROUP BY ALL),
+marked AS (SELECT *, CASE WHEN lo > max(hi) OVER (PARTITION BY base ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS f FROM once),
+numbered AS (SELECT *, sum(f) OVER (PARTITION BY base ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS i FROM marked),
+isl AS (SELECT base, min(lo) AS lo, max(hi) AS hi, CAST(sum(k) AS BIGINT) AS n FROM numbered GROUP BY base, i)"""
 
 
 def accesses(seed):
@@ -56,3 +67,19 @@ def test_containment_of_equal_rows(tied):
     inner = df.select("base", "lo", "hi")
     got = I.contained(inner, I.islands(inner, ["base"]), "base")
     assert sorted(map(tuple, got.select("base", "lo", "hi", "outer_lo", "outer_hi", "overhangs").collect())) == want
+
+
+@pytest.fixture(scope="module")
+def lines():
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{SF}/lineitem.parquet'")
+    return con
+
+
+def queried(spark, name, columns):
+    return sorted(map(tuple, plans.queries()[name](spark, SF).select(*columns).collect()))
+
+
+def test_islands_query(spark, lines):
+    want = sorted(lines.sql(f"WITH {UNTIED} SELECT base, lo, hi, n FROM isl").fetchall())
+    assert queried(spark, "n3_w11_islands", ("base", "lo", "hi", "n")) == want
