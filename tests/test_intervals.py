@@ -83,3 +83,8 @@ def queried(spark, name, columns):
 def test_islands_query(spark, lines):
     want = sorted(lines.sql(f"WITH {UNTIED} SELECT base, lo, hi, n FROM isl").fetchall())
     assert queried(spark, "n3_w11_islands", ("base", "lo", "hi", "n")) == want
+
+
+def test_bounds_query(spark, lines):
+    want = sorted(lines.sql(f"WITH {UNTIED} SELECT base, lo, hi, n, widths FROM isl JOIN (SELECT base, string_agg(CAST(width AS VARCHAR), ',' ORDER BY width) AS widths FROM (SELECT DISTINCT base, width FROM access) GROUP BY base) USING (base)").fetchall())
+    assert queried(spark, "a27_bounds", ("base", "lo", "hi", "n", "widths")) == want
