@@ -88,3 +88,9 @@ def test_islands_query(spark, lines):
 def test_bounds_query(spark, lines):
     want = sorted(lines.sql(f"WITH {UNTIED} SELECT base, lo, hi, n, widths FROM isl JOIN (SELECT base, string_agg(CAST(width AS VARCHAR), ',' ORDER BY width) AS widths FROM (SELECT DISTINCT base, width FROM access) GROUP BY base) USING (base)").fetchall())
     assert queried(spark, "a27_bounds", ("base", "lo", "hi", "n", "widths")) == want
+
+
+def test_containment_query(spark, lines):
+    want = lines.sql(f"WITH {UNTIED} SELECT count(*), count(*) FILTER (WHERE a.hi > i.hi), CAST(sum(i.lo) AS BIGINT) FROM access a JOIN isl i ON a.base = i.base AND a.lo >= i.lo AND a.lo <= i.hi").fetchall()
+    assert lines.sql("SELECT count(*) FROM lineitem").fetchall() == [(want[0][0],)]
+    assert queried(spark, "j13_containment", ("n", "n_over", "sum_lo")) == want
