@@ -18,16 +18,20 @@ from ..functions import strided as N
 from . import memory_passes as M
 from . import passes as P
 from . import regions as R
-from .expressions import decode, walk
+from .expressions import Decoded, walk
 from .tables import by_key, fixpoint
 
 KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
 
 
+#: Functions of one task have many trees in common.
+DECODED = Decoded()
+
+
 def statements_of(rows: list[tuple]) -> list[tuple]:
     out = []
     for _, _, kind, avar, tree, target, other in rows:
-        e = None if tree is None else decode(tree)
+        e = None if tree is None else DECODED[tree]
         out.append({"move": ("move", avar, e), "jmp": ("jmp", target), "cjmp": ("cjmp", e, target, other), "halt": ("halt",)}.get(kind, (kind, avar)))
     return out
 
@@ -151,7 +155,8 @@ def shapes(stmts: DataFrame, passes=None) -> DataFrame:
     digest = lambda x: hashlib.sha256(x.encode()).hexdigest()[:32]
 
     def run(f):
-        before, body = digest(shape_of(f)), digest(shape_of(f) + body_of(f))
+        shape = shape_of(f)
+        before, body = digest(shape), digest(shape + body_of(f))
         g, why = P.run_passes(f, passes)
         return [(before, body, None if why else digest(shape_of(g)))]
 

@@ -96,3 +96,80 @@ def test_work_of_simplify_and_regions_is_bounded(monkeypatch):
     assert len(calls) < 8 * n
     loads = [("move", f"d{i}", ("load", v("mem"), ("bin", "+", v("p"), ("int", 4 * i, 32)), 32)) for i in range(n)]
     assert len(MP.accesses(P.Function({P.ENTRY: loads}, set()))) == n and len(regions) == 1
+
+
+def test_edges_by_their_ends():
+    """Edges know their ends after any change, as a search of all of them finds."""
+    import random
+
+    r = random.Random(5)
+    f = P.Function({v: [] for v in range(6)})
+    for _ in range(600):
+        some = {(r.randrange(6), r.randrange(6), r.choice([None, True, False])) for _ in range(r.randrange(4))}
+        match r.randrange(6):
+            case 0:
+                f.edges |= some
+            case 1:
+                f.edges -= some
+            case 2:
+                f.edges = f.edges | some
+            case 3:
+                f.edges.update(some)
+            case 4:
+                f.edges.difference_update(some)
+            case 5:
+                for e in some:
+                    f.edges.add(e)
+        for v in range(6):
+            assert {e for e in f.edges if e[0] == v} == set(f.out(v)) and {e for e in f.edges if e[1] == v} == set(f.into(v))
+            assert len(f.out(v)) == len(set(f.out(v)))
+
+
+def test_coalesce_is_as_from_the_start_each_time():
+    """Joining the first blocks that can be joined, again and again, gives the same."""
+    import random
+
+    def plain(f, keep_calls):
+        for v in sorted(set(f.blocks) - P.SPECIAL):
+            out = [e for e in f.edges if e[0] == v]
+            d = out[0][1] if len(out) == 1 else v
+            if d == v or d in P.SPECIAL or len([e for e in f.edges if e[1] == d]) != 1 or keep_calls and f.blocks[v] and f.blocks[v][-1][0] == "call":
+                continue
+            f.blocks[v] = (f.blocks[v][:-1] if f.blocks[v] and f.blocks[v][-1][0] == "jmp" else f.blocks[v]) + f.blocks.pop(d)
+            f.edges = {(v if s == d else s, x, label) for s, x, label in f.edges if x != d}
+            return plain(f, keep_calls)
+
+    r = random.Random(7)
+    for _ in range(400):
+        n = r.randrange(1, 9)
+        blocks = {v: [("label", f"b{v}"), *[("call", "g")] * r.randrange(2), *[("jmp",)] * r.randrange(2)] for v in range(n)} | {P.ENTRY: [], P.EXIT: []}
+        edges = {(P.ENTRY, 0, None)} | {(v, r.choice([*range(n), P.EXIT]), None if k == 0 else bool(k - 1)) for v in range(n) for k in r.choice([(0,), (0,), (0,), (1, 2), ()])}
+        for keep in (False, True):
+            f, g = (P.Function({v: list(b) for v, b in blocks.items()}, set(edges)) for _ in range(2))
+            P.coalesce(f, keep)
+            plain(g, keep)
+            assert f.blocks == g.blocks and f.edges == g.edges
+
+
+def test_trees_in_normal_form_are_not_rewritten_again(monkeypatch):
+    """What one pass of rewriting has settled, the next leaves alone."""
+    add = lambda x: ("bin", "+", ("var", x, 32), ("int", 1, 32))
+    f = P.Function({P.ENTRY: [("move", f"v{i + 1}", add(f"v{i}")) for i in range(50)], P.EXIT: []}, {(P.ENTRY, P.EXIT, None)})
+    rewritten = []
+    normal = P.normal
+    monkeypatch.setattr(P, "normal", lambda e: rewritten.append(e) or normal(e))
+    P.simplify(f)
+    P.simplify(f)
+    assert len(rewritten) == 50
+
+
+def test_region_at_the_end_of_very_many_ways():
+    """Sixty choices one after another are 2 ** 60 ways to one sink."""
+    from simforge.operators.regions import region
+
+    defs, n = {}, 60
+    for i in range(n):
+        for name, k in (("a", 1), ("b", 2)):
+            defs[f"{name}{i}"] = ("bin", "+", ("var", f"v{i}", 32), ("int", k, 32))
+        defs[f"v{i + 1}"] = ("phi", ("var", f"a{i}", 32), ("var", f"b{i}", 32))
+    assert region(f"v{n}", defs) == ("v0", n, 2 * n)
