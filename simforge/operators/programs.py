@@ -133,34 +133,41 @@ def laid_out(stmts: DataFrame) -> DataFrame:
     return per_function(stmts, lambda f: [(i, s[0], s[1] if s[0] in ("label", "jmp", "call") else None) for i, s in enumerate(M.layout(f))], "pos int, kind string, avar string")
 
 
-def shape_of(f: P.Function) -> str:
+def ways_of(f: P.Function) -> dict[int, list[tuple[int, int]]]:
+    """(label, next block) of each block's ways, in the order of labels."""
+    return {v: [(-1 if e[2] is None else int(e[2]), e[1]) for e in f.out(v)] for v in f.blocks}
+
+
+def shape_of(f: P.Function, ways: dict | None = None) -> str:
     """Equal for functions whose graphs are isomorphic with their edges' labels."""
     from .graphs import signature
 
-    return signature({v: [(-1 if e[2] is None else int(e[2]), e[1]) for e in f.out(v)] for v in f.blocks}, P.ENTRY)
+    return signature(ways_of(f) if ways is None else ways, P.ENTRY)
 
 
-def body_of(f: P.Function) -> str:
+def body_of(f: P.Function, ways: dict | None = None) -> str:
     """Equal for functions with the same graph and statements. Labels and jumps are the graph's."""
     from .graphs import preorder
 
-    order = preorder({v: [(-1 if e[2] is None else int(e[2]), e[1]) for e in f.out(v)] for v in f.blocks}, P.ENTRY)
+    order = preorder(ways_of(f) if ways is None else ways, P.ENTRY)
     return repr([[s for s in f.blocks[v] if s[0] not in ("label", "comment", "jmp")] for v in order])
 
 
-def shapes(stmts: DataFrame, passes=None) -> DataFrame:
-    """func, before, body, after: a digest of each function's graph as it stands, of its graph with statements, and of its graph after the passes (none: the default order), all of one run; after is null where a pass can't settle the function."""
+def digests(f: P.Function, passes=None) -> tuple[str, str, str | None]:
+    """before, body and after of shapes; f goes through the passes."""
     import hashlib
 
     digest = lambda x: hashlib.sha256(x.encode()).hexdigest()[:32]
+    ways = ways_of(f)
+    shape = shape_of(f, ways)
+    before, body = digest(shape), digest(shape + body_of(f, ways))
+    g, why = P.run_passes(f, passes)
+    return before, body, None if why else digest(shape_of(g))
 
-    def run(f):
-        shape = shape_of(f)
-        before, body = digest(shape), digest(shape + body_of(f))
-        g, why = P.run_passes(f, passes)
-        return [(before, body, None if why else digest(shape_of(g)))]
 
-    return per_function(stmts, run, "before string, body string, after string")
+def shapes(stmts: DataFrame, passes=None) -> DataFrame:
+    """func, before, body, after: a digest of each function's graph as it stands, of its graph with statements, and of its graph after the passes (none: the default order), all of one run; after is null where a pass can't settle the function."""
+    return per_function(stmts, lambda f: [digests(f, passes)], "before string, body string, after string")
 
 
 def pair_flags(pairs: DataFrame, shapes: DataFrame) -> DataFrame:

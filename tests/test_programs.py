@@ -218,3 +218,12 @@ def test_null_operands(spark):
     box = lambda *c: F.struct(*[F.col(x).alias(n) for x, n in zip(c, ("stride", "lo", "hi"))])
     got = [r.x for r in df.select(T.strided_column("+", box("a", "b", "c"), box("d", "e", "f")).alias("x")).collect()]
     assert got[0].lo is None and (got[1].stride, got[1].lo, got[1].hi) == (1, 3, 11)
+
+
+def test_digests_read_a_graph_once(monkeypatch):
+    """Each block's ways are looked up once before the passes and once after, and not for each digest."""
+    f = P.from_statements([("cjmp", V("a"), "L", "R"), ("label", "L"), ("move", "eax", num(1)), ("jmp", "R"), ("label", "R"), ("halt",)])
+    n, looked, out = len(f.blocks), [], P.Function.out
+    monkeypatch.setattr(P.Function, "out", lambda f, v: looked.append(v) or out(f, v))
+    before, body, after = T.digests(f, [])
+    assert len(looked) == 2 * n and before == after != body
